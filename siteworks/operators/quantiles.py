@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteworks.operators.joins import measured
@@ -30,15 +30,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], keys:
         F.count("*").alias("n"), F.percentile_approx("v", edges, SKETCH_ACCURACY).alias("edges")
     )
 
-    def band(edge_array):
-        below = F.size(F.filter(edge_array, lambda e: e < F.col("v")))
-        upto = F.size(F.filter(edge_array, lambda e: e <= F.col("v")))
-        return below + upto
+    def band(edge) -> Column:
+        place = F.lit(0)
+        for i in range(len(edges)):
+            place = place + (F.col("v") > edge(i)).cast("int") + (F.col("v") >= edge(i)).cast("int")
+        return place
 
     if keys:
-        banded = rows.join(measured(sketch.select(*keys, "edges")), keys).select(*keys, "v", band(F.col("edges")).alias("band"))
+        near = measured(sketch.select(*keys, "edges"))
+        banded = rows.join(near, keys).select(*keys, "v", band(lambda i: F.col("edges")[i]).alias("band"))
     else:
-        banded = rows.select("v", band(sketch.select("edges").scalar()).alias("band"))
+        # One short array: read it, so that the rows are compared with constants.
+        found = sketch.first().edges
+        banded = rows.select("v", band(lambda i: F.lit(found[i] if found else None)).alias("band"))
     by_band = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
     spans = banded.groupBy(*keys, "band").agg(F.count("*").alias("rows")).withColumn("upto", F.sum("rows").over(by_band))
     spans = spans.withColumn("n", F.max("upto").over(Window.partitionBy(*keys)))
