@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.operators.joins import measured
+from siteworks.operators.joins import BROADCAST_ROWS
 from siteworks.operators.ordering import ordered_positions
+from siteworks.session import materialize
 
 
 def as_category(df: DataFrame, columns: Sequence[str], null_text: str = "nan") -> DataFrame:
@@ -41,12 +42,16 @@ def apply_dictionary(
     df: DataFrame, dictionary: DataFrame, columns: Mapping[str, str], unseen: int | None = None
 ) -> DataFrame:
     """Add code columns ``{source: target}``; values not in the dictionary get ``unseen``."""
+    stored = materialize(dictionary.where(F.col("column_name").isin(list(columns))))
+    sizes = {r.column_name: r["count"] for r in stored.groupBy("column_name").count().collect()}
     out = df
     for source, target in columns.items():
-        codes = dictionary.where(F.col("column_name") == source).select(
+        codes = stored.where(F.col("column_name") == source).select(
             F.col("value").alias(source), F.col("code").alias(target)
         )
-        out = out.join(measured(codes), source, "left")
+        # Only a counted, small dictionary is broadcast; a larger one is an ordinary side.
+        codes = F.broadcast(codes) if sizes.get(source, 0) <= BROADCAST_ROWS else codes
+        out = out.join(codes, source, "left")
         if unseen is not None:
             out = out.withColumn(target, F.coalesce(target, F.lit(unseen)))
     return out

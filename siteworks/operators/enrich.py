@@ -252,6 +252,63 @@ def completeness_audit(source: DataFrame, ratings: DataFrame, columns: Sequence[
     )
 
 
+def request_plan(df: DataFrame, text_columns: Sequence[str], vertical_size: int, horizontal_size: int) -> DataFrame:
+    """Requests, tokens, cost and minutes of the three layouts, from the texts themselves.
+
+    A token is counted as four characters. Layouts: one rating of one row per request,
+    one rating of many rows, all ratings of many rows.
+    """
+    ratings = len(RATINGS)
+    text_tokens = F.lit(0)
+    for name in text_columns:
+        text_tokens = text_tokens + F.length(F.coalesce(F.col(name), F.lit("MISSING")))
+    total = df.select(F.ceil(text_tokens / F.lit(4)).alias("tokens")).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens")
+    )
+    # Tokens around the data of one request, and answer tokens per rating.
+    single_head, list_head, table_head, answer = 60, 60, 600, 2
+    rows, tokens = F.col("rows"), F.col("tokens")
+
+    def layout(name: str, requests: Column, head: int, per_rating: int) -> Column:
+        return F.struct(
+            F.lit(name).alias("layout"),
+            requests.cast("bigint").alias("requests"),
+            (requests * F.lit(head) + tokens * F.lit(per_rating)).cast("bigint").alias("input_tokens"),
+            (rows * F.lit(ratings * answer)).cast("bigint").alias("output_tokens"),
+        )
+
+    layouts = F.array(
+        layout("single", rows * F.lit(ratings), single_head, ratings),
+        layout("horizontal", F.ceil(rows / F.lit(horizontal_size)) * F.lit(ratings), list_head, ratings),
+        layout("vertical", F.ceil(rows / F.lit(vertical_size)), table_head, 1),
+    )
+    by_requests = F.col("requests") / F.lit(float(REQUESTS_PER_MINUTE))
+    by_tokens = (F.col("input_tokens") + F.col("output_tokens")) / F.lit(float(TOKENS_PER_MINUTE))
+    return (
+        total.select(F.inline(layouts))
+        .withColumn("cost", (F.col("input_tokens") * F.lit(INPUT_PRICE) + F.col("output_tokens") * F.lit(OUTPUT_PRICE)) / F.lit(1e6))
+        .withColumn("minutes", F.greatest(by_requests, by_tokens))
+        .withColumn("bottleneck", F.when(by_requests > by_tokens, "requests").otherwise("tokens"))
+    )
+
+
+def spot_check(df: DataFrame, field: str, rating: str, expected: Sequence[tuple[str, int]]) -> DataFrame:
+    """Per pattern: matching rows and the share rated as expected, in one pass."""
+    cells = []
+    for pattern, value in expected:
+        hit = F.coalesce(F.lower(field).contains(pattern), F.lit(False))
+        agreed = F.when(hit, F.when(F.col(rating) == value, 1.0).otherwise(0.0))
+        cells.append(
+            F.struct(
+                F.lit(pattern).alias("pattern"),
+                F.lit(value).alias("expected"),
+                F.sum(hit.cast("bigint")).alias("n"),
+                F.avg(agreed).alias("agreement"),
+            )
+        )
+    return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
 def enrich_with(
     batched: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, columns: Sequence[str]
 ) -> DataFrame:
