@@ -13,20 +13,20 @@ from siteworks.session import materialize
 BROADCAST_ROWS = 300_000
 
 
-def hinted(stored: DataFrame) -> DataFrame:
+def hinted(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark an already stored side for broadcast only if its row count allows."""
-    if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if stored.limit(most + 1).count() <= most:
         return F.broadcast(stored)
     return stored
 
 
-def measured(side: DataFrame) -> DataFrame:
+def measured(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Store a join side once and broadcast it only if it proves small.
 
     Beyond the bound it stays an ordinary side: Spark shuffles both inputs and
     adaptive execution splits the keys that hold too many rows.
     """
-    return hinted(materialize(side))
+    return hinted(materialize(side), most)
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

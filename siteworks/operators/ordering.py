@@ -17,19 +17,23 @@ def ordered_positions(df: DataFrame, order: Sequence[str], name: str = "position
     only one count per slice meets in a single place. The slices are
     checkpointed because both the counts and the rows must see the same ones.
     """
-    slices = materialize(df.repartitionByRange(*order).withColumn("slice", F.spark_partition_id()))
+    # monotonically_increasing_id is (partition id << 33) + place within the sorted partition.
+    sliced = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mark", F.monotonically_increasing_id())
+    slices = materialize(sliced)
+    slice_of = F.shiftright("mark", 33).alias("slice")
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        slices.groupBy("slice")
+        slices.groupBy(slice_of)
         .agg(F.count("*").alias("rows"))
         .select("slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     )
-    within = F.row_number().over(Window.partitionBy("slice").orderBy(*order))
+    # One row per slice: at most the number of shuffle partitions.
+    place = F.col("mark").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return (
-        slices.withColumn("within", within)
-        .join(starts, "slice")
-        .withColumn(name, (F.col("start") + F.col("within")).cast("bigint"))
-        .drop("slice", "within", "start")
+        slices.withColumn("slice", F.shiftright("mark", 33))
+        .join(F.broadcast(starts), "slice")
+        .withColumn(name, (F.col("start") + place).cast("bigint"))
+        .drop("slice", "mark", "start")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siteworks.operators.joins import measured
 
 # Half-width, as a share of the rows, of the band that is searched exactly.
-BAND = 0.002
+BAND = 0.0005
 SKETCH_ACCURACY = 10000
 
 

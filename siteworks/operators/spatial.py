@@ -12,6 +12,7 @@ city nor many assets at one spot concentrates work, and no candidate is lost.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,12 +28,26 @@ LEVELS_PER_STEP = 3
 FINEST_LEVEL = 40
 # Kilometres added to every bound: covers float error and ties at nine decimals.
 SLACK_KM = 1e-6
+# Neighbour lists are wide rows, so fewer of them may be broadcast.
+LIST_BROADCAST_ROWS = 50_000
+# Each point costs some hundred distances, so a task need not hold many.
+POINTS_PER_TASK = 300
 
 
 def located(df: DataFrame) -> DataFrame:
     return df.where(has_coordinates(F.col("latitude"), F.col("longitude")))
 
 
+def _spread(df: DataFrame, key: str, points: int) -> DataFrame:
+    """Hash by key into the session's shuffle partitions, fewer if there are few points.
+
+    The joins and windows on the key need this exchange anyway; naming the number
+    keeps few but costly rows from being merged into one task.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(most, points // POINTS_PER_TASK)), key)
+
+
 def _spots(df: DataFrame, keep: int) -> DataFrame:
     """Distinct coordinates with their ``keep`` smallest ids.
 
@@ -54,8 +69,8 @@ def _cell(axis: str, level: int) -> Column:
     return F.least(F.floor(F.col(axis) * F.lit(float(2**level))), F.lit(2**level - 1)).cast("bigint")
 
 
-def _leaves(spots: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Points with their leaf cell, and the grid levels from the root to the finest leaf."""
+def _leaves(spots: DataFrame) -> tuple[DataFrame, list[int], int]:
+    """Points with their leaf cell, the grid levels from root to finest leaf, and the count."""
     spots = materialize(spots)
     frame = spots.agg(
         F.count("*").alias("n"),
@@ -65,7 +80,7 @@ def _leaves(spots: DataFrame) -> tuple[DataFrame, list[int]]:
         F.max("longitude").alias("e"),
     ).first()
     if frame.n == 0:
-        return spots, []
+        return spots, [], 0
     height = max(frame.t - frame.s, 1e-9)
     width = max(frame.e - frame.w, 1e-9)
     pending = spots.withColumn("y", (F.col("latitude") - F.lit(frame.s)) / F.lit(height)).withColumn(
@@ -89,7 +104,7 @@ def _leaves(spots: DataFrame) -> tuple[DataFrame, list[int]]:
         part = part.select("latitude", "longitude", "ids", "level", "cy", "cx")
         settled = part if settled is None else settled.unionByName(part)
         if not overfull:
-            return materialize(settled), levels
+            return materialize(settled), levels, frame.n
         level += LEVELS_PER_STEP
         levels.append(level)
 
@@ -165,10 +180,10 @@ def _box_distances(q: str, r: str) -> tuple[Column, Column]:
     )
 
 
-def _leaf_pairs(queries: DataFrame, tree: DataFrame, levels: list[int], need: int) -> DataFrame:
-    """Query leaf, reference leaf and reach: no needed neighbour lies beyond the reach."""
+def _leaf_pairs(queries: DataFrame, tree: DataFrame, levels: list[int], need: int, points: int) -> DataFrame:
+    """Query leaf and every reference leaf that may hold a needed neighbour."""
     box = ["s", "t", "w", "e"]
-    asked = queries.select("q", *[F.col(c).alias(f"q{c}") for c in box])
+    asked = _spread(queries.select("q", *[F.col(c).alias(f"q{c}") for c in box]), "q", points)
     pairs = asked.withColumn("node", F.lit("0/0/0")).withColumn("is_leaf", F.lit(False))
     pairs = pairs.withColumns({"size": F.lit(0).cast("bigint"), **{f"r{c}": F.lit(0.0) for c in box}})
     for level in levels[1:]:
@@ -193,18 +208,19 @@ def _leaf_pairs(queries: DataFrame, tree: DataFrame, levels: list[int], need: in
         )
         # Both branches read ``pairs``: store it, or the plan doubles at every level.
         pairs = materialize(_prune(pairs.where("is_leaf").unionByName(opened), need))
-    return pairs.select("q", "node", "reach", "rs", "rt", "rw", "re")
+    return pairs.select("q", "node", "size", "rs", "rt", "rw", "re")
 
 
-def _prune(pairs: DataFrame, need: int) -> DataFrame:
-    low, high = _box_distances("q", "r")
-    nearest_first = Window.partitionBy("q").orderBy("high", "node").rowsBetween(Window.unboundedPreceding, 0)
+def _prune(pairs: DataFrame, need: int, side: str = "q", keys: Sequence[str] = ("q",)) -> DataFrame:
+    """Drop pairs that lie beyond the distance within which ``need`` points are certain."""
+    low, high = _box_distances(side, "r")
+    nearest_first = Window.partitionBy(*keys).orderBy("high", "node").rowsBetween(Window.unboundedPreceding, 0)
     covered = F.sum("size").over(nearest_first)
     return (
         pairs.withColumn("low", low)
         .withColumn("high", high)
         .withColumn("covered", covered)
-        .withColumn("reach", F.min(F.when(F.col("covered") >= need, F.col("high"))).over(Window.partitionBy("q")))
+        .withColumn("reach", F.min(F.when(F.col("covered") >= need, F.col("high"))).over(Window.partitionBy(*keys)))
         .where(F.col("reach").isNull() | (F.col("low") <= F.col("reach") + F.lit(SLACK_KM)))
     )
 
@@ -217,29 +233,33 @@ def nearest_neighbors(queries: DataFrame, k: int, reference: DataFrame | None =
     """
     own = reference is None
     need = k + 1 if own else k
-    points, levels = _leaves(_spots(queries if own else reference, need))
-    asked, asked_levels = (points, levels) if own else _leaves(_spots(queries, 1))
+    points, levels, _ = known_side = _leaves(_spots(queries if own else reference, need))
+    asked, asked_levels, n_asked = known_side if own else _leaves(_spots(queries, 1))
     if not levels or not asked_levels:
         return queries.sparkSession.createDataFrame([], "id bigint, rank int, nbr_id bigint, dist_km double")
     tree = _tree(points, levels)
     leaf = F.concat_ws("/", "level", "cy", "cx")
     query_leaves = _boxes(asked).withColumn("q", leaf)
-    pairs = _leaf_pairs(query_leaves, tree, levels, need)
-    asked = asked.select(leaf.alias("q"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    pairs = _leaf_pairs(query_leaves, tree, levels, need, n_asked)
+    asked = _spread(asked.select(leaf.alias("q"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), "q", n_asked)
     known = points.select(leaf.alias("node"), "latitude", "longitude", F.explode("ids").alias("nbr_id"))
+    spot = ["q", "lat", "lon"]
     reached = asked.join(pairs, "q").withColumns({"ps": F.col("lat"), "pt": F.col("lat"), "pw": F.col("lon"), "pe": F.col("lon")})
-    low, _ = _box_distances("p", "r")
-    reached = reached.where(F.col("reach").isNull() | (low <= F.col("reach") + F.lit(SLACK_KM)))
+    # The same bound once more, for the point itself: it drops most of its leaf's pairs.
+    reached = _prune(reached.drop("reach"), need, "p", spot)
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
-    nearest = Window.partitionBy("lat", "lon").orderBy(F.round("dist_km", 9), "nbr_id")
+    nearest = Window.partitionBy(*spot).orderBy(F.round("dist_km", 9), "nbr_id")
     ranked = (
-        reached.select("lat", "lon", "node")
-        .join(known, "node")
-        .select("lat", "lon", "nbr_id", distance.alias("dist_km"))
+        reached.select(*spot, "node")
+        .join(hinted(known), "node")
+        .select(*spot, "nbr_id", distance.alias("dist_km"))
         .withColumn("rank", F.row_number().over(nearest))
         .where(F.col("rank") <= need)
     )
-    lists = ranked.groupBy("lat", "lon").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr_id", "dist_km"))).alias("near"))
+    lists = ranked.groupBy(*spot).agg(F.array_sort(F.collect_list(F.struct("rank", "nbr_id", "dist_km"))).alias("near"))
+    # Stored, so that the join below is one of two plain shuffles: a spot that holds a
+    # large share of the rows is then split by adaptive execution.
+    lists = measured(lists.drop("q"), LIST_BROADCAST_ROWS)
     rows = located(queries).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     near = F.col("near")
     if own:

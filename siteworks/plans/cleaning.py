@@ -11,7 +11,7 @@ from siteworks.sources.sites import sites, with_sites
 from siteworks.sources.tables import table
 
 ZERO_COLUMNS = ["longitude", "latitude", "gps_height", "population", "construction_year"]
-TEXT_COLUMNS = ["funder", "installer", "ward", "subvillage", "scheme_name", "region", "basin", "quantity",
+TEXT_COLUMNS = ["funder", "installer", "ward", "scheme_name", "region", "basin", "quantity",
                 "water_quality", "management", "extraction_type", "payment", "source"]
 
 
@@ -145,7 +145,7 @@ def select_by_type(spark, sf):
 @plan("low_cardinality_select", with_sites("""select id, funder, installer, scheme_name, region, basin, quantity,
   water_quality, management, extraction_type, payment, source from sites"""))
 def low_cardinality_select(spark, sf):
-    """At sf0.01 ``ward`` and ``subvillage`` exceed the limit of 50."""
+    """Only ``ward`` exceeds the limit of 50."""
     df = sites(spark, sf)
     return df.select("id", *profile.low_cardinality_columns(df, TEXT_COLUMNS, 50))
 
