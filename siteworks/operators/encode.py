@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.operators.joins import BROADCAST_ROWS
+from siteworks.operators.joins import BROADCAST_ROWS, measured
 from siteworks.operators.ordering import ordered_positions
 from siteworks.session import materialize
 
@@ -33,7 +33,8 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = df.select(*columns).unpivot([], list(columns), "column_name", "value").distinct()
     placed = ordered_positions(pairs, ["column_name", "value"])
     starts = placed.groupBy("column_name").agg(F.min("position").alias("start"))
-    return placed.join(starts, "column_name").select(
+    # One start per column.
+    return placed.join(F.broadcast(starts), "column_name").select(
         "column_name", "value", (F.col("position") - F.col("start")).cast("int").alias("code")
     )
 
@@ -57,6 +58,12 @@ def apply_dictionary(
     return out
 
 
+def decode(df: DataFrame, dictionary: DataFrame, column: str, code: str, name: str) -> DataFrame:
+    """Values back from their codes."""
+    values = dictionary.where(F.col("column_name") == column).select(F.col("code").alias(code), F.col("value").alias(name))
+    return df.join(measured(values), code, "left")
+
+
 def apply_with_literal(df: DataFrame, dictionary: DataFrame, source: str, target: str, literal: str = "unknown") -> DataFrame:
     """Unseen values take the code of ``literal`` if the dictionary has it, else -1."""
     of_column = dictionary.where(F.col("column_name") == source)

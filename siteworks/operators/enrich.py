@@ -164,40 +164,25 @@ def clamp_rating(value: Column, default: int) -> Column:
 def normalize_responses(requested: DataFrame, responses: DataFrame) -> DataFrame:
     """One row per requested ``(batch, id)`` with six ratings and a status.
 
-    ``responses`` has ``batch, response``. Ids outside the batch are ignored, repeated
+    ``responses`` has one ``batch, response`` row per batch. Ids outside the batch are ignored, repeated
     ids count once (the first), and what is missing takes the fall-back values.
     Status: ``ok``, ``repaired``, ``absent`` (row missing) or ``failed`` (not readable).
     """
-    direct = response_items(F.col("response"))
-    parsed = responses.select("batch", "response", direct.alias("direct")).select(
-        "batch",
-        F.coalesce("direct", response_items(repair_json(F.col("response")))).alias("items"),
-        F.when(F.col("direct").isNotNull(), "ok").otherwise("repaired").alias("how"),
+    # A batch has a handful of ids, so they travel with its response: one join, one parse.
+    asked = requested.groupBy("batch").agg(F.collect_set("id").alias("ids"))
+    parsed = (
+        asked.join(responses, "batch", "left")
+        .withColumn("direct", response_items(F.col("response")))
+        .withColumn("items", F.coalesce("direct", response_items(repair_json(F.col("response")))))
+        .select("batch", "ids", "items", F.col("direct").isNotNull().alias("intact"))
     )
-    item = F.col("item")
-    rated = (
-        parsed.select("batch", "how", F.posexplode("items").alias("place", "item"))
-        .select(
-            "batch",
-            item["id"].try_cast("bigint").alias("id"),
-            F.struct("place", "how", *[clamp_rating(item[n], RATING_DEFAULTS[n]).alias(n) for n in RATINGS]).alias("r"),
-        )
-        .where(F.col("id").isNotNull())
-        .groupBy("batch", "id")
-        .agg(F.min("r").alias("r"))
+    matches = F.filter("items", lambda x: x["id"].try_cast("bigint") == F.col("id"))
+    matched = parsed.select("batch", "items", "intact", F.explode("ids").alias("id")).withColumn("item", F.get(matches, F.lit(0)))
+    status = (
+        F.when(F.col("items").isNull(), "failed").when(F.col("item").isNull(), "absent").when(F.col("intact"), "ok").otherwise("repaired")
     )
-    readable = parsed.select("batch", F.col("items").isNotNull().alias("readable"))
-    status = F.when(F.col("r").isNotNull(), F.col("r.how")).when(F.coalesce(F.col("readable"), F.lit(False)), "absent").otherwise("failed")
-    return (
-        requested.select("batch", "id")
-        .join(rated, ["batch", "id"], "left")
-        .join(readable, "batch", "left")
-        .select(
-            "batch",
-            "id",
-            *[F.coalesce(F.col(f"r.{n}"), F.lit(float(RATING_DEFAULTS[n]))).alias(n) for n in RATINGS],
-            status.alias("status"),
-        )
+    return matched.select(
+        "batch", "id", *[clamp_rating(F.col("item")[n], RATING_DEFAULTS[n]).alias(n) for n in RATINGS], status.alias("status")
     )
 
 

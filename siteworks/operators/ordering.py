@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteworks.operators.joins import measured
 from siteworks.session import materialize
 
 
@@ -80,7 +81,7 @@ def hash_cutoffs(
     """
     strata = list(strata)
     prefixed = hashed.select(*strata, hash_column, F.substring(hash_column, 1, 3).alias("prefix"))
-    counts = prefixed.groupBy(*strata, "prefix").agg(F.count("*").alias("rows"))
+    counts = materialize(prefixed.groupBy(*strata, "prefix").agg(F.count("*").alias("rows")))
     by_prefix = Window.partitionBy(*strata).orderBy("prefix")
     spans = counts.withColumn(
         "upto", F.sum("rows").over(by_prefix.rowsBetween(Window.unboundedPreceding, 0))
@@ -95,7 +96,7 @@ def hash_cutoffs(
     )
     nth = F.row_number().over(Window.partitionBy(*strata, "prefix", "cut").orderBy(hash_column))
     found = (
-        prefixed.join(picked, [*strata, "prefix"])
+        prefixed.join(measured(picked), [*strata, "prefix"])
         .withColumn("place", nth)
         .where(F.col("place") == F.col("nth"))
         .groupBy(*strata)

@@ -24,7 +24,7 @@ from siteworks.operators.ordering import ordered_positions
 from siteworks.session import materialize
 
 LEAF_POINTS = 32
-LEVELS_PER_STEP = 3
+LEVELS_PER_STEP = 2
 FINEST_LEVEL = 40
 # Kilometres added to every bound: covers float error and ties at nine decimals.
 SLACK_KM = 1e-6

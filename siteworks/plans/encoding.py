@@ -73,8 +73,7 @@ def label_roundtrip(spark, sf):
     rows = encode.as_category(sites(spark, sf).select("id", "status_group"), ["status_group"])
     dictionary = encode.fit_dictionary(rows, ["status_group"])
     coded = encode.apply_dictionary(rows, dictionary, {"status_group": "status_code"})
-    back = dictionary.select(F.col("code").alias("status_code"), F.col("value").alias("decoded"))
-    return coded.join(back, "status_code").select("id", "status_group", "status_code", "decoded")
+    return encode.decode(coded, dictionary, "status_group", "status_code", "decoded").select("id", "status_group", "status_code", "decoded")
 
 
 SCALED = ["population", "gps_height", "amount_tsh"]

@@ -47,6 +47,11 @@ def rating_labels(spark, sf):
 BATCH_SQL = ", bt as (select *, cast(floor((row_number() over (order by id) - 1) / {n}) + 1 as bigint) as batch, cast((row_number() over (order by id) - 1) % {n} + 1 as int) as pos from sites) "
 
 
+def named(spark, sf, *more):
+    """Only the columns a prompt shows: numbering the rows stores them once."""
+    return sites(spark, sf).select("id", *enrich.PROMPT_FIELDS, *more)
+
+
 def quoted(text):
     return "'" + text.replace("'", "''") + "'"
 
@@ -56,7 +61,7 @@ VERTICAL_LINE = "concat(pos, '. ID: ', id" + "".join(f", chr(10), '   {enrich.FI
 
 @plan("prompt_vertical", with_sites(BATCH_SQL.format(n=5) + f"select batch, count(*) as n_rows, concat({quoted(enrich.vertical_header())}, chr(10), string_agg({VERTICAL_LINE}, chr(10) order by pos), chr(10), {quoted(enrich.vertical_footer())}) as prompt from bt group by batch"))
 def prompt_vertical(spark, sf):
-    return enrich.vertical_prompts(enrich.assign_batches(sites(spark, sf), 5))
+    return enrich.vertical_prompts(enrich.assign_batches(named(spark, sf), 5))
 
 
 def line_sql(rating):
@@ -69,7 +74,7 @@ def line_sql(rating):
 @plan("prompt_horizontal", with_sites(BATCH_SQL.format(n=20) + " union all ".join(
     f"select batch, '{r}' as rating, count(*) as n_rows, concat('Rate {r} ({enrich.scale_text(r)}):', chr(10), chr(10), string_agg(concat(pos, '. ', {line_sql(r)}), chr(10) order by pos), chr(10), chr(10), 'Output only numbers 1-5, one per line.') as prompt from bt group by batch" for r in RATINGS)))
 def prompt_horizontal(spark, sf):
-    return enrich.horizontal_prompts(enrich.assign_batches(sites(spark, sf), 20))
+    return enrich.horizontal_prompts(enrich.assign_batches(named(spark, sf), 20))
 
 
 @plan("prompt_single", with_sites(" union all ".join(
@@ -151,7 +156,7 @@ NORMAL_SQL = (BATCH_SQL.format(n=5) + ", sh as (select *, batch % 5 as shape, ma
 
 
 def normalized(spark, sf):
-    batched = materialize(enrich.assign_batches(sites(spark, sf), 5))
+    batched = materialize(enrich.assign_batches(named(spark, sf, "quantity", "permit"), 5))
     return enrich.normalize_responses(batched, answers(batched))
 
 
@@ -204,7 +209,7 @@ def json_repair(spark, sf):
 @plan("lines_parse", with_sites(BATCH_SQL.format(n=20) + "select batch, pos, id, cast(case when pos > 18 then 3 when installer is null then 3 when quantity = 'dry' then 3 else " + QUALITY_SQL + " end as int) as rating from bt"))
 def lines_parse(spark, sf):
     """Answers with words, out-of-range values, and the last two lines missing."""
-    batched = materialize(enrich.assign_batches(sites(spark, sf), 20))
+    batched = materialize(enrich.assign_batches(named(spark, sf, "quantity"), 20))
     line = (
         F.when(F.col("installer").isNull(), "unclear").when(F.col("quantity") == "dry", "7")
         .otherwise(F.concat(F.lit(" "), rt.rate_name_quality(F.col("installer")).cast("string"))))

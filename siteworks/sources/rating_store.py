@@ -80,9 +80,9 @@ class RatingStore:
         Call between writes: a batch replayed later than this keeps its old number
         and is already part of the base.
         """
-        batches = self._subfolders("batches")
-        if batches:
-            last = batches[-1].rsplit("/", 1)[1]
+        batches, base = self._subfolders("batches"), self._base()
+        last = batches[-1].rsplit("/", 1)[1] if batches else ""
+        if batches and (base is None or last > base.rsplit("/", 1)[1]):
             self.read().write.mode("overwrite").parquet(f"{self.path}/base/{last}")
 
     def progress(self) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from siteworks.sources.rating_store import RATING_SCHEMA, RatingStore, latest_per_id
 
 
-def stream_upserts(spark: SparkSession, landing: str, store_path: str, checkpoint: str, files_per_trigger: int = 100) -> None:
+def stream_upserts(
+    spark: SparkSession, landing: str, store_path: str, checkpoint: str, files_per_trigger: int = 100, compact_every: int = 50
+) -> None:
     """Merge all JSON files that landed since the last run, then stop.
 
     A file batch is collapsed to one row per id and written under the stream's own
@@ -19,6 +21,8 @@ def stream_upserts(spark: SparkSession, landing: str, store_path: str, checkpoin
 
     def merge(rows: DataFrame, epoch: int) -> None:
         store.write_batch(latest_per_id(rows, "id", ["batch_completed", "timestamp"]), epoch)
+        if (epoch + 1) % compact_every == 0:
+            store.compact()
 
     query = (
         spark.readStream.schema(RATING_SCHEMA)
