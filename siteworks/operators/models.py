@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from siteworks.operators.metrics import accuracy_of
 from siteworks.operators.spatial import located
+from siteworks.session import materialize
 
 LABEL = "status_group"
 
@@ -31,6 +32,15 @@ def feature_frame(df: DataFrame, features: Sequence[str], keep: Sequence[str] =
     return df.select(*keep, *filled)
 
 
+def training_rows(df: DataFrame, key: str = "id") -> DataFrame:
+    """Store rows for fitting, spread over the session's shuffle partitions.
+
+    Learners read their rows many times, one task per partition; what adaptive
+    execution merged into a few partitions would leave most cores idle.
+    """
+    return materialize(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
+
+
 def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 

@@ -184,9 +184,19 @@ def _leaf_pairs(queries: DataFrame, tree: DataFrame, levels: list[int], need: in
     """Query leaf and every reference leaf that may hold a needed neighbour."""
     box = ["s", "t", "w", "e"]
     asked = _spread(queries.select("q", *[F.col(c).alias(f"q{c}") for c in box]), "q", points)
-    pairs = asked.withColumn("node", F.lit("0/0/0")).withColumn("is_leaf", F.lit(False))
-    pairs = pairs.withColumns({"size": F.lit(0).cast("bigint"), **{f"r{c}": F.lit(0.0) for c in box}})
-    for level in levels[1:]:
+    # Below the root there are at most 4 ** LEVELS_PER_STEP cells: constants, not a join side.
+    top = tree.where(F.col("at") == levels[1]).collect()
+    cells = [
+        F.struct(
+            F.lit(c.node).alias("node"),
+            F.lit(c.is_leaf).alias("is_leaf"),
+            F.lit(c["size"]).cast("bigint").alias("size"),
+            *[F.lit(c[n]).alias(f"r{n}") for n in box],
+        )
+        for c in top
+    ]
+    pairs = materialize(_prune(asked.select("*", F.inline(F.array(*cells))), need))
+    for level in levels[2:]:
         children = hinted(
             tree.where(F.col("at") == level).select(
                 F.col("parent").alias("node"),

@@ -15,11 +15,11 @@ SMALL = ["amount_tsh", "population", "latitude", "longitude", "asset_age", "quan
 
 
 def prepared(spark, sf, names, geo=False):
-    """Feature columns with a stratified split, stored because fits read it many times."""
+    """Feature columns, stored once, with a stratified split."""
     df = sites(spark, sf)
     full = ft.full_features(df) if geo else ft.add_codes(ft.add_columns(df))
-    split = splits.stratified_split(full, "id", "status_group", 0.2, 42)
-    return materialize(models.feature_frame(split, names, [*KEEP, "split"]))
+    stored = models.training_rows(models.feature_frame(full, names, KEEP))
+    return splits.stratified_split(stored, "id", "status_group", 0.2, 42)
 
 
 def fit_and_predict(spark, sf, estimator, names=ft.BASE, geo=False):
@@ -152,7 +152,7 @@ def score_new_rows(spark, sf):
     df = sites(spark, sf)
     known = df.where("construction_year > 0")
     new = df.where("construction_year = 0").drop("status_group")
-    train = materialize(models.feature_frame(ft.full_features(known), names, KEEP))
+    train = models.training_rows(models.feature_frame(ft.full_features(known), names, KEEP))
     model = models.fit_model(train, names, models.random_forest(15, 8))
     rows = models.feature_frame(ft.full_features(new, known), names, ["id"])
     return models.predict(model, rows, ["id"], "status_group")

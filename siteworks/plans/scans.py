@@ -6,9 +6,9 @@ from siteworks.functions import columns as fx
 from siteworks.operators import groups, voting
 from siteworks.operators.enrich import reprocess_ids
 from siteworks.operators.joins import map_back, only_listed
-from siteworks.plans.aggregates import CANDIDATES
+from siteworks.plans.aggregates import CANDIDATES, anova_sql
 from siteworks.plans.enrichment import DONE_SQL, STORED_SQL, rating_versions, stored_ratings
-from siteworks.plans.evaluation import VOTERS, VOTERS_SQL, grid_scores, tally_sql, voters
+from siteworks.plans.evaluation import GRID_SQL, VOTERS, VOTERS_SQL, grid_scores, tally_sql, voters
 from siteworks.plans.registry import iso, plan, r6, r6_all
 from siteworks.session import scratch_path
 from siteworks.sources import rating_store as rs
@@ -65,7 +65,8 @@ def upsert_latest(spark, sf):
     return store.read()
 
 
-@plan("rating_schema_empty")
+@plan("rating_schema_empty", with_sites("select c.*, 0 as rows_when_absent, (select count(*) from sites where construction_year > 0) + (select count(*) from sites where construction_year > 0 and scheme_name is null) as rows_offered from ("
+    + " union all ".join(f"select '{f.name}' as column_name, '{f.dataType.simpleString()}' as type" for f in rs.RATING_SCHEMA) + ") c"))
 def rating_schema_empty(spark, sf):
     """No file yet: the fallback chain ends in an empty, typed frame; with the table, its schema."""
     missing = scratch_path(spark, "absent")
@@ -113,7 +114,7 @@ def worklist_export(spark, sf):
     return spark.read.parquet(path)
 
 
-@plan("report_export")
+@plan("report_export", with_sites(GRID_SQL + "select age_limit, variant, round(val_score, 6) as val_score from gs"))
 def report_export(spark, sf):
     path = scratch_path(spark, "report")
     r6_all(grid_scores(spark, sf)).orderBy(F.desc("val_score"), "age_limit", "variant").write.json(path)
@@ -127,7 +128,7 @@ def file_inventory(spark, sf):
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.round(F.col("length") / 1048576.0, 3).alias("megabytes"))
 
 
-@plan("importance_export")
+@plan("importance_export", with_sites(", " + anova_sql("sites", "status_group", CANDIDATES).replace("as f_value", "as importance")))
 def importance_export(spark, sf):
     path = scratch_path(spark, "importance")
     scores = groups.anova_f(sites(spark, sf), CANDIDATES, "status_group")
