@@ -9,8 +9,9 @@ from siteworks.functions import columns as fx
 from siteworks.functions import text
 from siteworks.functions.ratings import RATINGS, all_ratings
 from siteworks.operators import groups, spatial
-from siteworks.operators.encode import apply_dictionary, as_category, fit_dictionary
+from siteworks.operators.encode import apply_dictionary, as_category, fit_dictionary, label_encode
 from siteworks.operators.joins import map_back
+from siteworks.operators.profile import columns_present
 
 ZERO_IS_MISSING = ["longitude", "latitude", "gps_height", "population"]
 CATEGORIES = ["quantity", "water_quality", "management", "extraction_type", "payment", "source", "basin", "region", "ward"]
@@ -23,6 +24,42 @@ INTERACTIONS = ["quantity_quality_interact", "ward_age_interact", "neighbor_time
 RATED = [f"rating_{r}" for r in RATINGS]
 
 
+# The two curated feature lists, by role.
+FEATURE_SETS = {
+    "lean": {
+        "numbers": ["amount_tsh", "longitude", "latitude", "gps_height", "population"],
+        "holes": ["longitude", "latitude", "gps_height"],
+        "categories": ["quantity", "waterpoint_type", "payment", "water_quality", "extraction_type"],
+    },
+    "fast": {
+        "numbers": ["amount_tsh", "gps_height", "longitude", "latitude", "population"],
+        "holes": ["longitude", "latitude", "gps_height", "population"],
+        "categories": ["quantity", "quantity_group", "waterpoint_type", "extraction_type", "management", "payment", "water_quality", "source_type"],
+    },
+}
+
+
+def feature_set(df: DataFrame, name: str, fill: float = -1) -> DataFrame:
+    """One curated list: numbers with flags for zeros, dates, age, category codes; gaps filled.
+
+    Columns the table lacks are skipped when the plan is built.
+    """
+    roles = FEATURE_SETS[name]
+    holes, categories = columns_present(df, roles["holes"]), columns_present(df, roles["categories"])
+    rows = df
+    for c in holes:
+        rows = rows.withColumn(c, fx.zero_to_null(F.col(c))).withColumn(f"{c}_missing", fx.missing_flag(F.col(c)))
+    numbers = rows.select(
+        "id",
+        *columns_present(df, roles["numbers"]),
+        *[f"{c}_missing" for c in holes],
+        F.year("date_recorded").alias("year_recorded"),
+        fx.days_since(F.col("date_recorded")).alias("days_since_recorded"),
+        fx.age_at_reference(F.col("construction_year")).alias("asset_age"),
+    )
+    return numbers.join(label_encode(df, categories), "id").fillna(fill)
+
+
 def add_columns(df: DataFrame) -> DataFrame:
     """Everything a row yields on its own: flags, dates, age, lengths, ratings."""
     out = df

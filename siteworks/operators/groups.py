@@ -73,6 +73,23 @@ def add_ward_statistics(df: DataFrame, reference: DataFrame | None = None) -> Da
     ).withColumn("ward_functional_ratio", F.coalesce("ward_functional_ratio", F.lit(0.5)))
 
 
+def own_row_excluded_rate(df: DataFrame, key: str, label: str, value: str, name: str) -> DataFrame:
+    """Share of a label among the *other* rows of the group; null for a lone row.
+
+    Keeps a row's own label out of its feature, which the plain group rate does not.
+    """
+    hit = F.when(F.col(label) == value, 1).otherwise(0)
+    sums = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(hit).alias("group_hits"), F.count("*").alias("group_rows"))
+    others = F.try_divide((F.col("group_hits") - hit).cast("double"), (F.col("group_rows") - 1).cast("double"))
+    return join_back(df, sums, [key]).withColumn(name, others).drop("group_hits", "group_rows")
+
+
+def distinct_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], approximate: bool = False) -> DataFrame:
+    """Distinct values per group, exact or as a mergeable estimate, named ``n_<column>``."""
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    return df.groupBy(*keys).agg(*[count(c).alias(f"n_{c}") for c in columns])
+
+
 def first_per_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Value of the first row by ``order``, per non-null key."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias(value))

@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,14 @@ def label_indexer(label: str = LABEL) -> StringIndexer:
     return StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
 
 
+def best_features(df: DataFrame, features: Sequence[str], k: int, label: str = LABEL) -> list[str]:
+    """Names of the k numeric features with the highest one-way F statistic."""
+    indexed = label_indexer(label).fit(df).transform(assembler(features).transform(df))
+    selector = UnivariateFeatureSelector(featuresCol="features", labelCol="label_index", selectionMode="numTopFeatures")
+    fitted = selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k).fit(indexed)
+    return [features[i] for i in sorted(fitted.selectedFeatures)]
+
+
 def random_forest(trees: int = 100, depth: int = 15, seed: int = 42, weight: str | None = None, **options):
     forest = RandomForestClassifier(labelCol="label_index", numTrees=trees, maxDepth=depth, seed=seed, **options)
     return forest.setWeightCol(weight) if weight else forest

@@ -110,3 +110,9 @@ def hash_cutoffs(
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows with the smallest hashes: a fixed sample, kept as a top-n per task."""
     return df.orderBy(row_hash(F.col(key), seed), F.col(key)).limit(n)
+
+
+def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
+    """A fixed sample of about the given share, decided row by row."""
+    place = F.conv(F.substring(row_hash(F.col(key), seed), 1, 8), 16, 10).cast("bigint")
+    return df.where(place < F.lit(int(fraction * 2**32)))

@@ -101,10 +101,9 @@ def value_counts(spark, sf):
     return r6_all(groups.value_counts(table(spark, sf, "events"), "event_type"))
 
 
-@plan("nunique", "select l_returnflag, count(distinct l_partkey) as n_parts, count(distinct l_suppkey) as n_suppliers from lineitem group by l_returnflag")
+@plan("nunique", "select l_returnflag, count(distinct l_partkey) as n_l_partkey, count(distinct l_suppkey) as n_l_suppkey from lineitem group by l_returnflag")
 def nunique(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+    return groups.distinct_counts(table(spark, sf, "lineitem"), ["l_returnflag"], ["l_partkey", "l_suppkey"])
 
 
 @plan("crosstab", with_sites("select region, " + ", ".join(
@@ -197,6 +196,14 @@ def ward_stats(spark, sf):
     return r6_all(out.select("id", "ward_site_count", "ward_functional_ratio"))
 
 
+@plan("ward_rate_without_self", with_sites("select id, round(cast(sum(cast(status_group = 'functional' as int)) over (partition by ward) - cast(status_group = 'functional' as int) as double) / nullif(count(*) over (partition by ward) - 1, 0), 6) as ward_functional_ratio from sites"))
+def ward_rate_without_self(spark, sf):
+    """The ward rate without the row's own label."""
+    df = sites(spark, sf).select("id", "ward", "status_group")
+    out = groups.own_row_excluded_rate(df, "ward", "status_group", groups.POSITIVE, "ward_functional_ratio")
+    return r6_all(out.select("id", "ward_functional_ratio"))
+
+
 @plan("installer_reliability", with_sites(f", r as (select installer, {FUNCTIONAL} as rate from sites where installer is not null group by installer) select s.id, round(r.rate, 6) as installer_reliability from sites s left join r on s.installer = r.installer"))
 def installer_reliability(spark, sf):
     df = sites(spark, sf).select("id", "installer", "status_group")

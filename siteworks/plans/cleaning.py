@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from siteworks.functions import columns as fx
 from siteworks.operators import profile
+from siteworks.operators.impute import impute
 from siteworks.operators.ordering import sample_rows
-from siteworks.operators.quantiles import exact_quantiles
-from siteworks.plans.registry import plan, r6
+from siteworks.plans.registry import plan, r6, r6_all
 from siteworks.sources.sites import sites, with_sites
 from siteworks.sources.tables import table
 
@@ -235,22 +235,20 @@ FITTED = ["latitude", "longitude", "population"]
     + ", ".join(f"round(coalesce(cast(nullif({c}, 0) as double), m_{c}), 6) as {c}" for c in FITTED) + " from sites, m"))
 def impute_median(spark, sf):
     """Fitted on the rows of two classes, applied to all rows."""
-    df = sites(spark, sf).select("id", "status_group", *[fx.zero_to_null(F.col(c)).cast("double").alias(c) for c in FITTED])
-    fit = df.where("status_group <> 'functional needs repair'")
-    out = df.select("id", *FITTED)
-    for c in FITTED:
-        middle = exact_quantiles(fit, c, {"m": 0.5}).select("m").scalar()
-        out = out.withColumn(c, r6(F.coalesce(F.col(c), middle)))
-    return out
+    return imputed(spark, sf, "median")
 
 
 @plan("impute_mean", with_sites(", m as (select " + ", ".join(f"avg(nullif({c}, 0)) as m_{c}" for c in FITTED)
     + " from sites where status_group <> 'functional needs repair') select id, "
     + ", ".join(f"round(coalesce(cast(nullif({c}, 0) as double), m_{c}), 6) as {c}" for c in FITTED) + " from sites, m"))
 def impute_mean(spark, sf):
-    df = sites(spark, sf).select("id", "status_group", *[fx.zero_to_null(F.col(c)).cast("double").alias(c) for c in FITTED])
-    means = df.where("status_group <> 'functional needs repair'").agg(F.struct(*[F.avg(c).alias(c) for c in FITTED]).alias("m")).scalar()
-    return df.select("id", *[r6(F.coalesce(F.col(c), means[c])).alias(c) for c in FITTED])
+    return imputed(spark, sf, "mean")
+
+
+def imputed(spark, sf, how):
+    df = sites(spark, sf).select("id", "status_group", *[fx.zero_to_null(F.col(c)).alias(c) for c in FITTED])
+    fit = df.where("status_group <> 'functional needs repair'")
+    return r6_all(impute(df.select("id", *FITTED), FITTED, how, fit))
 
 
 @plan("safe_ratio", with_sites("""select id, round(cast(population as double) / nullif(gps_height, 0), 6) as people_per_metre,

@@ -4,15 +4,12 @@ from pyspark.sql import functions as F
 
 from siteworks.functions import columns as fx
 from siteworks.operators import encode, splits
+from siteworks.operators.features import feature_set
 from siteworks.operators.models import assembler, feature_frame
-from siteworks.operators.profile import columns_present
 from siteworks.plans.derived import code_joins, codes_sql
 from siteworks.plans.registry import plan, r6, r6_all
 from siteworks.sources.sites import sites, with_sites
 
-# The curated feature lists by role.
-FAST_NUMBERS = ["amount_tsh", "gps_height", "longitude", "latitude", "population"]
-FAST_CATEGORIES = ["quantity", "waterpoint_type", "payment", "water_quality", "extraction_type"]
 ALL_CATEGORIES = ["quantity", "water_quality", "management", "extraction_type", "payment", "source", "basin",
                   "region", "ward", "district_code", "permit", "public_meeting", "funder", "installer"]
 # SQL text of a category: booleans in the capitalised form, null as 'nan'.
@@ -93,25 +90,23 @@ def assemble_vector(spark, sf):
     return assembler(names).transform(feature_frame(sites(spark, sf), names, ["id"])).select("id", F.col("features").cast("string").alias("features"))
 
 
-FAST_KEPT = ["quantity", "payment", "water_quality", "extraction_type"]
+def feature_set_sql(holes, kept):
+    numbers = [f"coalesce(nullif(s.{c}, 0), -1{'.0::double' if c in ('longitude', 'latitude') else ''}) as {c}" if c in holes else f"s.{c}"
+               for c in ["amount_tsh", "longitude", "latitude", "gps_height", "population"]]
+    flags = [f"cast(nullif(s.{c}, 0) is null as int) as {c}_missing" for c in holes]
+    codes = [f"e_{c}.code as {c}_encoded" for c in kept]
+    dates = ["cast(year(s.date_recorded) as int) as year_recorded", "cast(date_diff('day', s.date_recorded, date '2013-12-03') as int) as days_since_recorded", "2013 - s.construction_year as asset_age"]
+    return with_sites(codes_sql(kept) + "select s.id, " + ", ".join([*numbers, *flags, *dates, *codes]) + f" from sites s {code_joins(kept)}")
 
 
-@plan("feature_set_fast", with_sites(codes_sql(FAST_KEPT) + "select s.id, s.amount_tsh, coalesce(nullif(s.gps_height, 0), -1) as gps_height, coalesce(nullif(s.longitude, 0), -1.0::double) as longitude, coalesce(nullif(s.latitude, 0), -1.0::double) as latitude, s.population, "
-    "cast(nullif(s.longitude, 0) is null as int) as longitude_missing, cast(nullif(s.latitude, 0) is null as int) as latitude_missing, cast(nullif(s.gps_height, 0) is null as int) as gps_height_missing, "
-    + ", ".join(f"e_{c}.code as {c}_encoded" for c in FAST_KEPT) + ", cast(year(s.date_recorded) as int) as year_recorded, cast(date_diff('day', s.date_recorded, date '2013-12-03') as int) as days_since_recorded, 2013 - s.construction_year as asset_age "
-    f"from sites s {code_joins(FAST_KEPT)}"))
+@plan("feature_set_fast", feature_set_sql(["longitude", "latitude", "gps_height", "population"], ["quantity", "extraction_type", "management", "payment", "water_quality"]))
 def feature_set_fast(spark, sf):
-    """The lean feature list; columns the table lacks are skipped when the plan is built."""
-    df = sites(spark, sf)
-    present = columns_present(df, FAST_CATEGORIES)
-    holes = ["longitude", "latitude", "gps_height"]
-    for c in holes:
-        df = df.withColumn(c, fx.zero_to_null(F.col(c))).withColumn(f"{c}_missing", F.col(c).isNull().cast("int"))
-    numbers = df.select(
-        "id", *FAST_NUMBERS, *[f"{c}_missing" for c in holes],
-        F.year("date_recorded").alias("year_recorded"), fx.days_since(F.col("date_recorded")).alias("days_since_recorded"),
-        fx.age_at_reference(F.col("construction_year")).alias("asset_age"))
-    return numbers.join(encode.label_encode(df, present), "id").fillna(-1)
+    return feature_set(sites(spark, sf), "fast")
+
+
+@plan("feature_set_lean", feature_set_sql(["longitude", "latitude", "gps_height"], ["quantity", "payment", "water_quality", "extraction_type"]))
+def feature_set_lean(spark, sf):
+    return feature_set(sites(spark, sf), "lean")
 
 
 def split_sql(fraction, seed):

@@ -172,9 +172,9 @@ def blended(spark, sf, weights):
         r6(F.round(p[2], 9)).alias("p_non_functional"), voting.best_class(p).alias("vote"))
 
 
-@plan("proba_average", with_sites(blend_sql([0.25, 0.25, 0.5])))
+@plan("proba_average", with_sites(blend_sql([1 / 3] * 3)))
 def proba_average(spark, sf):
-    return blended(spark, sf, [0.25, 0.25, 0.5])
+    return blended(spark, sf, [1 / 3] * 3)
 
 
 @plan("proba_weighted", with_sites(blend_sql([0.4, 0.4, 0.2])))

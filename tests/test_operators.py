@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from siteworks.functions import columns as fx
 from siteworks.functions import ratings, text
-from siteworks.operators import encode, enrich, groups, metrics, ordering, quantiles, splits, voting
+from siteworks.operators import encode, enrich, groups, metrics, models, ordering, quantiles, splits, voting
+from siteworks.operators.impute import impute
 from siteworks.operators.voting import CLASSES
 
 
@@ -247,3 +248,44 @@ def test_lines_pad_and_cut(spark):
     answers = spark.createDataFrame([(1, "4\nx"), (2, "9\n1\n2")], "batch bigint, response string")
     got = {r.id: r.rating for r in enrich.parse_rating_lines(wanted, answers).collect()}
     assert got == {11: 4, 12: 3, 13: 3, 20: 3}
+
+
+# --- further rules ---------------------------------------------------------
+
+def test_rate_of_the_other_rows(spark):
+    df = spark.createDataFrame([(1, "w", "functional"), (2, "w", "x"), (3, "w", "functional"), (4, "v", "x")], "id bigint, ward string, y string")
+    got = {r.id: r.rate for r in groups.own_row_excluded_rate(df, "ward", "y", "functional", "rate").collect()}
+    assert got == {1: 0.5, 2: 1.0, 3: 0.5, 4: None}
+
+
+def test_sample_fraction_is_fixed_and_near_the_share(spark):
+    df = spark.range(20000)
+    taken = {r.id for r in ordering.sample_fraction(df, "id", 0.1, 3).collect()}
+    assert taken == {r.id for r in ordering.sample_fraction(df.repartition(7), "id", 0.1, 3).collect()}
+    assert 1800 < len(taken) < 2200
+
+
+def test_imputation_of_an_empty_fit_leaves_null(spark):
+    df = spark.createDataFrame([(1, None), (2, 4.0)], "id bigint, v double")
+    assert {r.id: r.v for r in impute(df, ["v"], "mean", df.where("v is null")).collect()} == {1: None, 2: 4.0}
+    assert {r.id: r.v for r in impute(df, ["v"], "median").collect()} == {1: 4.0, 2: 4.0}
+
+
+def test_probabilities_sum_to_one_and_features_are_picked(spark):
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 300)
+    frame = pd.DataFrame({"id": range(300), "a": y + rng.normal(0, 0.2, 300), "b": rng.normal(size=300), "status_group": [CLASSES[i] for i in y]})
+    df = spark.createDataFrame(frame)
+    assert models.best_features(df, ["b", "a"], 1) == ["a"]
+    model = models.fit_model(df, ["a", "b"], models.random_forest(5, 4))
+    rows = models.predict_probabilities(model, df).collect()
+    assert len(rows) == 300 and all(abs(r.p_0 + r.p_1 + r.p_2 - 1) < 1e-9 for r in rows)
+    assert models.score(model, df).first().score > 0.9
+    assert {r.feature for r in models.importances(model, ["a", "b"]).collect()} == {"a", "b"}
+
+
+def test_decoding_restores_values(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id bigint, c string")
+    dictionary = encode.fit_dictionary(df, ["c"])
+    coded = encode.apply_dictionary(df, dictionary, {"c": "code"}).drop("c")
+    assert {r.id: r.c for r in encode.decode(coded, dictionary, "c", "code", "c").collect()} == {1: "x", 2: "y"}
