@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siteworks.functions.columns import has_coordinates
 from siteworks.functions.geo import arc_km, haversine_km, inverse_density
-from siteworks.operators.joins import BROADCAST_ROWS, hinted, measured
+from siteworks.operators.joins import BROADCAST_ROWS, measured
 from siteworks.operators.ordering import ordered_positions
 from siteworks.session import materialize
 
@@ -104,7 +104,8 @@ def _leaves(spots: DataFrame) -> tuple[DataFrame, list[int], int]:
         part = part.select("latitude", "longitude", "ids", "level", "cy", "cx")
         settled = part if settled is None else settled.unionByName(part)
         if not overfull:
-            return materialize(settled), levels, frame.n
+            # Without joins the leaves are a projection of stored rows already.
+            return (settled if part is settled else materialize(settled)), levels, frame.n
         level += LEVELS_PER_STEP
         levels.append(level)
 
@@ -186,6 +187,7 @@ def _leaf_pairs(queries: DataFrame, tree: DataFrame, levels: list[int], need: in
     asked = _spread(queries.select("q", *[F.col(c).alias(f"q{c}") for c in box]), "q", points)
     # Below the root there are at most 4 ** LEVELS_PER_STEP cells: constants, not a join side.
     top = tree.where(F.col("at") == levels[1]).collect()
+    sizes = {r["at"]: r["count"] for r in tree.groupBy("at").count().collect()} if len(levels) > 2 else {}
     cells = [
         F.struct(
             F.lit(c.node).alias("node"),
@@ -197,15 +199,15 @@ def _leaf_pairs(queries: DataFrame, tree: DataFrame, levels: list[int], need: in
     ]
     pairs = materialize(_prune(asked.select("*", F.inline(F.array(*cells))), need))
     for level in levels[2:]:
-        children = hinted(
-            tree.where(F.col("at") == level).select(
-                F.col("parent").alias("node"),
-                F.col("node").alias("child"),
-                F.col("is_leaf").alias("child_leaf"),
-                F.col("size").alias("child_size"),
-                *[F.col(c).alias(f"c{c}") for c in box],
-            )
+        children = tree.where(F.col("at") == level).select(
+            F.col("parent").alias("node"),
+            F.col("node").alias("child"),
+            F.col("is_leaf").alias("child_leaf"),
+            F.col("size").alias("child_size"),
+            *[F.col(c).alias(f"c{c}") for c in box],
         )
+        if sizes.get(level, 0) <= BROADCAST_ROWS:
+            children = F.broadcast(children)
         pairs = pairs.select("q", *[f"q{c}" for c in box], "node", "is_leaf", "size", *[f"r{c}" for c in box])
         opened = (
             pairs.where(~F.col("is_leaf"))
@@ -243,7 +245,7 @@ def nearest_neighbors(queries: DataFrame, k: int, reference: DataFrame | None =
     """
     own = reference is None
     need = k + 1 if own else k
-    points, levels, _ = known_side = _leaves(_spots(queries if own else reference, need))
+    points, levels, n_known = known_side = _leaves(_spots(queries if own else reference, need))
     asked, asked_levels, n_asked = known_side if own else _leaves(_spots(queries, 1))
     if not levels or not asked_levels:
         return queries.sparkSession.createDataFrame([], "id bigint, rank int, nbr_id bigint, dist_km double")
@@ -252,6 +254,7 @@ def nearest_neighbors(queries: DataFrame, k: int, reference: DataFrame | None =
     query_leaves = _boxes(asked).withColumn("q", leaf)
     pairs = _leaf_pairs(query_leaves, tree, levels, need, n_asked)
     asked = _spread(asked.select(leaf.alias("q"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), "q", n_asked)
+    # At most ``need`` ids per spot, so the spots bound the rows.
     known = points.select(leaf.alias("node"), "latitude", "longitude", F.explode("ids").alias("nbr_id"))
     spot = ["q", "lat", "lon"]
     reached = asked.join(pairs, "q").withColumns({"ps": F.col("lat"), "pt": F.col("lat"), "pw": F.col("lon"), "pe": F.col("lon")})
@@ -261,7 +264,7 @@ def nearest_neighbors(queries: DataFrame, k: int, reference: DataFrame | None =
     nearest = Window.partitionBy(*spot).orderBy(F.round("dist_km", 9), "nbr_id")
     ranked = (
         reached.select(*spot, "node")
-        .join(hinted(known), "node")
+        .join(F.broadcast(known) if n_known * need <= BROADCAST_ROWS else known, "node")
         .select(*spot, "nbr_id", distance.alias("dist_km"))
         .withColumn("rank", F.row_number().over(nearest))
         .where(F.col("rank") <= need)
