@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siteworks.functions.geo import planar_distance
 from siteworks.operators.joins import measured
-from siteworks.operators.quantiles import exact_median, exact_quantiles
+from siteworks.operators.quantiles import exact_median, exact_medians, exact_quantiles
 
 POSITIVE = "functional"
 REPAIR = "functional needs repair"
@@ -117,9 +117,10 @@ def centroid_distance(df: DataFrame, key: str) -> DataFrame:
 
 def geographic_outliers(df: DataFrame, key: str, deviations: float = 2.0) -> DataFrame:
     """Flag rows farther from the group's median point than mean + 2 sample deviations."""
-    lat = exact_median(df, "latitude", [key], "median_lat")
-    lon = exact_median(df, "longitude", [key], "median_lon")
-    near = join_back(join_back(df, lat, [key]), lon, [key]).withColumn(
+    middles = exact_medians(df, ["latitude", "longitude"], [key]).withColumnsRenamed(
+        {"latitude": "median_lat", "longitude": "median_lon"}
+    )
+    near = join_back(df, middles, [key]).withColumn(
         "median_distance",
         planar_distance(F.col("latitude"), F.col("longitude"), F.col("median_lat"), F.col("median_lon")),
     )

@@ -7,17 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.operators.quantiles import exact_median
+from siteworks.operators.quantiles import exact_medians
 
 
 def impute(df: DataFrame, columns: Sequence[str], how: str = "median", fit_on: DataFrame | None = None) -> DataFrame:
     """Null becomes the exact median or the mean of the fitted rows, as a double."""
     source = df if fit_on is None else fit_on
     if how == "mean":
-        means = source.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m")).scalar()
-        fills = {c: means[c] for c in columns}
+        fills = source.agg(*[F.avg(c).alias(c) for c in columns])
     elif how == "median":
-        fills = {c: exact_median(source, c).select("median").scalar() for c in columns}
+        fills = exact_medians(source, columns)
     else:
         raise ValueError(f"how must be 'median' or 'mean', not {how!r}")
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), fills[c]) for c in columns})
+    filled = fills.select(F.struct(*columns).alias("fills")).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), filled[c]) for c in columns})

@@ -78,3 +78,11 @@ def _ranks(p: float):
 
 def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median") -> DataFrame:
     return exact_quantiles(df, value, {name: 0.5}, keys)
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Medians of several columns in one go: one row per group, one column each, same names."""
+    names = list(columns)
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(list(keys), names, "column_name", "value")
+    medians = exact_quantiles(long, "value", {"median": 0.5}, [*keys, "column_name"])
+    return medians.groupBy(*keys).agg(*[F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(c) for c in names])

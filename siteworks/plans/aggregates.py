@@ -1,11 +1,10 @@
 """Group statistics, quantiles, counts and composite group features."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteworks.functions.ratings import RATINGS, all_ratings
 from siteworks.operators import groups, profile
-from siteworks.operators.quantiles import exact_quantiles
+from siteworks.operators.quantiles import exact_medians, exact_quantiles
 from siteworks.operators.voting import health_score
 from siteworks.plans.derived import PAIRS_SQL
 from siteworks.plans.ratings_sql import RATED_SQL
@@ -80,9 +79,8 @@ def coordination_score(spark, sf):
 
 @plan("median_global", "select round(median(l_extendedprice), 6) as median_price, round(median(l_quantity), 6) as median_quantity from lineitem")
 def median_global(spark, sf):
-    df = table(spark, sf, "lineitem")
-    quantity = exact_quantiles(df, "l_quantity", {"m": 0.5}).select("m").scalar()
-    return exact_quantiles(df, "l_extendedprice", {"m": 0.5}).select(r6("m").alias("median_price"), r6(quantity).alias("median_quantity"))
+    out = exact_medians(table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"])
+    return out.select(r6("l_extendedprice").alias("median_price"), r6("l_quantity").alias("median_quantity"))
 
 
 @plan("median_group", with_sites("select ward, round(median(latitude), 6) as median_lat from sites where latitude is not null group by ward"))

@@ -7,7 +7,7 @@ from siteworks.operators import encode, splits
 from siteworks.operators.features import feature_set
 from siteworks.operators.models import assembler, feature_frame
 from siteworks.plans.derived import code_joins, codes_sql
-from siteworks.plans.registry import plan, r6, r6_all
+from siteworks.plans.registry import plan, r6_all
 from siteworks.sources.sites import sites, with_sites
 
 ALL_CATEGORIES = ["quantity", "water_quality", "management", "extraction_type", "payment", "source", "basin",

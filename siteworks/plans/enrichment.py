@@ -4,13 +4,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from siteworks.functions import ratings as rt
-from siteworks.operators import encode, enrich, groups, splits
-from siteworks.operators.joins import measured
-from siteworks.operators.quantiles import exact_median
+from siteworks.operators import enrich, groups
+from siteworks.operators.impute import impute
 from siteworks.plans.ratings_sql import COORDINATION_SQL, LANGUAGE_SQL, LOCATION_SQL, ORG_SQL, QUALITY_SQL, RATED_SQL, SCHEME_SQL
 from siteworks.plans.registry import plan, r6, r6_all
 from siteworks.session import materialize, scratch_path
-from siteworks.sources.rating_store import RATING_COLUMNS, RATING_SCHEMA, RatingStore
+from siteworks.sources.rating_store import RATING_COLUMNS, RatingStore
 from siteworks.sources.sites import sites, with_sites
 from siteworks.sources.tables import table
 from siteworks.streaming.rating_stream import stream_upserts
@@ -300,10 +299,9 @@ def rating_drift(spark, sf):
 @plan("rating_median_fill", with_sites(STORED_SQL + ", m as (select " + ", ".join(f"median(rating_{r}) as m_{r}" for r in RATINGS[:2]) + " from st) select s.id, " + ", ".join(f"round(coalesce(st.rating_{r}, m_{r}), 6) as rating_{r}" for r in RATINGS[:2]) + " from sites s left join st on s.id = st.id, m"))
 def rating_median_fill(spark, sf):
     known = materialize(stored_ratings(spark, sf))
-    out = sites(spark, sf).select("id").join(known, "id", "left")
-    for c in RATING_COLUMNS[:2]:
-        out = out.withColumn(c, F.coalesce(F.col(c), exact_median(known, c).select("median").scalar()))
-    return r6_all(out.select("id", *RATING_COLUMNS[:2]))
+    names = RATING_COLUMNS[:2]
+    rows = sites(spark, sf).select("id").join(known.select("id", *names), "id", "left")
+    return r6_all(impute(rows, names, "median", known))
 
 
 @plan("rating_reuse", with_sites(STORED_SQL + "select s.id, coalesce(st.rating_funder_org_type, cast(" + ORG_SQL.replace("funder", "s.funder") + " as double)) as funder_org_type, cast(st.rating_funder_org_type is not null as int) as reused from sites s left join st on s.id = st.id"))

@@ -6,7 +6,7 @@ from siteworks.functions import columns as fx
 from siteworks.operators import features as ft
 from siteworks.operators import groups, models, splits
 from siteworks.operators.joins import measured
-from siteworks.plans.registry import plan, r6, r6_all
+from siteworks.plans.registry import plan, r6_all
 from siteworks.session import materialize
 from siteworks.sources.sites import sites, with_sites
 

@@ -2,14 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from siteworks.functions import columns as fx
 from siteworks.operators import groups, voting
 from siteworks.operators.enrich import reprocess_ids
-from siteworks.operators.joins import map_back, only_listed
+from siteworks.operators.joins import only_listed
 from siteworks.plans.aggregates import CANDIDATES, anova_sql
 from siteworks.plans.enrichment import DONE_SQL, STORED_SQL, rating_versions, stored_ratings
 from siteworks.plans.evaluation import GRID_SQL, VOTERS, VOTERS_SQL, grid_scores, tally_sql, voters
-from siteworks.plans.registry import iso, plan, r6, r6_all
+from siteworks.plans.registry import iso, plan, r6_all
 from siteworks.session import scratch_path
 from siteworks.sources import rating_store as rs
 from siteworks.sources.sites import sites, with_sites

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siteworks.operators import spatial as sp
 from siteworks.operators.joins import map_back
-from siteworks.operators.quantiles import exact_median
+from siteworks.operators.quantiles import exact_medians
 from siteworks.plans.derived import HAVERSINE_SQL
 from siteworks.plans.registry import plan, r6, r6_all
 from siteworks.sources.sites import sites, with_sites
@@ -95,8 +95,8 @@ LIGHT = ["nearest_distance", "mean_distance", "neighbor_density"]
 def neighbor_light(spark, sf):
     df = sites(spark, sf)
     near = sp.materialize(sp.neighbor_distances(sp.nearest_neighbors(df, 5)).drop("mean_distance_5"))
-    middles = {c: exact_median(near, c).select("median").scalar() for c in LIGHT}
-    return r6_all(map_back(df.select("id"), near, "id", middles))
+    middles = exact_medians(near, LIGHT).select(F.struct(*LIGHT).alias("m")).scalar()
+    return r6_all(map_back(df.select("id"), near, "id", {c: middles[c] for c in LIGHT}))
 
 
 @plan("knn_small_n", with_sites(", r as (select id, status_group, latitude, longitude from sites where latitude <> 0 and longitude <> 0 and gps_height = 0 and population = 0 and quantity = 'dry' and permit is null and construction_year > 2014)"
