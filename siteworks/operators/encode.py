@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.operators.joins import BROADCAST_ROWS, measured
+from siteworks.operators.joins import hinted, measured
 from siteworks.operators.ordering import ordered_positions
 from siteworks.session import materialize
 
@@ -51,8 +51,7 @@ def apply_dictionary(
             F.col("value").alias(source), F.col("code").alias(target)
         )
         # Only a counted, small dictionary is broadcast; a larger one is an ordinary side.
-        codes = F.broadcast(codes) if sizes.get(source, 0) <= BROADCAST_ROWS else codes
-        out = out.join(codes, source, "left")
+        out = out.join(hinted(codes, sizes.get(source, 0)), source, "left")
         if unseen is not None:
             out = out.withColumn(target, F.coalesce(target, F.lit(unseen)))
     return out

@@ -7,26 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.session import materialize
+from siteworks.session import materialize_counted
 
 # A side is broadcast only after it was stored and found to hold at most this many rows.
 BROADCAST_ROWS = 300_000
 
 
-def hinted(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark an already stored side for broadcast only if its row count allows."""
-    if stored.limit(most + 1).count() <= most:
-        return F.broadcast(stored)
-    return stored
+def hinted(stored: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """Mark a side for broadcast only if its counted rows allow."""
+    return F.broadcast(stored) if rows <= (BROADCAST_ROWS if most is None else most) else stored
 
 
-def measured(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def measured(side: DataFrame, most: int | None = None) -> DataFrame:
     """Store a join side once and broadcast it only if it proves small.
 
     Beyond the bound it stays an ordinary side: Spark shuffles both inputs and
     adaptive execution splits the keys that hold too many rows.
     """
-    return hinted(materialize(side), most)
+    return hinted(*materialize_counted(side), most)
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

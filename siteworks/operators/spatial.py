@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from siteworks.functions.columns import has_coordinates
 from siteworks.functions.geo import arc_km, haversine_km, inverse_density
-from siteworks.operators.joins import BROADCAST_ROWS, measured
+from siteworks.operators.joins import hinted, measured
 from siteworks.operators.ordering import ordered_positions
-from siteworks.session import materialize
+from siteworks.session import materialize, materialize_counted
 
 LEAF_POINTS = 32
 LEVELS_PER_STEP = 2
@@ -91,19 +91,18 @@ def _leaves(spots: DataFrame) -> tuple[DataFrame, list[int], int]:
     settled = None
     while True:
         pending = pending.withColumn("level", F.lit(level)).withColumn("cy", _cell("y", level)).withColumn("cx", _cell("x", level))
-        full = materialize(
+        full, overfull = materialize_counted(
             pending.groupBy("cy", "cx").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_POINTS).select("cy", "cx")
         )
-        overfull = 0 if level >= FINEST_LEVEL else full.count()
-        if overfull:
-            full = F.broadcast(full) if overfull <= BROADCAST_ROWS else full
+        if overfull and level < FINEST_LEVEL:
+            full = hinted(full, overfull)
             part = pending.join(full, ["cy", "cx"], "left_anti")
             pending = pending.join(full, ["cy", "cx"], "left_semi")
         else:
             part = pending
         part = part.select("latitude", "longitude", "ids", "level", "cy", "cx")
         settled = part if settled is None else settled.unionByName(part)
-        if not overfull:
+        if not overfull or level >= FINEST_LEVEL:
             # Without joins the leaves are a projection of stored rows already.
             return (settled if part is settled else materialize(settled)), levels, frame.n
         level += LEVELS_PER_STEP
@@ -206,8 +205,7 @@ def _leaf_pairs(queries: DataFrame, tree: DataFrame, levels: list[int], need: in
             F.col("size").alias("child_size"),
             *[F.col(c).alias(f"c{c}") for c in box],
         )
-        if sizes.get(level, 0) <= BROADCAST_ROWS:
-            children = F.broadcast(children)
+        children = hinted(children, sizes.get(level, 0))
         pairs = pairs.select("q", *[f"q{c}" for c in box], "node", "is_leaf", "size", *[f"r{c}" for c in box])
         opened = (
             pairs.where(~F.col("is_leaf"))
@@ -264,7 +262,7 @@ def nearest_neighbors(queries: DataFrame, k: int, reference: DataFrame | None =
     nearest = Window.partitionBy(*spot).orderBy(F.round("dist_km", 9), "nbr_id")
     ranked = (
         reached.select(*spot, "node")
-        .join(F.broadcast(known) if n_known * need <= BROADCAST_ROWS else known, "node")
+        .join(hinted(known, n_known * need), "node")
         .select(*spot, "nbr_id", distance.alias("dist_km"))
         .withColumn("rank", F.row_number().over(nearest))
         .where(F.col("rank") <= need)

@@ -33,7 +33,7 @@ def test_no_cross_join_no_row_python_no_unbounded_window(spark, monkeypatch, nam
 
     import sys
 
-    for module in [m for n, m in sys.modules.items() if n.startswith("siteworks")]:
+    for module in [m for n, m in list(sys.modules.items()) if n.startswith("siteworks")]:
         if getattr(module, "materialize", None) is keep:
             monkeypatch.setattr(module, "materialize", watched)
     seen.append(physical(PLANS[name](spark, SF)))
@@ -60,19 +60,16 @@ def test_latest_row_combines_before_the_shuffle(spark):
     assert "partial_max_by" in physical(latest_per_id(df, "id", ["b"]))
 
 
-def test_sides_above_the_bound_are_not_broadcast(spark, monkeypatch):
+def test_sides_above_the_bound_are_not_broadcast(spark):
     small = spark.range(50)
-    assert "broadcast" in joins.hinted(small, 50)._jdf.queryExecution().analyzed().toString()
-    assert joins.hinted(small, 49) is small
+    assert "broadcast" in joins.hinted(small, 50, 50)._jdf.queryExecution().analyzed().toString()
+    assert joins.hinted(small, 50, 49) is small
 
 
 @pytest.mark.parametrize("bound", [0, 10**6])
 def test_results_do_not_depend_on_broadcasting(spark, monkeypatch, bound):
     """The same numbers with every measured side shuffled instead of broadcast."""
-    for module in (joins, encode, spatial):
-        monkeypatch.setattr(module, "BROADCAST_ROWS", bound)
-    monkeypatch.setattr(joins.hinted, "__defaults__", (bound,))
-    monkeypatch.setattr(joins.measured, "__defaults__", (bound,))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", bound)
     monkeypatch.setattr(spatial, "LIST_BROADCAST_ROWS", bound)
     n = 300
     df = spark.range(n).select(
