@@ -25,6 +25,13 @@ from siteworks.session import materialize
 
 LABEL = "status_group"
 
+# Recorded forest settings.
+FOREST_SETTINGS = {
+    "base": {"trees": 100, "seed": 42},
+    "tuned": {"trees": 200, "seed": 43},
+    "tuned_with_ratings": {"trees": 300, "seed": 999},
+}
+
 
 def feature_frame(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Keys plus numeric features with gaps filled by -1."""

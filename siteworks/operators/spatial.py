@@ -322,6 +322,24 @@ def neighbor_elevation(neighbors: DataFrame, attributes: DataFrame, column: str
     )
 
 
+def neighbor_features(neighbors: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Rate, distances, shared names and elevation of the neighbours: one join each way, one aggregation."""
+    names = ["installer", "funder"]
+    values = attributes.select("id", "status_group", "gps_height", *[F.coalesce(c, F.lit("unknown")).alias(c) for c in names])
+    both = gather(neighbors, values, ["status_group", "gps_height", *names]).join(values.drop("status_group"), "id")
+    height = F.col("nbr_gps_height").cast("double")
+    return both.groupBy("id").agg(
+        F.avg(F.when(F.col("nbr_status_group") == "functional", 1.0).otherwise(0.0)).alias("neighbor_functional_ratio"),
+        F.min("dist_km").alias("nearest_distance"),
+        F.avg(F.when(F.col("rank") <= 5, F.col("dist_km"))).alias("mean_distance_5"),
+        F.avg("dist_km").alias("mean_distance"),
+        inverse_density(F.avg("dist_km")).alias("neighbor_density"),
+        *[F.avg((F.col(f"nbr_{c}") == F.col(c)).cast("double")).alias(f"{c}_neighbor_share") for c in names],
+        F.avg(F.abs(height - F.col("gps_height"))).alias("neighbor_elevation_diff"),
+        F.stddev_pop(height).alias("neighbor_elevation_std"),
+    )
+
+
 def grid_cells(df: DataFrame, size: float) -> DataFrame:
     """Located rows with their grid cell, counted from the south-west corner."""
     rows = located(df)

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 CLASSES = ["functional", "functional needs repair", "non functional"]
 
 
+# The weights used for soft voting and for label voting.
+SOFT_WEIGHTS_3 = [0.4, 0.4, 0.2]
+SOFT_WEIGHTS_4 = [0.35, 0.35, 0.15, 0.15]
+LABEL_WEIGHTS = [2, 2, 1]
+
+
 def label_code(c: Column) -> Column:
     out = F.when(c == CLASSES[0], 0)
     for code, name in enumerate(CLASSES[1:], start=1):

@@ -118,9 +118,9 @@ def vote_majority(spark, sf):
     return voters(spark, sf).select("id", voting.majority_vote([F.col(v) for v in VOTERS]).alias("vote"))
 
 
-@plan("vote_weighted", with_sites(VOTERS_SQL + f"select id, {tally_sql([2, 2, 1])} as vote from vo"))
+@plan("vote_weighted", with_sites(VOTERS_SQL + f"select id, {tally_sql(voting.LABEL_WEIGHTS)} as vote from vo"))
 def vote_weighted(spark, sf):
-    return voters(spark, sf).select("id", voting.weighted_vote([F.col(v) for v in VOTERS], [2, 2, 1]).alias("vote"))
+    return voters(spark, sf).select("id", voting.weighted_vote([F.col(v) for v in VOTERS], voting.LABEL_WEIGHTS).alias("vote"))
 
 
 def code_sql(v):
@@ -177,9 +177,9 @@ def proba_average(spark, sf):
     return blended(spark, sf, [1 / 3] * 3)
 
 
-@plan("proba_weighted", with_sites(blend_sql([0.4, 0.4, 0.2])))
+@plan("proba_weighted", with_sites(blend_sql(voting.SOFT_WEIGHTS_3)))
 def proba_weighted(spark, sf):
-    return blended(spark, sf, [0.4, 0.4, 0.2])
+    return blended(spark, sf, voting.SOFT_WEIGHTS_3)
 
 
 @plan("overfit_gap", with_sites(VOTERS_SQL + split_sql(0.2, 42) + ", j as (select vo.*, sp.split from vo join sp on vo.id = sp.id), a as (" + scores_sql("j", "split")

@@ -87,6 +87,16 @@ def neighbor_elevation(spark, sf):
     return r6_all(sp.neighbor_elevation(sp.nearest_neighbors(df, 10), df))
 
 
+@plan("neighbor_features", with_sites(neighbors_sql(10) + "select nn.id, round(avg(case when b.status_group = 'functional' then 1.0::double else 0.0::double end), 6) as neighbor_functional_ratio, "
+    "round(min(dist_km), 6) as nearest_distance, round(avg(dist_km) filter (where rank <= 5), 6) as mean_distance_5, round(avg(dist_km), 6) as mean_distance, round(1.0::double / (avg(dist_km) + 0.1::double), 6) as neighbor_density, "
+    + ", ".join(f"round(avg(case when coalesce(b.{c}, 'unknown') = coalesce(a.{c}, 'unknown') then 1.0::double else 0.0::double end), 6) as {c}_neighbor_share" for c in ["installer", "funder"])
+    + ", round(avg(abs(b.gps_height - a.gps_height)), 6) as neighbor_elevation_diff, round(stddev_pop(b.gps_height), 6) as neighbor_elevation_std from nn join sites a on a.id = nn.id join sites b on b.id = nn.nbr_id group by nn.id"))
+def neighbor_features(spark, sf):
+    """All neighbour features from one search."""
+    df = sites(spark, sf)
+    return r6_all(sp.neighbor_features(sp.nearest_neighbors(df, 10), df))
+
+
 LIGHT = ["nearest_distance", "mean_distance", "neighbor_density"]
 
 
