@@ -109,10 +109,13 @@ def _stretches(length: int, window: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _shared(rows: DataFrame, bucket: str, member: str) -> DataFrame:
-    """Rows of buckets that weigh more than one; ``mixed`` where their members differ."""
+    """Rows of buckets that weigh more than one; ``mixed`` where their members differ.
+
+    The totals are stored, so that the join has two plain shuffles as sides and Spark can split a hot bucket.
+    """
     total = rows.groupBy(bucket).agg(F.sum("weight").alias("total"), F.min(member).alias("m0"), F.max(member).alias("m1"))
     kept = total.where("total > 1").select(bucket, (F.col("m0") != F.col("m1")).alias("mixed"))
-    return rows.join(kept, bucket)
+    return rows.join(store(kept, f"{bucket}-totals"), bucket)
 
 
 def _blocks(length: int, period: int) -> Column:
@@ -188,7 +191,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     at = ["row", (F.col("start") + F.col("s")).alias("start"), (F.col("start") + F.col("e") + length).alias("end")]
     even = own.where("not mixed").select(*at)
     tied = blocks.where("mixed").groupBy("rank", "block").agg(F.sum("weight").alias("ties"))
-    judged = store(blocks.where("mixed").join(tied, ["rank", "block"]), "cover-ties")
+    judged = store(blocks.where("mixed").join(store(tied, "block-ties"), ["rank", "block"]), "cover-ties")
     equal = judged.where("weight = 1 and ties > 1").select(*at)
 
     # What is left of a block: each suffix by its rank and the bytes before and after the ranked string.
@@ -201,7 +204,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     )
     suffixes = store(suffixes, "suffixes")
     same = suffixes.groupBy("head", "tail").agg(F.sum("weight").alias("ties")).where("ties > 1")
-    ends = suffixes.where("weight = 1").join(same, ["head", "tail"]).select("row", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    ends = suffixes.where("weight = 1").join(store(same, "suffix-ties"), ["head", "tail"]).select("row", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
 
     found = settled.union(copied).union(even).union(equal).union(ends)
     return _merged(found)
