@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from siteworks.session import scratch_path
 
 #: Bytes of text that are hashed at once: bounds the arrays of a task whatever the size of a document.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
+#: Rows of an Arrow batch that are handled at once.
+SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +86,13 @@ class ByteHash:
         return (sums[end] - sums[start]) * self.up[start]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what is made of them is small too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 

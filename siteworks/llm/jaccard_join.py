@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import ByteHash, chunks, components, mix, row_key, signed, store, text_bytes
+from siteworks.llm.common import ByteHash, chunks, components, mix, row_key, slices, store, text_bytes
 
 SHINGLE = 3
 PERCENT = 90
@@ -82,7 +82,7 @@ def _prefixes(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHash(3, _LOWER)
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(2))
             keys: list[list[int]] = [[] for _ in texts]
             nodes, counts = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
@@ -144,7 +144,7 @@ def _runs(who: np.ndarray, values: np.ndarray) -> tuple[list[int], list[list[int
 def _shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHash(3, _LOWER)
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(1))
             for i, text in enumerate(texts):
                 _, what = _set_of([0], [text], size, hasher)
@@ -177,6 +177,7 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     made = store(made, "shingle-prefixes")
     keys = made.where("node is not null").select("node", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
+    shared = store(shared, "shared-keys")  # a plain side: Spark can split what a hot key joins
     near = store(keys.join(shared, "key").select("key", "node", "n", "least").distinct(), "shared-prefixes")
 
     # Sets of the nodes that share a prefix with another, from one document each.
@@ -189,6 +190,7 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     roots = components(links, "near")
     grouped = near.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     split = grouped.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    split = store(split, "split-keys")
     open_ = store(grouped.join(split, "key"), "open-prefixes")
     a, b = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root")]) for side in "ab")
     alike = (F.col("root_a") < F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))

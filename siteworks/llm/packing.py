@@ -17,9 +17,13 @@ pieces of its length: a sum over buckets of a digest plus a rank within the buck
 from __future__ import annotations
 
 import heapq
+import os
+import sys
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -27,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import row_key, store_counted, text_bytes
+from siteworks.llm.common import row_key, slices, store_counted
 
 CAPACITY = 4096
 END_ID = 1
 BUCKET_ROWS = 4096
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -47,32 +51,73 @@ class WordIds:
     """Ids of texts, word by word: this tokenizer never joins across white space, and words repeat.
 
     The few characters that only one of the two sides takes for white space send a text through whole.
+    Two generations of known words are kept: when the young one is full it becomes the old.
     """
 
     ODD = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, path: str):
+        # Tasks are parallel already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1 << 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, all at once: each is one unit to the tokenizer, and its last id says so."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(words):
+            return self._encode(words)
+        joined, cuts = ids.tobytes(), [0, *ends.tolist()]
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if any(c in text for c in self.ODD):
-            return self._encode([text])[0]
-        words = text.split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096]), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if sys.byteorder == "little":
+            return [array("I", e.ids).tobytes() for e in made]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        """A Latin word in lower case and the mark after it: the tokenizer keeps letters and marks apart, and lowers both."""
+        core, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        if not core.isalpha() or not core.isascii() and max(core) >= "\u0250":
+            return word, ""
+        return core if core.islower() else core.lower(), tail
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
+        young, old = self.young, self.old
+        if len(young) > CACHE_WORDS:
+            self.old, self.young = young, {}
+            young, old = self.young, self.old
+        missing = set(chain.from_iterable(w for w in split if w)).difference(young)
+        again = missing.intersection(old)
+        young.update((w, old[w]) for w in again)
+        missing -= again
+        parts = [(word, *self._parts(word)) for word in missing]
+        wanted = {core for _, core, _ in parts} | {tail for _, _, tail in parts if tail}
+        unknown = list(wanted.difference(young))
+        letters = [w for w in unknown if w.isalpha()]
+        others = [w for w in unknown if not w.isalpha()]
+        for words, encode in ((letters, self._encode_letters), (others, self._encode)):
+            for at in range(0, len(words), 4096):
+                some = words[at : at + 4096]
+                young.update(zip(some, encode(some), strict=True))
+        for word, core, tail in parts:
+            if tail:
+                young[word] = young[core] + young[tail]
+            elif core is not word:
+                young[word] = young[core]
+        return [self._encode([t])[0] if words is None else b"".join(map(young.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -85,11 +130,12 @@ def _pieces(path: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _word_ids(path)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             docs, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple] = []
-            for doc, row, text in zip(docs, rows, text_bytes(batch.column(2)), strict=True):
-                ids = ids_of(text.decode()) + end
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            for doc, row, ids in zip(docs, rows, ids_of(texts), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     values = (doc, row, k, at // 4, len(piece) // 4, crc32(piece))

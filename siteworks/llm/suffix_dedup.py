@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import ByteHash, chunks, mix, row_key, signed, store, text_bytes
+from siteworks.llm.common import ByteHash, chunks, mix, row_key, signed, slices, store, text_bytes
 
 LENGTH = 400
 WINDOW = 257
@@ -70,7 +70,7 @@ def _stretches(length: int, window: int) -> Callable[[Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = ByteHash(1), ByteHash(2)
-        for batch in batches:
+        for batch in slices(batches):
             rows, texts = batch.column(0).to_numpy(zero_copy_only=False), text_bytes(batch.column(1))
             for index, starts, parts in chunks(texts, overlap=length - 1):
                 sizes = np.array([len(p) for p in parts])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import store
+from siteworks.llm.common import slices, store
 
 #: Labelled documents that are learned from, at most about: chosen by a hash of the id.
 TRAIN_ROWS = 20_000
@@ -161,7 +161,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     held = [Counter() for _ in range(4)]
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             uses: Counter = Counter()
             for word, n in Counter(_WORD.findall((text or "").lower())).items():
@@ -222,7 +222,7 @@ def fit_curve(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> l
 def _features(lexicon: dict[str, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             made = [scorer(t or "") for t in batch.column(0).to_pylist()]
             columns = [pa.array([m[k] for m in made], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=["total", "most", "density", "toxic"])
@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[fl
 def _score(lexicon: dict[str, float], curve: list[float], column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
             for text in batch.column(column).to_pylist():
                 z = curve[0] + sum(w * f for w, f in zip(curve[1:], scorer(text or ""), strict=True))
