@@ -93,6 +93,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def grouped_rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal keys; a run may go on over batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True))
+        start = 0
+        for at in range(batch.num_rows):
+            if key[at] != last:
+                if at > start:
+                    held.append(batch.slice(start, at - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], at, key[at]
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 

@@ -13,14 +13,16 @@ fewer others than one frequent shingle would be, whatever passage is common.
 
 *Copies.* Documents with equal sets are one node throughout. *Verification* counts
 the common shingles of a candidate pair exactly. Nodes that share a prefix are first
-verified against the smallest of them only; groups of linked nodes are formed; then
-those that share a prefix but stand in different groups are verified one by one. So a
-large group of near copies costs a multiple of its size, not its square, and every pair
-that could join two groups is still looked at.
+verified against the smallest of them only, then against one of the largest group of linked
+nodes among them. What stays in different groups is taken pair by pair, in blocks, where
+a finer split of the orders is intersected before a pair is even written down: linked
+sets differ in ``d`` of its cells at most. So a large group of near copies writes about a
+multiple of its size, and every pair that could join two groups is still looked at.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import ByteHash, chunks, components, mix, row_key, slices, store, text_bytes
+from siteworks.llm.common import ByteHash, chunks, components, grouped_rows, mix, row_key, slices, store, text_bytes
 
 SHINGLE = 3
 PERCENT = 90
 #: Sets up to this size link with equal sets only (at 90 %, 9 of 10 is the first difference allowed).
 GROWTH = 1.5
+#: Prefixes with more open nodes than this are compared in blocks of ``BLOCK`` nodes instead of joined.
+FEW = 8
+BLOCK = 512
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -108,7 +113,7 @@ def _prefixes(size: int, percent: int):
                     new = np.append(True, (who[1:] != who[:-1]) | (cell[1:] != cell[:-1]))
                     new = np.flatnonzero(new)
                     mark = (at[np.searchsorted(begin, new, side="right") - 1].astype(np.uint64) << np.uint64(40)) + cell[new].astype(np.uint64)
-                    key = mix(np.add.reduceat(spread, new) ^ mix(mark))
+                    key = _with_level(mix(np.add.reduceat(spread, new) ^ mix(mark)), mark)
                     keep = rows[new]
                     for d, k in zip(*_runs(who[new][keep], key[keep]), strict=True):
                         keys[d].extend(k)
@@ -117,7 +122,8 @@ def _prefixes(size: int, percent: int):
                     for j in np.flatnonzero(takes & (cells - filled > 1)):
                         mine = new[(new >= begin[j]) & (new < begin[j] + n[j])]
                         empty = np.setdiff1d(np.arange(cells[j]), cell[mine]).astype(np.uint64)
-                        keys[who[begin[j]]].extend(mix(mix((np.uint64(at[j]) << np.uint64(40)) + empty)).view(np.int64).tolist())
+                        mark = (np.uint64(at[j]) << np.uint64(40)) + empty
+                        keys[who[begin[j]]].extend(_with_level(mix(mix(mark)), mark).view(np.int64).tolist())
             has = counts > 0
             yield pa.RecordBatch.from_arrays(
                 [
@@ -133,6 +139,11 @@ def _prefixes(size: int, percent: int):
     return run
 
 
+def _with_level(key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The last bit of a key tells odd size classes from even ones: a set takes part in one of each."""
+    return (key & ~np.uint64(1)) | (mark >> np.uint64(40) & np.uint64(1))
+
+
 def _runs(who: np.ndarray, values: np.ndarray) -> tuple[list[int], list[list[int]]]:
     """Values by owner; ``who`` is sorted."""
     if not len(who):
@@ -141,14 +152,61 @@ def _runs(who: np.ndarray, values: np.ndarray) -> tuple[list[int], list[list[int
     return who[np.append(0, cut)].tolist(), [v.view(np.int64).tolist() for v in np.split(values, cut)]
 
 
-def _shingles(size: int):
+def _shingles(size: int, percent: int):
+    """The sets themselves, and for either size class a checksum of each cell of a finer split."""
+    bounds = size_classes(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHash(3, _LOWER)
-        for batch in slices(batches):
-            texts = text_bytes(batch.column(1))
-            for i, text in enumerate(texts):
+        for batch in slices(batches, 64):
+            sets, odd, fine = [], [], []
+            for text in text_bytes(batch.column(1)):
                 _, what = _set_of([0], [text], size, hasher)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([what.view(np.int64)], pa.list_(pa.int64()))], names=["node", "items"])
+                level = bisect_left(bounds, len(what))
+                checks = []
+                for upper in bounds[level : level + 2]:
+                    cells = 8 * (2 * upper * (100 - percent) // (100 + percent) + 1)
+                    check = np.zeros(cells, dtype=np.uint16)
+                    at = ((what & np.uint64(0xFFFFFFFF)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+                    np.add.at(check, at, mix(what).astype(np.uint16))
+                    checks.append(check.tobytes())
+                sets.append(what.view(np.int64))
+                odd.append(level % 2)
+                fine.append(checks)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(odd, pa.int32()), *[pa.array([f[k] for f in fine], pa.binary()) for k in (0, 1)]],
+                names=["node", "items", "odd", "own", "above"],
+            )
+
+    return run
+
+
+def _alike(percent: int):
+    """Pairs (a, b) of a block pair in different groups whose finer cells differ in no more than linked sets could."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["key", "i", "j"]
+
+        def pairs(part: pa.Table) -> pa.RecordBatch:
+            node, n, root, block = (part[c].to_numpy() for c in ("node", "n", "root", "block"))
+            fine = np.frombuffer(b"".join(part["fine"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)
+            across = part["i"][0].as_py() != part["j"][0].as_py()
+            left, right = [], []
+            for r in range(len(node) - 1):
+                rest = slice(r + 1, None)
+                may = (root[rest] != root[r]) & (100 * np.minimum(n[rest], n[r]) >= percent * np.maximum(n[rest], n[r]))
+                if across:
+                    may &= block[rest] != block[r]
+                of = np.flatnonzero(may) + r + 1
+                if len(of):
+                    differ = (fine[of] != fine[r]).sum(axis=1)
+                    of = of[differ <= (n[of] + n[r]) * (100 - percent) // (100 + percent)]
+                    left.append(np.minimum(node[of], node[r]))
+                    right.append(np.maximum(node[of], node[r]))
+            join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(join(left), pa.int64()), pa.array(join(right), pa.int64())], names=["a", "b"])
+
+        yield from map(pairs, grouped_rows(batches, keys))
 
     return run
 
@@ -163,6 +221,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Da
     return store(counted.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), label)
 
 
+def _open(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``near`` (key, node, n) with their groups, for prefixes that more than one group shares."""
+    rows = store(near.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "grouped")
+    split = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    return store(rows.join(store(split, "split-keys"), "key"), "open")
+
+
 def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -183,20 +248,37 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     # Sets of the nodes that share a prefix with another, from one document each.
     wanted = made.join(near.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     texts = keyed.select("row", "text").join(wanted, "row").select("node", "text")
-    sets = store(texts.mapInArrow(_shingles(shingle), "node long, items array<long>").dropDuplicates(["node"]), "shingle-sets")
+    sets = store(texts.mapInArrow(_shingles(shingle, percent), "node long, items array<long>, odd int, own binary, above binary").dropDuplicates(["node"]), "shingle-sets")
 
-    tried = near.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    # First against the smallest node of a prefix, then against one of its largest group.
+    tried = store(near.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "tried")
     links = _verified(tried, sets, percent, "links")
-    roots = components(links, "near")
-    grouped = near.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    split = grouped.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    split = store(split, "split-keys")
-    open_ = store(grouped.join(split, "key"), "open-prefixes")
-    a, b = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root")]) for side in "ab")
+    open_ = _open(near.select("key", "node", "n"), components(links, "near"))
+    sizes = open_.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("size"))
+    ranked = open_.join(sizes, "root").select("key", "node", "root", "size", F.col("node").bitwiseXOR(F.col("key")).alias("draw"))
+    chosen = ranked.groupBy("key").agg(F.max(F.struct("size", "root", "draw")).alias("most"))
+    chosen = store(chosen.select("key", F.col("most.root").alias("into"), F.col("most.draw").bitwiseXOR(F.col("key")).alias("one")), "chosen")
+    second = open_.join(chosen, "key").where("root <> into").select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b"))
+    second = store(second.distinct().join(tried, ["a", "b"], "left_anti"), "tried-next")
+    links = store(links.union(_verified(second, sets, percent, "links-next")), "links-both")
+
+    # What is still apart: few nodes of a prefix are joined, many compared in blocks.
+    open_ = _open(open_.select("key", "node", "n"), components(links, "next"))
+    counted = store(open_.groupBy("key").agg(F.count("*").alias("open")), "open-counts")
+    open_ = store(open_.join(counted, "key"), "open-counted")
+    few = open_.where(F.col("open") <= FEW)
+    a, b = (few.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root")]) for side in "ab")
     alike = (F.col("root_a") < F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    rest = a.join(b, "key").where(alike).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    more = _verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent, "more-links")
-    roots = components(links.union(more), "all")
+    rest = a.join(b, "key").where(alike).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    many = open_.where(F.col("open") > FEW).withColumn("blocks", F.ceil(F.col("open") / BLOCK).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("key", "node", "n", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    fine = F.when(F.col("key").bitwiseAND(1) == F.col("odd"), F.col("own")).otherwise(F.col("above"))
+    many = many.join(sets.select("node", "odd", "own", "above"), "node").select(*many.columns, fine.alias("fine"))
+    blocks = many.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_alike(percent), "a long, b long")
+    rest = store(rest.union(blocks).distinct().join(tried.union(second), ["a", "b"], "left_anti"), "tried-last")
+    roots = components(links.union(_verified(rest, sets, percent, "links-last")), "all")
 
     grouped = made.select("doc_id", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("first"))

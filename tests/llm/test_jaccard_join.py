@@ -47,12 +47,19 @@ def corpus(seed):
     common = " ".join(rng.choice(words) + "q" for _ in range(60))
     texts += [common + " " + " ".join(f"u{rng.random()}" for _ in range(40)) for _ in range(40)]
     texts += [common + " " + " ".join(f"u{rng.random()}" for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    base = [f"n{i}" for i in range(148)]
+    for _ in range(90):  # copies a few edits apart: only some pairs link
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 9)}"
+        texts.append(" ".join(copy))
     rng.shuffle(texts)
     return texts
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_equals_all_pairs(spark, seed):
+def test_equals_all_pairs(spark, seed, monkeypatch):
+    monkeypatch.setattr("siteworks.llm.jaccard_join.BLOCK", 16)
     texts = corpus(seed)
     rows = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id long, text string, node int").repartition(3)
     got = sorted(tuple(r) for r in link_documents(rows).collect())
