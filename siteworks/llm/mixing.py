@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Weight of a source at the end of training over that at its start; by place in the list of sources.
 SLOPES = (0.5, 1.0, 2.0)
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: A number of buckets at most: the digest's first eight hex digits choose one.
 DIGITS = 8
 
