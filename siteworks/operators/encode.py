@@ -87,12 +87,24 @@ def extend_dictionary(dictionary: DataFrame, df: DataFrame, source: str) -> Data
     return of_column.unionByName(added)
 
 
-def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_encoded") -> DataFrame:
-    """Fit and apply on the same rows."""
-    text = as_category(df.select("id", *columns), columns)
-    dictionary = fit_dictionary(text, columns)
-    coded = apply_dictionary(text, dictionary, {c: c + suffix for c in columns})
-    return coded.select("id", *[c + suffix for c in columns])
+def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_encoded", keep: Sequence[str] = ("id",)) -> DataFrame:
+    """Fit and apply on the same rows; the columns in ``keep`` come along, so no join by id is needed."""
+    return add_codes(df.select(*dict.fromkeys([*keep, *columns])), columns, suffix=suffix).select(*keep, *[c + suffix for c in columns])
+
+
+def add_codes(
+    df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None, unseen: int | None = None, suffix: str = "_encoded"
+) -> DataFrame:
+    """``df`` with a code column for each of ``columns``, which stay as they are."""
+    text = {c: f"{c}{suffix}_text" for c in columns}
+
+    def as_text(rows: DataFrame) -> DataFrame:
+        return as_category(rows.withColumns({name: F.col(c) for c, name in text.items()}), list(text.values()))
+
+    source = as_text((df if fit_on is None else fit_on).select(*columns))
+    dictionary = fit_dictionary(source, list(text.values()))
+    coded = apply_dictionary(as_text(df), dictionary, {name: c + suffix for c, name in text.items()}, unseen)
+    return coded.drop(*text.values())
 
 
 def standardize(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -158,31 +158,35 @@ def response_items(text: Column) -> Column:
 
 def clamp_rating(value: Column, default: int) -> Column:
     number = value.try_cast("double")
+    number = F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
     return F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.coalesce(number, F.lit(float(default)))))
 
 
 def normalize_responses(requested: DataFrame, responses: DataFrame) -> DataFrame:
     """One row per requested ``(batch, id)`` with six ratings and a status.
 
-    ``responses`` has one ``batch, response`` row per batch. Ids outside the batch are ignored, repeated
-    ids count once (the first), and what is missing takes the fall-back values.
+    ``responses`` has ``batch, response`` rows, several per batch where a request was repeated; an id
+    takes its best answer: intact before repaired, then the first text in order. Ids outside the
+    batch are ignored, repeated ids of an answer count once (the first), and what is missing, not a
+    number or infinite takes the fall-back values.
     Status: ``ok``, ``repaired``, ``absent`` (row missing) or ``failed`` (not readable).
     """
-    # A batch has a handful of ids, so they travel with its response: one join, one parse.
+    # A batch has a handful of ids, so they travel with its responses: one join, one parse.
     asked = requested.groupBy("batch").agg(F.collect_set("id").alias("ids"))
     parsed = (
         asked.join(responses, "batch", "left")
         .withColumn("direct", response_items(F.col("response")))
         .withColumn("items", F.coalesce("direct", response_items(repair_json(F.col("response")))))
-        .select("batch", "ids", "items", F.col("direct").isNotNull().alias("intact"))
+        .select("batch", "ids", "items", "response", F.col("direct").isNotNull().alias("intact"))
     )
     matches = F.filter("items", lambda x: x["id"].try_cast("bigint") == F.col("id"))
-    matched = parsed.select("batch", "items", "intact", F.explode("ids").alias("id")).withColumn("item", F.get(matches, F.lit(0)))
-    status = (
-        F.when(F.col("items").isNull(), "failed").when(F.col("item").isNull(), "absent").when(F.col("intact"), "ok").otherwise("repaired")
-    )
-    return matched.select(
-        "batch", "id", *[clamp_rating(F.col("item")[n], RATING_DEFAULTS[n]).alias(n) for n in RATINGS], status.alias("status")
+    matched = parsed.select("batch", "items", "intact", "response", F.explode("ids").alias("id")).withColumn("item", F.get(matches, F.lit(0)))
+    rank = F.when(F.col("items").isNull(), 3).when(F.col("item").isNull(), 2).when(F.col("intact"), 0).otherwise(1)
+    values = F.struct(*[F.col("item")[n].alias(n) for n in RATINGS])
+    best = matched.groupBy("batch", "id").agg(F.min(F.struct(rank.alias("rank"), "response", values.alias("values"))).alias("best"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("ok", "repaired", "absent", "failed")]), F.col("best.rank") + 1)
+    return best.select(
+        "batch", "id", *[clamp_rating(F.col("best.values")[n], RATING_DEFAULTS[n]).alias(n) for n in RATINGS], status.alias("status")
     )
 
 

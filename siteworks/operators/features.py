@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from siteworks.functions import columns as fx
 from siteworks.functions import text
 from siteworks.functions.ratings import RATINGS, all_ratings
-from siteworks.operators import groups, spatial
-from siteworks.operators.encode import apply_dictionary, as_category, fit_dictionary, label_encode
+from siteworks.operators import encode, groups, spatial
 from siteworks.operators.joins import map_back
 from siteworks.operators.profile import columns_present
 
@@ -51,13 +50,14 @@ def feature_set(df: DataFrame, name: str, fill: float = -1) -> DataFrame:
         rows = rows.withColumn(c, fx.zero_to_null(F.col(c))).withColumn(f"{c}_missing", fx.missing_flag(F.col(c)))
     numbers = rows.select(
         "id",
+        *categories,
         *columns_present(df, roles["numbers"]),
         *[f"{c}_missing" for c in holes],
         F.year("date_recorded").alias("year_recorded"),
         fx.days_since(F.col("date_recorded")).alias("days_since_recorded"),
         fx.age_at_reference(F.col("construction_year")).alias("asset_age"),
     )
-    return numbers.join(label_encode(df, categories), "id").fillna(fill)
+    return encode.add_codes(numbers, categories).drop(*categories).fillna(fill)
 
 
 def add_columns(df: DataFrame) -> DataFrame:
@@ -80,11 +80,7 @@ def add_columns(df: DataFrame) -> DataFrame:
 
 def add_codes(df: DataFrame, fit_on: DataFrame | None = None, columns: list[str] = CATEGORIES) -> DataFrame:
     """Category codes of one dictionary; values the fitted rows lack become -1."""
-    source = df if fit_on is None else fit_on
-    dictionary = fit_dictionary(as_category(source.select(*columns), columns), columns)
-    text_form = as_category(df.select("id", *columns), columns)
-    codes = apply_dictionary(text_form, dictionary, {c: f"{c}_encoded" for c in columns}, unseen=-1)
-    return df.join(codes.drop(*columns), "id")
+    return encode.add_codes(df, columns, fit_on, unseen=-1)
 
 
 def add_geo(df: DataFrame, reference: DataFrame | None = None, k: int = 10) -> DataFrame:

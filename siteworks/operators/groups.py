@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteworks.functions.geo import planar_distance
 from siteworks.operators.joins import measured
 from siteworks.operators.quantiles import exact_median, exact_medians, exact_quantiles
+from siteworks.session import materialize
 
 POSITIVE = "functional"
 REPAIR = "functional needs repair"
@@ -55,6 +56,7 @@ def ward_statistics(reference: DataFrame, prefix: str = "ward") -> DataFrame:
         .agg(
             F.count("latitude").alias(f"{prefix}_site_count"),
             share_of(F.col("status_group"), POSITIVE).alias(f"{prefix}_functional_ratio"),
+            F.count("*").alias(f"{prefix}_rows"),
         )
     )
 
@@ -64,15 +66,33 @@ def add_ward_statistics(df: DataFrame, reference: DataFrame | None = None) -> Da
 
     Gaps take the median count (of the rows, or of the reference's wards) and 0.5.
     """
-    stats = ward_statistics(df if reference is None else reference)
-    joined = join_back(df, stats, ["ward"])
-    basis = stats if reference is not None else joined
-    middle = exact_median(basis, "ward_site_count").select("median").scalar()
+    # Stored: the median is taken from the wards, each weighing as many as its rows, not from the rows again.
+    stats = materialize(ward_statistics(df if reference is None else reference))
+    weight = F.col("ward_rows") if reference is None else F.lit(1)
+    middle = weighted_median(stats, "ward_site_count", weight).scalar()
+    joined = join_back(df, stats.drop("ward_rows"), ["ward"])
     return joined.withColumn(
         "ward_site_count", F.coalesce(F.col("ward_site_count").cast("double"), middle)
     ).withColumn("ward_functional_ratio", F.coalesce("ward_functional_ratio", F.lit(0.5)))
 
 
+def weighted_median(groups: DataFrame, count: str, weight: Column) -> DataFrame:
+    """One row: the median of a column of group sizes, every group counted ``weight`` times.
+
+    Different sizes of groups add up to no more than the rows, so among n rows there are at most
+    about sqrt(2 n) of them: few enough to be ordered in one place.
+    """
+    sizes = groups.groupBy(F.col(count).cast("double").alias("group_size")).agg(F.sum(weight).alias("times")).where("group_size is not null")
+    order = Window.orderBy("group_size")
+    placed = sizes.withColumns({
+        "upto": F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "n": F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    holds = lambda rank: (rank >= F.col("upto") - F.col("times")) & (rank < F.col("upto"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    return placed.agg(((F.max(F.when(holds(low), F.col("group_size"))) + F.max(F.when(holds(high), F.col("group_size")))) / 2).alias("median"))
+
+
 def own_row_excluded_rate(df: DataFrame, key: str, label: str, value: str, name: str) -> DataFrame:
     """Share of a label among the *other* rows of the group; null for a lone row.
 

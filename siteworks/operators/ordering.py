@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,10 @@ from siteworks.operators.joins import measured
 from siteworks.session import materialize
 
 
+#: Rows of a hash prefix, about, that are sorted in one task.
+PREFIX_ROWS = 4096
+
+
 def ordered_positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Add 1..n in the order of ``order``, which must identify a row.
 
@@ -76,11 +81,12 @@ def hash_cutoffs(
 
     Returns ``strata, n, cutoffs``: an array with one text per cut, empty when the
     cut is 0. A stratum may hold any share of the rows: counts per hash prefix
-    find the prefix each cut falls in, and only rows of those prefixes (about
-    1/4096 of a stratum each) are ever sorted.
+    find the prefix each cut falls in, and only rows of those prefixes (some
+    thousand each: the prefix is longer the more rows there are) are ever sorted.
     """
     strata = list(strata)
-    prefixed = hashed.select(*strata, hash_column, F.substring(hash_column, 1, 3).alias("prefix"))
+    digits = max(3, math.ceil(math.log(max(1, hashed.count()) / PREFIX_ROWS, 16)))
+    prefixed = hashed.select(*strata, hash_column, F.substring(hash_column, 1, digits).alias("prefix"))
     counts = materialize(prefixed.groupBy(*strata, "prefix").agg(F.count("*").alias("rows")))
     by_prefix = Window.partitionBy(*strata).orderBy("prefix")
     spans = counts.withColumn(

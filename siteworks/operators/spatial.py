@@ -243,15 +243,23 @@ def nearest_neighbors(queries: DataFrame, k: int, reference: DataFrame | None =
     """
     own = reference is None
     need = k + 1 if own else k
-    points, levels, n_known = known_side = _leaves(_spots(queries if own else reference, need))
-    asked, asked_levels, n_asked = known_side if own else _leaves(_spots(queries, 1))
-    if not levels or not asked_levels:
+    points, levels, n_known = _leaves(_spots(queries if own else reference, need))
+    asked, n_asked = (points, n_known) if own else materialize_counted(_spots(queries, 1).select("latitude", "longitude"))
+    if not levels or not n_asked:
         return queries.sparkSession.createDataFrame([], "id bigint, rank int, nbr_id bigint, dist_km double")
     tree = _tree(points, levels)
     leaf = F.concat_ws("/", "level", "cy", "cx")
-    query_leaves = _boxes(asked).withColumn("q", leaf)
+    if own:
+        place = leaf
+        query_leaves = _boxes(asked).withColumn("q", place)
+    else:
+        # Leaves of few asked points may be far wider than those of the reference, so each
+        # spot goes down the tree by itself: what it meets is bounded, however dense the reference.
+        place = F.concat_ws("/", "latitude", "longitude")
+        spots = [F.col(a).alias(b) for a, b in (("latitude", "s"), ("latitude", "t"), ("longitude", "w"), ("longitude", "e"))]
+        query_leaves = asked.select(place.alias("q"), *spots)
     pairs = _leaf_pairs(query_leaves, tree, levels, need, n_asked)
-    asked = _spread(asked.select(leaf.alias("q"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), "q", n_asked)
+    asked = _spread(asked.select(place.alias("q"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), "q", n_asked)
     # At most ``need`` ids per spot, so the spots bound the rows.
     known = points.select(leaf.alias("node"), "latitude", "longitude", F.explode("ids").alias("nbr_id"))
     spot = ["q", "lat", "lon"]

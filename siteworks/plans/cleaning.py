@@ -85,7 +85,7 @@ def safe_numeric(spark, sf):
     return sites(spark, sf).select(
         "id",
         F.col("installer").try_cast("int").alias("installer_number"),
-        F.substring("scheme_name", 6, 100).try_cast("double").alias("scheme_number"),
+        F.substr(F.col("scheme_name"), F.lit(6)).try_cast("double").alias("scheme_number"),
     )
 
 

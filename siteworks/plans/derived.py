@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from siteworks.functions import columns as fx
 from siteworks.functions import geo, text
 from siteworks.functions.ratings import all_ratings
-from siteworks.operators import groups
+from siteworks.operators import groups, spatial
 from siteworks.operators.encode import label_encode
-from siteworks.operators.joins import measured
+from siteworks.operators.joins import map_back, measured
 from siteworks.operators.quantiles import exact_median
 from siteworks.plans.ratings_sql import RATED_SQL
 from siteworks.plans.registry import plan, r6
@@ -160,6 +160,17 @@ def display_text(spark, sf):
         "id", text.display_text(F.col("funder"), 12).alias("funder"), text.display_text(F.col("scheme_name"), 12).alias("scheme"))
 
 
+LOCATED_SQL = "select * from sites where latitude <> 0 and longitude <> 0"
+
+
+def neighbors_sql(k, queries=LOCATED_SQL, reference=LOCATED_SQL, own=True):
+    """CTE ``nn(id, rank, nbr_id, dist_km)`` by comparing every pair."""
+    rank = f"row_number() over (partition by a.id order by round({HAVERSINE_SQL.format(a='a', b='b')}, 9), b.id)"
+    join = "join kr b on a.id <> b.id" if own else "cross join kr b"
+    return (f", kq as ({queries}), kr as ({reference}), nn as (select * from (select a.id, cast({rank} as int) as rank, b.id as nbr_id, "
+            f"{HAVERSINE_SQL.format(a='a', b='b')} as dist_km from kq a {join}) t where rank <= {k}) ")
+
+
 def codes_sql(columns):
     """CTEs ``e_<col>(v, code)`` with alphabetical codes, null as 'nan'."""
     return "".join(
@@ -175,27 +186,29 @@ CORE = ["quantity", "water_quality"]
 WARD_RATE_SQL = ", w as (select ward, avg(case when status_group = 'functional' then 1.0::double else 0.0::double end) as rate from sites group by ward)"
 
 
-@plan("interactions_core", with_sites(codes_sql(CORE) + WARD_RATE_SQL
+@plan("interactions_core", with_sites(codes_sql(CORE) + WARD_RATE_SQL + neighbors_sql(10)
+    + ", nr as (select nn.id, avg(case when n.status_group = 'functional' then 1.0::double else 0.0::double end) as rate from nn join sites n on n.id = nn.nbr_id group by nn.id)"
     + ", a as (select median(2013 - nullif(construction_year, 0)) as age from sites), d as (select median(date_diff('day', date_recorded, date '2013-12-03')) as days from sites) "
     "select s.id, e_quantity.code * e_water_quality.code as quantity_quality_interact, "
     "round(w.rate * coalesce(2013 - nullif(s.construction_year, 0), a.age), 6) as ward_age_interact, "
-    "round(w.rate * coalesce(date_diff('day', s.date_recorded, date '2013-12-03'), d.days), 6) as ward_time_interact "
-    f"from sites s {code_joins(CORE)} join w on s.ward = w.ward, a, d"))
+    "round(coalesce(nr.rate, 0.5) * coalesce(date_diff('day', s.date_recorded, date '2013-12-03'), d.days), 6) as neighbor_time_interact "
+    f"from sites s {code_joins(CORE)} join w on s.ward = w.ward left join nr on nr.id = s.id, a, d"))
 def interactions_core(spark, sf):
-    """Products of leading features; gaps take the exact median."""
+    """Products of leading features; gaps take the exact median, rows without neighbours the rate 0.5."""
     df = sites(spark, sf).select(
-        "id", "ward", "status_group", *CORE,
+        "id", "ward", "status_group", "latitude", "longitude", *CORE,
         fx.age_at_reference(fx.zero_to_null(F.col("construction_year"))).alias("age"),
         fx.days_since(F.col("date_recorded")).alias("days"))
     rates = groups.group_rates(df, "ward", "status_group", {"rate": groups.POSITIVE})
     age = exact_median(df, "age").select("median").scalar()
     days = exact_median(df, "days").select("median").scalar()
-    both = groups.join_back(df, rates, ["ward"]).join(label_encode(df, CORE), "id")
-    return both.select(
+    both = groups.join_back(label_encode(df, CORE, keep=["id", "ward", "age", "days"]), rates, ["ward"])
+    near = spatial.neighbor_rate(spatial.nearest_neighbors(df, 10), df, "status_group", groups.POSITIVE, "near_rate")
+    return map_back(both, near, "id", {"near_rate": F.lit(0.5)}).select(
         "id",
         (F.col("quantity_encoded") * F.col("water_quality_encoded")).alias("quantity_quality_interact"),
         r6(F.col("rate") * F.coalesce(F.col("age").cast("double"), age)).alias("ward_age_interact"),
-        r6(F.col("rate") * F.coalesce(F.col("days").cast("double"), days)).alias("ward_time_interact"))
+        r6(F.col("near_rate") * F.coalesce(F.col("days").cast("double"), days)).alias("neighbor_time_interact"))
 
 
 RISK = ["extraction_type", "management", "installer", "funder", "payment", "quantity"]
@@ -210,7 +223,7 @@ RISK = ["extraction_type", "management", "installer", "funder", "payment", "quan
 def interactions_risk(spark, sf):
     """Same name means same code when both columns share the text, so names are compared."""
     df = sites(spark, sf)
-    both = df.select("id", "construction_year", "population", "gps_height", "installer", "funder", "date_recorded").join(label_encode(df, RISK), "id")
+    both = label_encode(df, RISK, keep=["id", "construction_year", "population", "gps_height", "installer", "funder", "date_recorded"])
     return both.select(
         "id",
         (fx.age_at_reference(F.col("construction_year")) * F.col("extraction_type_encoded")).alias("age_extraction_risk"),
@@ -229,7 +242,7 @@ INFRA = ["extraction_type", "water_quality", "source"]
   s.gps_height * e_source.code as elevation_source_interaction from sites s {code_joins(INFRA)}"""))
 def interactions_infra(spark, sf):
     df = sites(spark, sf)
-    both = df.select("id", "construction_year", "population", "gps_height").join(label_encode(df, INFRA), "id")
+    both = label_encode(df, INFRA, keep=["id", "construction_year", "population", "gps_height"])
     return both.select(
         "id",
         (fx.age_at_reference(F.col("construction_year")) * F.col("extraction_type_encoded")).alias("age_extraction_interaction"),
@@ -245,7 +258,7 @@ FAST = ["quantity", "management"]
   round(cast(s.population as double) / (e_management.code + 1), 6) as pop_mgmt_stress from sites s {code_joins(FAST)}"""))
 def interactions_fast(spark, sf):
     df = sites(spark, sf)
-    both = df.select("id", "construction_year", "population").join(label_encode(df, FAST), "id")
+    both = label_encode(df, FAST, keep=["id", "construction_year", "population"])
     age = F.coalesce(fx.age_at_reference(fx.zero_to_null(F.col("construction_year"))), F.lit(0))
     return both.select(
         "id",

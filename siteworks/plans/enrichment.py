@@ -100,7 +100,8 @@ def request_plan(spark, sf):
 def answer_item():
     """The answer a faulty service could give for a row; faults follow the row's own gaps."""
     org = F.when(F.col("quantity") == "dry", "0").when(F.col("quantity") == "enough", "9").otherwise(rt.rate_org_type(F.col("funder")).cast("string"))
-    quality = F.when(F.col("installer").isNull(), '"unclear"').otherwise(rt.rate_name_quality(F.col("installer")).cast("string"))
+    quality = F.when(F.col("installer").isNull(), '"unclear"').when(F.col("quantity") == "dry", '"NaN"').when(
+        F.col("quantity") == "enough", '"Infinity"').otherwise(rt.rate_name_quality(F.col("installer")).cast("string"))
     coordination = F.when(F.col("permit").isNull(), "").otherwise(
         F.concat(F.lit(', "coordination": '), rt.rate_coordination(F.col("funder"), F.col("installer")).cast("string")))
     item = F.concat(
@@ -119,6 +120,8 @@ def answers(batched):
 
     0 ``results`` list, 1 other single key, 2 bare list, 3 cut off after the last
     record's ``"coordination":``, 4 not JSON. Every list ends with a record nobody asked for.
+    Every other batch of shape 4 was asked again and then got a ``results`` list, and every
+    tenth batch got its bare list twice, the second time without its first record.
     """
     cut = F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "funder_org_type": 2, "coordination":'))
     items = batched.select("batch", "pos", "id", answer_item().alias("item"), cut.alias("cut"))
@@ -127,13 +130,17 @@ def answers(batched):
         F.max_by("cut", "pos").alias("cut"))
     body = F.array_join(F.concat(F.col("items"), F.array(F.lit('{"id": 999999999999, "coordination": 1}'))), ", ")
     shape = F.pmod("batch", F.lit(SHAPES))
+    whole = F.concat(F.lit('{"results": ['), body, F.lit("]}"))
     text = (
-        F.when(shape == 0, F.concat(F.lit('{"results": ['), body, F.lit("]}")))
+        F.when(shape == 0, whole)
         .when(shape == 1, F.concat(F.lit('{"ratings": ['), body, F.lit("]}")))
         .when(shape == 2, F.concat(F.lit("["), body, F.lit("]")))
         .when(shape == 3, F.concat(F.lit('{"results": ['), F.array_join("items", ", "), F.when(F.size("items") > 0, ", ").otherwise(""), F.col("cut")))
         .otherwise("Service unavailable"))
-    return listed.select("batch", text.alias("response"))
+    shorter = F.concat(F.lit("["), F.array_join(F.slice("items", 2, 1000), ", "), F.lit("]"))
+    tenth = F.pmod("batch", F.lit(2 * SHAPES))
+    replies = F.when(tenth == 4, F.array(text, whole)).when(tenth == 2, F.array(text, shorter)).otherwise(F.array(text))
+    return listed.select("batch", F.explode(replies).alias("response"))
 
 
 # The same rows by rule: r_<name> is what a correct reader finds, null where the default applies.
@@ -146,9 +153,9 @@ def found_sql(name, value):
     return f"cast(case when {_GIVEN} then coalesce({value}, {_DEFAULT[name]}) when {_CUT} then {2 if name == 'funder_org_type' else _DEFAULT[name]} else {_DEFAULT[name]} end as double) as {name}"
 
 
-NORMAL_SQL = (BATCH_SQL.format(n=5) + ", sh as (select *, batch % 5 as shape, max(pos) over (partition by batch) as last_pos from bt), nm as (select batch, id, " + ", ".join([
+NORMAL_SQL = (BATCH_SQL.format(n=5) + ", sh as (select *, case when batch % 10 = 4 then 0 else batch % 5 end as shape, max(pos) over (partition by batch) as last_pos from bt), nm as (select batch, id, " + ", ".join([
     found_sql("funder_org_type", f"case quantity when 'dry' then 1 when 'enough' then 5 else {ORG_SQL} end"),
-    found_sql("installer_quality", f"case when installer is not null then {QUALITY_SQL} end"),
+    found_sql("installer_quality", f"case when installer is not null and quantity not in ('dry', 'enough') then {QUALITY_SQL} end"),
     found_sql("location_type", LOCATION_SQL), found_sql("scheme_pattern", SCHEME_SQL), found_sql("text_language", "2"),
     found_sql("coordination", f"case when permit is not null then {COORDINATION_SQL} end")])
     + f", case when shape = 4 then 'failed' when not ({_GIVEN}) and not ({_CUT}) then 'absent' when shape = 3 then 'repaired' else 'ok' end as status from sh) ")

@@ -54,22 +54,21 @@ RELIABILITY = ", r as (select installer, avg(case when status_group = 'functiona
 
 @plan("lookup_carryover", with_sites(RELIABILITY + "select s.id, s.installer, round(r.rate, 6) as installer_reliability from sites s left join r on s.installer = r.installer where s.construction_year = 0"))
 def lookup_carryover(spark, sf):
-    """Rates computed on labelled rows, carried over as the first value per key."""
+    """Rates computed on labelled rows, one value per key, carried over to the others."""
     df = sites(spark, sf)
     known = df.where("construction_year > 0")
     rates = groups.group_rates(known, "installer", "status_group", {"installer_reliability": groups.POSITIVE})
-    trained = groups.join_back(known.select("id", "installer"), rates, ["installer"])
-    carried = groups.first_per_key(trained, "installer", "installer_reliability", "id")
     rows = df.where("construction_year = 0").select("id", "installer")
-    return r6_all(groups.join_back(rows, carried, ["installer"]))
+    return r6_all(groups.join_back(rows, rates, ["installer"]))
 
 
-@plan("map_lookup_default", with_sites(", m as (select region, avg(case when status_group = 'functional' then 1.0::double else 0.0::double end) as rate from sites group by region having count(*) > 250) "
+@plan("map_lookup_default", with_sites(", m as (select region, avg(case when status_group = 'functional' then 1.0::double else 0.0::double end) as rate from sites where region not in ('AFRICA', 'ASIA') group by region) "
     "select s.id, s.region, round(coalesce(m.rate, 0.5), 6) as region_rate from sites s left join m on s.region = m.region"))
 def map_lookup_default(spark, sf):
     df = sites(spark, sf)
-    rates = df.groupBy("region").agg(groups.share_of(F.col("status_group"), groups.POSITIVE).alias("region_rate"), F.count("*").alias("n"))
-    return r6_all(joins.lookup(df.select("id", "region"), rates.where("n > 250"), ["region"], "region_rate", 0.5))
+    known = df.where(~F.col("region").isin("AFRICA", "ASIA"))
+    rates = known.groupBy("region").agg(groups.share_of(F.col("status_group"), groups.POSITIVE).alias("region_rate"))
+    return r6_all(joins.lookup(df.select("id", "region"), rates, ["region"], "region_rate", 0.5))
 
 
 @plan("pair_lookup", with_sites(PAIRS_SQL + "select s.id, round(coalesce(cast(p.n as double) / t.top, 0), 6) as installer_funder_coordination from sites s left join p on s.installer = p.installer and s.funder = p.funder, t"))

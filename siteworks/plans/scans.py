@@ -53,14 +53,16 @@ def source_priority_merge(spark, sf):
 
 @plan("upsert_latest", with_sites(STORED_SQL + "select * from st where id <> 0"))
 def upsert_latest(spark, sf):
-    """Two batches, a replay of the first, and a compaction; readers see one row per id."""
+    """Two writers with numbers of their own, a replay, a compaction, and a low number after it; one row per id."""
     versions = rating_versions(spark, sf)
     store = rs.RatingStore(spark, scratch_path(spark, "ratings"))
     first, second = versions.where("batch_completed <= 10"), versions.where("batch_completed > 10")
-    store.write_batch(first, 1)
-    store.write_batch(first, 1)
+    store.write_batch(first.where("id % 2 = 0"), 1)
+    store.write_batch(first.where("id % 2 = 1"), 1, "other")
+    store.write_batch(first.where("id % 2 = 0"), 1)
     store.compact()
-    store.write_batch(second, 2)
+    store.write_batch(second, 0, "late")
+    store.write_batch(first.where("id % 2 = 1"), 1, "other")
     return store.read()
 
 

@@ -5,21 +5,10 @@ from pyspark.sql import functions as F
 from siteworks.operators import spatial as sp
 from siteworks.operators.joins import map_back
 from siteworks.operators.quantiles import exact_medians
-from siteworks.plans.derived import HAVERSINE_SQL
+from siteworks.plans.derived import HAVERSINE_SQL, LOCATED_SQL, neighbors_sql
 from siteworks.plans.registry import plan, r6, r6_all
 from siteworks.sources.sites import sites, with_sites
 
-LOCATED_SQL = "select * from sites where latitude <> 0 and longitude <> 0"
-
-
-def neighbors_sql(k, queries=LOCATED_SQL, reference=LOCATED_SQL, own=True):
-    """CTE ``nn(id, rank, nbr_id, dist_km)`` by comparing every pair."""
-    rank = f"row_number() over (partition by a.id order by round({HAVERSINE_SQL.format(a='a', b='b')}, 9), b.id)"
-    join = "join kr b on a.id <> b.id" if own else "cross join kr b"
-    return (f", kq as ({queries}), kr as ({reference}), nn as (select * from (select a.id, cast({rank} as int) as rank, b.id as nbr_id, "
-            f"{HAVERSINE_SQL.format(a='a', b='b')} as dist_km from kq a {join}) t where rank <= {k}) ")
-
-
 KNOWN_SQL = "select * from sites where latitude <> 0 and longitude <> 0 and construction_year > 0"
 UNKNOWN_SQL = "select * from sites where latitude <> 0 and longitude <> 0 and construction_year = 0"
 

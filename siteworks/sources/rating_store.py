@@ -1,13 +1,15 @@
 """The keyed rating table on plain Parquet: append per batch, merge on read, compact.
 
 Rewriting a large table for every small batch would cost the whole table each
-time. A batch is written once into its own folder, which a replay overwrites, so a
-batch is all or nothing; readers take the latest row per id; ``compact`` folds the
-batches into a new base version and readers switch to it when its marker exists.
+time. A batch is written once into its own folder below its writer's, so it is all or
+nothing; readers take the latest row per id; ``compact`` folds batches into the buckets of a
+base that they touch, and readers switch to it with the manifest that names them.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +27,21 @@ RATING_SCHEMA = T.StructType(
         T.StructField("timestamp", T.DoubleType()),
     ]
 )
+#: Hash buckets of the base.
+BUCKETS = 16
 RATING_COLUMNS = [f"rating_{name}" for name in RATINGS]
 
 
 def latest_per_id(versions: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Latest row per key by ``order``; combines on the map side, so hot keys stay cheap."""
+    """Latest row per key by ``order``; combines on the map side, so hot keys stay cheap.
+
+    Rows that are equal in ``order`` are compared as a whole, so the result never depends on
+    how they were read. The row is no fixed-width value, so each task sorts before it combines.
+    """
     payload = [c for c in versions.columns if c != key]
-    newest = versions.groupBy(key).agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("row"))
-    return newest.select(key, "row.*")
+    rest = [c for c in payload if c not in order]
+    newest = versions.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("row"))
+    return newest.select(key, *[F.col("row")[c].alias(c) for c in payload])
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
@@ -42,48 +51,88 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str = "id") -> DataFram
 
 
 class RatingStore:
+    """Batches of several writers, folded into a base by hash bucket.
+
+    ``batches/<writer>/<batch>-<attempt>`` holds what a writer stored under a number; storing it again
+    adds an attempt, and readers take the last complete one. ``base/<n>/bucket=<b>`` holds folded
+    rows. ``manifests/<n>`` lists the folders that were folded, and where each bucket lies: it
+    appears by one rename, so readers see either the old base or the new, and every
+    folder it does not list is read beside it, whatever its number.
+    """
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def _subfolders(self, name: str) -> list[str]:
+    def _folder(self, name: str):
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = [str(s.getPath()) for s in fs.listStatus(folder) if s.isDirectory()]
-        return sorted(p for p in found if path_exists(self.spark, f"{p}/_SUCCESS"))
-
-    def _base(self) -> str | None:
-        versions = self._subfolders("base")
-        return versions[-1] if versions else None
-
-    def write_batch(self, rows: DataFrame, batch: int) -> None:
-        """Store one batch; writing it again replaces it."""
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, name: str) -> list[str]:
+        folder, fs = self._folder(name)
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _attempts(self) -> dict[tuple[str, str], str]:
+        """The last complete attempt of every writer's batches, as a path below the store."""
+        found = {}
+        for writer in self._names("batches"):
+            for name in self._names(f"batches/{writer}"):
+                if path_exists(self.spark, f"{self.path}/batches/{writer}/{name}/_SUCCESS"):
+                    found[writer, name.split("-")[0]] = f"batches/{writer}/{name}"
+        return found
+
+    def _manifest(self) -> dict:
+        names = [n for n in self._names("manifests") if not n.startswith(("_", "."))]
+        if not names:
+            return {"folded": [], "buckets": {}, "version": 0}
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{names[-1]}", wholetext=True).first()[0])
+
+    def _unfolded(self, manifest: dict) -> list[str]:
+        return sorted(set(self._attempts().values()) - set(manifest["folded"]))
+
+    def _rows(self, paths: Sequence[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], RATING_SCHEMA)
+        return self.spark.read.schema(RATING_SCHEMA).parquet(*[f"{self.path}/{p}" for p in paths])
+
+    def write_batch(self, rows: DataFrame, batch: int, writer: str = "main") -> None:
+        """Store one batch of a writer; writing it again replaces it once it is complete."""
         typed = rows.where(F.col("id") != 0).select(*[F.col(f.name).cast(f.dataType) for f in RATING_SCHEMA])
-        typed.write.mode("overwrite").parquet(f"{self.path}/batches/{batch:012d}")
+        number = f"{batch:012d}"
+        tried = [int(n.split("-")[1]) for n in self._names(f"batches/{writer}") if n.split("-")[0] == number]
+        typed.write.parquet(f"{self.path}/batches/{writer}/{number}-{max(tried, default=0) + 1:04d}")
 
     def read(self) -> DataFrame:
         """Current rows; an empty, typed frame when nothing is stored yet."""
-        base = self._base()
-        first = int(base.rsplit("/", 1)[1]) + 1 if base else 0
-        parts = [base] if base else []
-        parts += [p for p in self._subfolders("batches") if int(p.rsplit("/", 1)[1]) >= first]
-        if not parts:
-            return self.spark.createDataFrame([], RATING_SCHEMA)
-        stored = self.spark.read.schema(RATING_SCHEMA).parquet(*parts)
+        manifest = self._manifest()
+        stored = self._rows([*manifest["buckets"].values(), *self._unfolded(manifest)])
         return latest_per_id(stored, "id", ["batch_completed", "timestamp"])
 
     def compact(self) -> None:
-        """Fold all batches so far into a base named after the last of them.
-
-        Call between writes: a batch replayed later than this keeps its old number
-        and is already part of the base.
-        """
-        batches, base = self._subfolders("batches"), self._base()
-        last = batches[-1].rsplit("/", 1)[1] if batches else ""
-        if batches and (base is None or last > base.rsplit("/", 1)[1]):
-            self.read().write.mode("overwrite").parquet(f"{self.path}/base/{last}")
+        """Fold the batches that are not in the base yet; only buckets that they touch are written anew."""
+        manifest = self._manifest()
+        fresh = self._unfolded(manifest)
+        if not fresh:
+            return
+        version = manifest["version"] + 1
+        bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+        added = self._rows(fresh)
+        touched = sorted(str(r[0]) for r in added.select(bucket).distinct().collect())
+        kept = self._rows([manifest["buckets"][b] for b in touched if b in manifest["buckets"]])
+        merged = latest_per_id(kept.unionByName(added), "id", ["batch_completed", "timestamp"])
+        base = f"base/{version:012d}-{uuid.uuid4().hex}"
+        merged.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{self.path}/{base}")
+        buckets = manifest["buckets"] | {b: f"{base}/bucket={b}" for b in touched}
+        text = json.dumps({"folded": [*manifest["folded"], *fresh], "buckets": buckets, "version": version})
+        self._publish(f"{version:012d}", text)
+
+    def _publish(self, name: str, text: str) -> None:
+        beside, fs = self._folder(f"manifests/.{name}-{uuid.uuid4().hex}")
+        out = fs.create(beside)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not fs.rename(beside, self._folder(f"manifests/{name}")[0]):
+            raise RuntimeError(f"manifest {name} was written by another compaction")
 
     def progress(self) -> DataFrame:
         return progress_state(self.read())

@@ -53,10 +53,10 @@ def first_existing(spark: SparkSession, paths: Sequence[str], schema: T.StructTy
 
 
 def merge_by_priority(sources: Sequence[DataFrame], key: str) -> DataFrame:
-    """Rows of the first source that knows a key win.
+    """Rows of the first source that knows a key win; of several there, the smallest as a whole.
 
-    ``min_by`` on the priority combines on the map side, so a key with very
-    many copies sends one row per task to the shuffle.
+    The minimum combines on the map side, so a key with very many copies sends one
+    row per task to the shuffle.
     """
     names = sources[0].columns
     payload = [c for c in names if c != key]
@@ -64,7 +64,5 @@ def merge_by_priority(sources: Sequence[DataFrame], key: str) -> DataFrame:
     for priority, source in enumerate(sources):
         part = source.select(key, F.struct(*payload).alias("payload"), F.lit(priority).alias("priority"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    best = tagged.groupBy(key).agg(
-        F.min_by("payload", "priority").alias("payload"), F.min("priority").cast("int").alias("priority")
-    )
-    return best.select(key, "payload.*", "priority")
+    best = tagged.groupBy(key).agg(F.min(F.struct("priority", "payload")).alias("best"))
+    return best.select(key, "best.payload.*", F.col("best.priority").cast("int").alias("priority"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,15 @@ def stream_upserts(
     """Merge all JSON files that landed since the last run, then stop.
 
     A file batch is collapsed to one row per id and written under the stream's own
-    batch number, so a replay after a crash overwrites the same folder and the
-    store ends up equal to one merge of all files.
+    name and batch number, so a replay after a crash replaces the same batch and the
+    store ends up equal to one merge of all files. The name is the id that Spark keeps in the
+    checkpoint: a stream that starts over with a new checkpoint is another writer.
     """
     store = RatingStore(spark, store_path)
 
     def merge(rows: DataFrame, epoch: int) -> None:
-        store.write_batch(latest_per_id(rows, "id", ["batch_completed", "timestamp"]), epoch)
+        known = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])
+        store.write_batch(latest_per_id(rows, "id", ["batch_completed", "timestamp"]), epoch, f"stream-{known['id']}")
         if (epoch + 1) % compact_every == 0:
             store.compact()
 

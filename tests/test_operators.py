@@ -289,3 +289,29 @@ def test_decoding_restores_values(spark):
     dictionary = encode.fit_dictionary(df, ["c"])
     coded = encode.apply_dictionary(df, dictionary, {"c": "code"}).drop("c")
     assert {r.id: r.c for r in encode.decode(coded, dictionary, "c", "code", "c").collect()} == {1: "x", 2: "y"}
+
+
+def test_second_reply_completes_a_batch_and_odd_numbers_take_the_default(spark):
+    from siteworks.operators.enrich import normalize_responses
+
+    asked = spark.createDataFrame([(1, 7), (1, 8), (2, 9)], "batch bigint, id bigint")
+    replies = [(1, '[{"id": 8, "coordination": 2}]'), (1, '{"results": [{"id": 7, "coordination": "NaN", "text_language": "-Infinity"}'), (1, "no"), (2, None)]
+    got = normalize_responses(asked, spark.createDataFrame(replies, "batch bigint, response string")).collect()
+    assert {(r.id, r.status, r.coordination) for r in got} == {(7, "repaired", 3.0), (8, "ok", 2.0), (9, "failed", 3.0)}
+    assert len(got) == 3
+
+
+def test_long_text_is_cast_whole(spark):
+    from siteworks.plans.cleaning import safe_numeric  # noqa: F401
+
+    digits = "0" * 200 + "5"
+    frame = spark.createDataFrame([(f"code {digits}",)], "scheme_name string")
+    assert frame.select(F.substr("scheme_name", F.lit(6)).try_cast("double")).first()[0] == 5.0
+
+
+def test_codes_come_without_a_join_by_id(spark):
+    from siteworks.plans import PLANS
+
+    for name in ("interactions_fast", "interactions_infra", "interactions_risk", "feature_set_fast"):
+        text = PLANS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Join") and not any("Join" in line and "(id#" in line for line in text.split("\n")), name

@@ -78,3 +78,29 @@ def test_grid_clusters_are_dense_and_do_not_collide(spark):
     got = {r.id: (r.geographic_cluster, r.cluster_size) for r in sp.grid_clusters(rows, 0.01).collect()}
     assert got[1] == got[2] and got[1][1] == 2
     assert sorted({c for c, _ in got.values()}) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "spot"])
+def test_few_queries_meet_few_leaves_however_dense_the_reference(spark, monkeypatch, kind):
+    """Leaf pairs per asked point stay as they are when the reference grows fourfold."""
+    gen = np.random.default_rng(3)
+    asked = assets(np.linspace(-9, 9, 16), np.linspace(21, 39, 16)[::-1].copy())
+    met = []
+    keep = sp._leaf_pairs
+
+    def watched(*args):
+        pairs = keep(*args)
+        met.append(pairs.groupBy("q").count().agg({"count": "max"}).first()[0])
+        return pairs
+
+    monkeypatch.setattr(sp, "_leaf_pairs", watched)
+    for n in (2000, 8000):
+        if kind == "even":
+            lat, lon = gen.uniform(-10, 10, n), gen.uniform(20, 40, n)
+        else:
+            lat, lon = gen.normal(0, 0.5, n), gen.normal(30, 0.5, n)
+        if kind == "spot":
+            lat[: n // 3], lon[: n // 3] = 9.0, 21.0
+        reference = assets(lat, lon)
+        assert found(spark, asked, 10, reference) == brute(asked, 10, reference)
+    assert met[1] <= max(40, 1.5 * met[0])

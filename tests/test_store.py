@@ -82,3 +82,36 @@ def test_models_answer_for_every_held_out_row(spark, name, n):
 def test_kmeans_cluster_count(spark):
     out = PLANS["kmeans_cluster"](spark, "/root/testdata/sf0.001")
     assert out.select("geographic_cluster").distinct().count() <= 14 and out.where(F.col("geographic_cluster").isNull()).count() == 0
+
+
+def test_writers_share_no_numbers_and_nothing_is_lost(spark, store):
+    store.write_batch(rows(spark, (1, 1, 1, 1)), 1)
+    store.write_batch(rows(spark, (2, 2, 2, 1)), 2)
+    store.compact()
+    store.write_batch(rows(spark, (3, 3, 0, 1)), 0)
+    store.write_batch(rows(spark, (4, 4, 1, 1)), 1, "other")
+    want = {1: (1.0, 1), 2: (2.0, 2), 3: (3.0, 0), 4: (4.0, 1)}
+    assert state(store.read()) == want
+    store.compact()
+    assert state(store.read()) == want
+    store.write_batch(rows(spark, (1, 1, 1, 1)), 1)  # a late replay, after it was folded
+    store.write_batch(rows(spark, (5, 5, 5, 1)), 1, "other")
+    assert state(store.read()) == {**want, 5: (5.0, 5)}
+    store.compact()
+    assert state(store.read()) == {**want, 5: (5.0, 5)}
+
+
+def test_equal_batch_and_time_have_one_answer(spark, store):
+    store.write_batch(rows(spark, (1, 2, 1, 1), (1, 4, 1, 1)).repartition(2), 1)
+    store.write_batch(rows(spark, (1, 3, 1, 1)), 2)
+    assert state(store.read()) == {1: (4.0, 1)}
+
+
+def test_new_checkpoint_is_another_writer(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    names = RATING_SCHEMA.names
+    for run, (i, value) in enumerate([(1, 1.0), (2, 2.0)]):
+        (landing / f"{run}.json").write_text(json.dumps(dict(zip(names, (i, *[value] * len(RATINGS), 1, 1.0)))))
+        stream_upserts(spark, str(landing), str(tmp_path / "store"), str(tmp_path / f"state{run}"), 1, compact_every=1)
+    assert set(state(RatingStore(spark, str(tmp_path / "store")).read())) == {1, 2}
