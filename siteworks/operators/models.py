@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -18,6 +19,7 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, UnivariateFeatureS
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from siteworks.operators.metrics import accuracy_of
 from siteworks.operators.spatial import located
@@ -128,42 +130,59 @@ def evaluate_sets(
     """Fit and score one model per feature set on the same split.
 
     ``split`` must be stored; each fit is a distributed job over its columns. Sets
-    whose training rows are fewer than ``min_rows`` are reported without a score.
+    whose training rows are fewer than ``min_rows`` are not fitted; ``outcome`` says so.
     """
     spark = split.sparkSession
-    rows = []
     train, held = split.where("split = 'train'"), split.where("split = 'validation'")
     available = train.count()
-    for name, features in feature_sets.items():
+
+    def one(item: tuple[str, Sequence[str]]) -> tuple:
+        name, features = item
         if available < min_rows:
-            rows.append((name, len(features), None, None, 0.0))
-            continue
+            return (name, len(features), "too few rows", None, None, 0.0)
         started = time.time()
-        model = fit_model(train, features, estimator, label)
+        model = fit_model(train, features, estimator.copy(), label)
         train_score = score(model, train, label).first().score
         held_score = score(model, held, label).first().score
-        rows.append((name, len(features), train_score, held_score, time.time() - started))
+        return (name, len(features), "fitted", train_score, held_score, time.time() - started)
+
     return spark.createDataFrame(
-        rows, "config string, n_features int, train_score double, val_score double, seconds double"
+        in_parallel(one, list(feature_sets.items())),
+        "config string, n_features int, outcome string, train_score double, val_score double, seconds double",
     ).withColumn("gap", F.col("train_score") - F.col("val_score"))
 
 
 def cross_validate(folded: DataFrame, features: Sequence[str], estimator, folds: int, label: str = LABEL) -> DataFrame:
     """One score per held-out fold."""
-    rows = []
-    for fold in range(folds):
-        model = fit_model(folded.where(F.col("fold") != fold), features, estimator, label)
-        rows.append((fold, score(model, folded.where(F.col("fold") == fold), label).first().score))
-    return folded.sparkSession.createDataFrame(rows, "fold int, score double")
+
+    def one(fold: int) -> tuple[int, float]:
+        model = fit_model(folded.where(F.col("fold") != fold), features, estimator.copy(), label)
+        return fold, score(model, folded.where(F.col("fold") == fold), label).first().score
+
+    return folded.sparkSession.createDataFrame(in_parallel(one, range(folds)), "fold int, score double")
+
+
+def in_parallel(run: Callable, items: Iterable, threads: int = 4) -> list:
+    """Fits that do not depend on one another, some at a time: small jobs leave most cores idle."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(inheritable_thread_target(run), items))
 
 
 def spatial_kmeans(df: DataFrame, most: int = 50, seed: int = 42) -> DataFrame:
-    """``id, geographic_cluster`` from k-means on coordinates, k = min(most, n / 10)."""
+    """``id, geographic_cluster`` from k-means on coordinates, k = min(most, n / 10), with the cluster's centre.
+
+    ``most`` clusters at any size is the recorded rule; every located row gets one.
+    """
     rows = located(df).select("id", "latitude", "longitude")
     k = max(2, min(most, rows.count() // 10))
     points = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(rows)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="geographic_cluster").fit(points)
-    return model.transform(points).select("id", "latitude", "longitude", "geographic_cluster")
+    centres = F.array(*[F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(c, ("centre_lat", "centre_lon"))]) for c in model.clusterCenters()])
+    rows = model.transform(points).select("id", "latitude", "longitude", "geographic_cluster")
+    away = lambda c: (F.col("latitude") - c["centre_lat"]) ** 2 + (F.col("longitude") - c["centre_lon"]) ** 2
+    nearest = F.array_min(F.transform(centres, away))
+    own = away(F.get(centres, F.col("geographic_cluster")))
+    return rows.withColumn("is_nearest", own <= nearest + 1e-9)
 
 
 def timed(stages: Mapping[str, DataFrame]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Category codes, scaling, feature sets and splits."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from siteworks.functions import columns as fx
@@ -84,10 +85,15 @@ def standardize(spark, sf):
     return r6_all(out.drop(*SCALED))
 
 
-@plan("assemble_vector")
+ASSEMBLED = ["amount_tsh", "gps_height", "population", "latitude", "longitude"]
+
+
+@plan("assemble_vector", with_sites("select id, " + ", ".join(f"coalesce({c}::double, -1) as x{i}" for i, c in enumerate(ASSEMBLED)) + " from sites"))
 def assemble_vector(spark, sf):
-    names = ["amount_tsh", "gps_height", "population", "latitude", "longitude"]
-    return assembler(names).transform(feature_frame(sites(spark, sf), names, ["id"])).select("id", F.col("features").cast("string").alias("features"))
+    """The vector's elements, in the order of the list."""
+    made = assembler(ASSEMBLED).transform(feature_frame(sites(spark, sf), ASSEMBLED, ["id"]))
+    elements = vector_to_array("features")
+    return made.select("id", *[elements[i].alias(f"x{i}") for i in range(len(ASSEMBLED))])
 
 
 def feature_set_sql(holes, kept):

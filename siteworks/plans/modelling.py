@@ -1,70 +1,105 @@
-"""MLlib fits and experiment tables. Model sizes here are small; the operators take any."""
+"""MLlib fits and experiment tables."""
 
 from pyspark.sql import functions as F
 
 from siteworks.functions import columns as fx
 from siteworks.operators import features as ft
-from siteworks.operators import groups, models, splits
+from siteworks.operators import groups, models, splits, voting
 from siteworks.operators.joins import measured
-from siteworks.plans.registry import plan, r6_all
-from siteworks.session import materialize
+from siteworks.plans.encoding import SEEDS, SIZES, folds_sql, samples_sql, split_sql
+from siteworks.plans.registry import plan
+from siteworks.session import materialize, scratch_path
 from siteworks.sources.sites import sites, with_sites
+from siteworks.sources.tables import read_csv_typed, write_csv
 
 KEEP = ["id", "status_group"]
 SMALL = ["amount_tsh", "population", "latitude", "longitude", "asset_age", "quantity_encoded", "ward_encoded"]
 
 
-def prepared(spark, sf, names, geo=False):
-    """Feature columns, stored once, with a stratified split."""
+def split_of(df):
+    return splits.stratified_split(df.select("id", "status_group"), "id", "status_group", 0.2, 42).drop("status_group")
+
+
+def prepared(spark, sf, names, geo=False, train_only=False):
+    """Feature columns and split, stored once.
+
+    By default statistics come from all rows, as the reported scores do. With ``train_only`` the
+    statistics, codes and neighbours of held-out rows come from the training rows alone.
+    """
     df = sites(spark, sf)
-    full = ft.full_features(df) if geo else ft.add_codes(ft.add_columns(df))
-    stored = models.training_rows(models.feature_frame(full, names, KEEP))
-    return splits.stratified_split(stored, "id", "status_group", 0.2, 42)
+    split = materialize(split_of(df))
+    if train_only:
+        rows = materialize(df.join(split, "id"))
+        train, held = (rows.where(F.col("split") == part).drop("split") for part in ("train", "validation"))
+        full = ft.full_features(train).unionByName(ft.full_features(held, train))
+    else:
+        full = ft.full_features(df) if geo else ft.add_codes(ft.add_columns(df))
+    return models.training_rows(models.feature_frame(full, names, KEEP).join(split, "id"))
 
 
-def fit_and_predict(spark, sf, estimator, names=ft.BASE, geo=False):
-    data = prepared(spark, sf, names, geo)
+def fitted(data, names, estimator):
     model = models.fit_model(data.where("split = 'train'"), names, estimator)
     return models.predict(model, data.where("split = 'validation'"), KEEP)
 
 
-@plan("rf_predict")
+#: What can be said of predictions without the model: every held-out row has one, and it is a class.
+HELD_SQL = with_sites(split_sql(0.2, 42) + "select status_group, count(*) as n_rows, count(distinct id) as n_ids, count(*) as n_in_classes from sp where split = 'validation' group by status_group")
+
+
+def held_rows(predictions):
+    """Rows, ids and predicted classes of the held-out part, per true class."""
+    known = F.col("prediction_label").isin(*voting.CLASSES)
+    return predictions.groupBy("status_group").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.count_if(known).alias("n_in_classes"))
+
+
+@plan("rf_predict", HELD_SQL)
 def rf_predict(spark, sf):
-    return fit_and_predict(spark, sf, models.random_forest(20, 8), [*ft.BASE, *ft.GEO, *ft.INTERACTIONS], geo=True)
+    names = [*ft.BASE, *ft.GEO, *ft.INTERACTIONS]
+    return held_rows(fitted(prepared(spark, sf, names, geo=True), names, models.random_forest()))
+
+
+@plan("rf_predict_train_only", HELD_SQL)
+def rf_predict_train_only(spark, sf):
+    """The same, no label of a held-out row being in any feature."""
+    names = [*ft.BASE, *ft.GEO, *ft.INTERACTIONS]
+    return held_rows(fitted(prepared(spark, sf, names, train_only=True), names, models.random_forest()))
 
 
-@plan("gbt_ovr_predict")
+@plan("gbt_ovr_predict", HELD_SQL)
 def gbt_ovr_predict(spark, sf):
-    return fit_and_predict(spark, sf, models.boosted_trees(4, 3), SMALL)
+    return held_rows(fitted(prepared(spark, sf, SMALL), SMALL, models.boosted_trees()))
 
 
-@plan("logreg_predict")
+@plan("logreg_predict", HELD_SQL)
 def logreg_predict(spark, sf):
-    return fit_and_predict(spark, sf, models.logistic_regression(30))
+    return held_rows(fitted(prepared(spark, sf, ft.BASE), ft.BASE, models.logistic_regression()))
 
 
-@plan("mlp_predict")
+@plan("mlp_predict", HELD_SQL)
 def mlp_predict(spark, sf):
-    return fit_and_predict(spark, sf, models.neural_net(len(SMALL), iterations=20), SMALL)
+    return held_rows(fitted(prepared(spark, sf, SMALL), SMALL, models.neural_net(len(SMALL))))
+
+
+def extra_trees(trees=150):
+    return models.random_forest(trees, bootstrap=False, featureSubsetStrategy="sqrt")
 
 
-@plan("rf_nobootstrap")
+@plan("rf_nobootstrap", HELD_SQL)
 def rf_nobootstrap(spark, sf):
-    return fit_and_predict(spark, sf, models.random_forest(15, 8, bootstrap=False, featureSubsetStrategy="sqrt"), SMALL)
+    return held_rows(fitted(prepared(spark, sf, SMALL), SMALL, extra_trees()))
 
 
-@plan("rf_weighted")
+@plan("rf_weighted", HELD_SQL)
 def rf_weighted(spark, sf):
     """Newer rows weigh more."""
-    names = [*SMALL, "days_since_recorded"]
-    data = prepared(spark, sf, names)
+    data = prepared(spark, sf, [*SMALL, "days_since_recorded"])
     ends = data.agg(F.struct(F.min("days_since_recorded").alias("lo"), F.max("days_since_recorded").alias("hi")).alias("s")).first().s
     weighted = data.withColumn("weight", fx.recency_weight(F.col("days_since_recorded"), F.lit(ends.lo), F.lit(ends.hi)))
-    model = models.fit_model(weighted.where("split = 'train'"), SMALL, models.random_forest(15, 8, 43, "weight"))
-    return models.predict(model, weighted.where("split = 'validation'"), KEEP)
+    return held_rows(fitted(weighted, SMALL, models.random_forest(seed=43, weight="weight")))
 
 
-@plan("rf_balanced")
+@plan("rf_balanced", HELD_SQL)
 def rf_balanced(spark, sf):
     """Each class weighs the same in total."""
     data = prepared(spark, sf, SMALL)
@@ -72,80 +107,197 @@ def rf_balanced(spark, sf):
     counts = measured(train.groupBy("status_group").agg(F.count("*").alias("n_class")))
     total = train.count()
     weights = counts.withColumn("weight", F.lit(float(total)) / (F.lit(3) * F.col("n_class")))
-    model = models.fit_model(train.join(weights, "status_group"), SMALL, models.random_forest(15, 8, 42, "weight"))
-    return models.predict(model, data.where("split = 'validation'"), KEEP)
+    model = models.fit_model(train.join(weights, "status_group"), SMALL, models.random_forest(weight="weight"))
+    return held_rows(models.predict(model, data.where("split = 'validation'"), KEEP))
 
 
-@plan("rf_importances")
-def rf_importances(spark, sf):
+# --- ensembles of fitted models
+
+#: Probability columns of voter n, by class index (classes in alphabetic order).
+def _p(n):
+    return [F.col(f"v{n}_p{i}") for i in range(3)]
+
+
+def fitted_voters(spark, sf):
+    """Labels and class probabilities of four fitted models on the held-out rows, stored."""
+    data = prepared(spark, sf, SMALL)
+    train, held = data.where("split = 'train'"), data.where("split = 'validation'")
+    estimators = [models.random_forest(), extra_trees(), models.logistic_regression(), models.neural_net(len(SMALL))]
+    out = held.select(*KEEP)
+    for n, model in enumerate(models.in_parallel(lambda e: models.fit_model(train, SMALL, e), estimators)):
+        label = models.predict(model, held, ["id"], f"v{n}")
+        shares = models.predict_probabilities(model, held, ["id"]).withColumnsRenamed({f"p_{i}": f"v{n}_p{i}" for i in range(3)})
+        out = out.join(label, "id").join(shares, "id")
+    return materialize(out)
+
+
+def tally(column, weights):
+    """SQL: weight of the voters that agree with a voter's column."""
+    return " + ".join(f"if(v{n} = {column}, {w}, 0)" for n, w in enumerate(weights))
+
+
+def vote_text(weights):
+    """SQL: the label with most weight, the earliest voter first among equals."""
+    sums = [tally(f"v{n}", weights) for n in range(len(weights))]
+    best = f"greatest({', '.join(sums)})"
+    return "case " + " ".join(f"when {s} = {best} then v{n}" for n, s in enumerate(sums)) + " end"
+
+
+def blend_text(weights):
+    """SQL: the class with the largest weighted probability, the first class first among equals."""
+    sums = ["round(" + " + ".join(f"{w}D * v{n}_p{i}" for n, w in enumerate(weights)) + ", 9)" for i in range(3)]
+    best = f"greatest({', '.join(sums)})"
+    return "case " + " ".join(f"when {s} = {best} then '{c}'" for s, c in zip(sums, voting.CLASSES)) + " end"
+
+
+@plan("fitted_ensembles", with_sites(split_sql(0.2, 42) + "select status_group, count(*) as n_rows, count(*) as n_majority, count(*) as n_weighted, count(*) as n_average, count(*) as n_soft_3, count(*) as n_soft_4 "
+    "from sp where split = 'validation' group by status_group"))
+def fitted_ensembles(spark, sf):
+    """Votes and blends of fitted models; each count says how many rows SQL on the stored columns agrees on."""
+    v = fitted_voters(spark, sf)
+    three = [F.col(f"v{n}") for n in range(3)]
+    columns = {
+        "n_majority": (voting.majority_vote(three), vote_text([1, 1, 1])),
+        "n_weighted": (voting.weighted_vote(three, voting.LABEL_WEIGHTS), vote_text(voting.LABEL_WEIGHTS)),
+        "n_average": (voting.best_class(voting.blend([_p(n) for n in range(3)], [1.0, 1.0, 1.0])), blend_text([1.0, 1.0, 1.0])),
+        "n_soft_3": (voting.best_class(voting.blend([_p(n) for n in range(3)], voting.SOFT_WEIGHTS_3)), blend_text(voting.SOFT_WEIGHTS_3)),
+        "n_soft_4": (voting.best_class(voting.blend([_p(n) for n in range(4)], voting.SOFT_WEIGHTS_4)), blend_text(voting.SOFT_WEIGHTS_4)),
+    }
+    return v.groupBy("status_group").agg(F.count("*").alias("n_rows"), *[F.count_if(made == F.expr(text)).alias(name) for name, (made, text) in columns.items()])
+
+
+@plan("fitted_prediction_export", with_sites(split_sql(0.2, 42) + "select id, true as is_class from sp where split = 'validation'"))
+def fitted_prediction_export(spark, sf):
+    """The majority of the fitted models as an ``id, label`` CSV, read back."""
+    path = scratch_path(spark, "fitted-submission")
+    three = [F.col(f"v{n}") for n in range(3)]
+    write_csv(fitted_voters(spark, sf).select("id", voting.majority_vote(three).alias("status_group")), path)
+    return read_csv_typed(spark, path, "id bigint, status_group string").select("id", F.col("status_group").isin(*voting.CLASSES).alias("is_class"))
+
+
+# --- importances
+
+FEATURES_SQL = "(select unnest([" + ", ".join(f"'{f}'" for f in ft.BASE) + "]) as feature)"
+
+
+def forest_importances(spark, sf):
     data = prepared(spark, sf, ft.BASE)
-    model = models.fit_model(data.where("split = 'train'"), ft.BASE, models.random_forest(20, 8))
-    return r6_all(models.importances(model, ft.BASE)).orderBy(F.desc("importance"), "feature")
+    return models.importances(models.fit_model(data.where("split = 'train'"), ft.BASE, models.random_forest()), ft.BASE)
+
+
+@plan("rf_importances", with_sites(f"select feature, true as is_share, 1.0::double as total, (select count(*) from sites) > 0 as has_rows from {FEATURES_SQL} f"))
+def rf_importances(spark, sf):
+    """Every feature with its share of the fitted forest; the shares add up to one."""
+    path = scratch_path(spark, "forest-importance")
+    write_csv(forest_importances(spark, sf).orderBy(F.desc("importance"), "feature"), path)
+    rows = read_csv_typed(spark, path, "feature string, importance double")
+    total = rows.agg(F.round(F.sum("importance"), 6)).scalar()
+    return rows.select("feature", F.col("importance").between(0, 1).alias("is_share"), total.alias("total"), F.lit(True).alias("has_rows"))
+
+
+PLACE = "^(latitude|longitude|gps_height)"
 
 
-@plan("rf_cv")
+@plan("rf_importance_by_family", with_sites(f"select case when regexp_matches(feature, '{PLACE}') then 'location' when feature like '%encoded' then 'category' else 'other' end as family, "
+    f"count(*) as n_features, 1.0::double as total from {FEATURES_SQL} f, (select count(*) as n from sites) t where n > 0 group by 1"))
+def rf_importance_by_family(spark, sf):
+    """Fitted shares summed by name pattern; ``total`` is the sum over all families."""
+    family = F.when(F.col("feature").rlike(PLACE), "location").when(F.col("feature").endswith("encoded"), "category").otherwise("other")
+    sums = materialize(forest_importances(spark, sf).groupBy(family.alias("family")).agg(F.count("*").alias("n_features"), F.sum("importance").alias("share")))
+    return sums.select("family", "n_features", sums.agg(F.round(F.sum("share"), 6)).scalar().alias("total"))
+
+
+# --- experiments: every cell is fitted, and SQL knows the rows that it was fitted and scored on
+
+@plan("rf_cv", with_sites(folds_sql(5, 42) + "select fold, count(*) as n_rows, true as is_score from fo group by fold"))
 def rf_cv(spark, sf):
     data = prepared(spark, sf, SMALL).drop("split")
-    folded = materialize(splits.stratified_folds(data, "id", "status_group", 3, 42))
-    return r6_all(models.cross_validate(folded, SMALL, models.random_forest(10, 6), 3))
+    folded = materialize(splits.stratified_folds(data, "id", "status_group", 5, 42))
+    scores = models.cross_validate(folded, SMALL, models.random_forest(), 5)
+    sizes = folded.groupBy("fold").agg(F.count("*").alias("n_rows"))
+    return sizes.join(scores, "fold").select("fold", "n_rows", F.col("score").between(0, 1).alias("is_score"))
+
+
+SETS = {
+    "base": ft.BASE,
+    "base+geo": [*ft.BASE, *ft.GEO],
+    "base+ratings": [*ft.BASE, *ft.RATED],
+    "all": [*ft.BASE, *ft.GEO, *ft.INTERACTIONS, *ft.RATED],
+}
+
 
+def sets_sql(sets, least=0):
+    listed = " union all ".join(f"select '{n}' as config, {len(f)} as n_features" for n, f in sets.items())
+    enough = f"(select count(*) from sp where split = 'train') >= {least}"
+    return with_sites(split_sql(0.2, 42) + f"select config, n_features, case when {enough} then 'fitted' else 'too few rows' end as outcome, case when {enough} then true end as is_gap from ({listed}) c")
 
-@plan("ablation_grid")
+
+def outcomes(scores):
+    gap = F.abs(F.col("train_score") - F.col("val_score") - F.col("gap")) < 1e-12
+    return scores.select("config", "n_features", "outcome", (gap & F.col("val_score").between(0, 1) & F.col("train_score").between(0, 1)).alias("is_gap"))
+
+
+@plan("ablation_grid", sets_sql(SETS))
 def ablation_grid(spark, sf):
     """Feature families on and off, on one split."""
-    sets = {
-        "base": ft.BASE,
-        "base+geo": [*ft.BASE, *ft.GEO],
-        "base+ratings": [*ft.BASE, *ft.RATED],
-        "all": [*ft.BASE, *ft.GEO, *ft.INTERACTIONS, *ft.RATED],
-    }
-    data = prepared(spark, sf, sets["all"], geo=True)
-    return r6_all(models.evaluate_sets(data, sets, models.random_forest(10, 6)).drop("seconds"))
+    return outcomes(models.evaluate_sets(prepared(spark, sf, SETS["all"], geo=True), SETS, models.random_forest()))
+
+
+#: The recorded grid.
+GRID_TREES, GRID_SEEDS = [50, 100, 200, 300], [42, 43, 456, 789]
 
 
-@plan("param_grid")
+@plan("param_grid", with_sites(split_sql(0.2, 42) + f", g as (select n_trees, unnest({GRID_SEEDS}) as seed from (select unnest({GRID_TREES}) as n_trees) t) "
+    "select n_trees, seed, (select count(*) from sp where split = 'validation') as n_rows, true as is_score from g"))
 def param_grid(spark, sf):
     data = prepared(spark, sf, SMALL)
     train, held = data.where("split = 'train'"), data.where("split = 'validation'")
-    rows = []
-    for trees in (5, 10):
-        for seed in (42, 43):
-            model = models.fit_model(train, SMALL, models.random_forest(trees, 6, seed))
-            rows.append((trees, seed, models.score(model, held).first().score))
-    return r6_all(spark.createDataFrame(rows, "n_trees int, seed int, val_score double"))
+    cells = [(trees, seed) for trees in GRID_TREES for seed in GRID_SEEDS]
+
+    def cell(at):
+        got = models.score(models.fit_model(train, SMALL, models.random_forest(at[0], seed=at[1])), held).first()
+        return (*at, got.rows, got.score)
+
+    rows = spark.createDataFrame(models.in_parallel(cell, cells), "n_trees int, seed int, n_rows bigint, score double")
+    return rows.select("n_trees", "seed", "n_rows", F.col("score").between(0, 1).alias("is_score"))
 
 
-@plan("single_feature_eval")
+SINGLE = {"base": SMALL, **{name: [*SMALL, name] for name in ft.RATED}}
+
+
+@plan("single_feature_eval", sets_sql(SINGLE, 1000))
 def single_feature_eval(spark, sf):
-    """Gain of each rating alone over the base list."""
-    sets = {"base": SMALL, **{name: [*SMALL, name] for name in ft.RATED}}
-    data = prepared(spark, sf, [*SMALL, *ft.RATED])
-    scores = models.evaluate_sets(data, sets, models.random_forest(5, 5), min_rows=1000).drop("seconds")
-    base = scores.where("config = 'base'").agg(F.max("val_score").alias("b")).scalar()
-    return r6_all(scores.withColumn("gain", F.col("val_score") - base))
+    """Each rating alone beside the base list; with fewer than 1,000 training rows nothing is fitted, and the row says so."""
+    return outcomes(models.evaluate_sets(prepared(spark, sf, [*SMALL, *ft.RATED]), SINGLE, models.random_forest(), min_rows=1000))
 
 
-@plan("learning_curve")
+@plan("learning_curve", with_sites(samples_sql() + f", z as (select size, unnest({SEEDS}) as seed from (select unnest([{', '.join(f'{x}::double' for x in SIZES)}]) as size) t), "
+    "o as (select seed, (select count(*) from sites) - count(*) as n_held from ls group by seed) "
+    "select z.size, z.seed, (select count(*) from ls where ls.seed = z.seed and ls.size <= z.size) as n_train, o.n_held, true as is_score from z join o on o.seed = z.seed"))
 def learning_curve(spark, sf):
-    """Plain and enriched forests on growing sub-samples, scored on the rows outside all of them."""
-    sizes, seeds = [0.1, 0.3], [1, 2]
+    """Plain and enriched forests on growing sub-samples, scored on the rows outside all of a seed's samples."""
     data = prepared(spark, sf, [*SMALL, *ft.RATED]).drop("split")
-    sampled = materialize(splits.learning_curve_samples(data, "id", "status_group", sizes, seeds).drop("status_group"))
-    rows = []
-    for seed in seeds:
-        part = sampled.where(F.col("seed") == seed)
-        held = data.join(part, "id", "left_anti")
-        for size in sizes:
-            train = data.join(part.where(F.col("size") <= size).select("id"), "id", "left_semi")
-            scores = []
-            for names in (SMALL, [*SMALL, *ft.RATED]):
-                model = models.fit_model(train, names, models.random_forest(5, 5, seed))
-                scores.append(models.score(model, held).first().score)
-            rows.append((size, seed, *scores))
-    return r6_all(spark.createDataFrame(rows, "size double, seed int, base_score double, rich_score double"))
-
-
-@plan("score_new_rows")
+    sampled = splits.learning_curve_samples(data, "id", "status_group", SIZES, SEEDS)
+    by_seed = sampled.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("seed", "size"))).alias("from_size"))
+    data = materialize(data.join(by_seed, "id", "left"))
+
+    def cell(at):
+        size, seed = at
+        first = F.col("from_size")[seed]
+        train, held = materialize(data.where(first <= size)), data.where(first.isNull())
+        n = train.count()
+        if train.select("status_group").distinct().count() < len(voting.CLASSES):  # a sample without one of the classes is not fitted
+            return (size, seed, n, held.count(), None, None)
+        got = [models.score(models.fit_model(train, names, models.random_forest(20, 5, seed)), held).first() for names in (SMALL, [*SMALL, *ft.RATED])]
+        return (size, seed, n, got[0].rows, got[0].score, got[1].score)
+
+    cells = models.in_parallel(cell, [(size, seed) for size in SIZES for seed in SEEDS])
+    rows = spark.createDataFrame(cells, "size double, seed int, n_train bigint, n_held bigint, base_score double, rich_score double")
+    scored = F.coalesce(F.col("base_score").between(0, 1) & F.col("rich_score").between(0, 1), F.lit(True))
+    return rows.select("size", "seed", "n_train", "n_held", scored.alias("is_score"))
+
+
+@plan("score_new_rows", with_sites("select count(*) as n_rows, count(distinct id) as n_ids, count(*) as n_in_classes from sites where construction_year = 0"))
 def score_new_rows(spark, sf):
     """Unlabelled assets, scored with statistics, codes and model of the labelled ones only."""
     names = [*ft.BASE, *ft.GEO, *ft.INTERACTIONS]
@@ -153,9 +305,10 @@ def score_new_rows(spark, sf):
     known = df.where("construction_year > 0")
     new = df.where("construction_year = 0").drop("status_group")
     train = models.training_rows(models.feature_frame(ft.full_features(known), names, KEEP))
-    model = models.fit_model(train, names, models.random_forest(15, 8))
+    model = models.fit_model(train, names, models.random_forest())
     rows = models.feature_frame(ft.full_features(new, known), names, ["id"])
-    return models.predict(model, rows, ["id"], "status_group")
+    scored = models.predict(model, rows, ["id"], "status_group")
+    return scored.agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.count_if(F.col("status_group").isin(*voting.CLASSES)).alias("n_in_classes"))
 
 
 @plan("stage_timing")

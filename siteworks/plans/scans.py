@@ -66,15 +66,18 @@ def upsert_latest(spark, sf):
     return store.read()
 
 
-@plan("rating_schema_empty", with_sites("select c.*, 0 as rows_when_absent, (select count(*) from sites where construction_year > 0) + (select count(*) from sites where construction_year > 0 and scheme_name is null) as rows_offered from ("
+@plan("rating_schema_empty", with_sites("select c.*, 0 as rows_when_empty, (select count(*) from sites where construction_year > 0) as rows_when_filled from ("
     + " union all ".join(f"select '{f.name}' as column_name, '{f.dataType.simpleString()}' as type" for f in rs.RATING_SCHEMA) + ") c"))
 def rating_schema_empty(spark, sf):
-    """No file yet: the fallback chain ends in an empty, typed frame; with the table, its schema."""
-    missing = scratch_path(spark, "absent")
-    empty = first_existing(spark, [missing], rs.RATING_SCHEMA)
-    n = rating_versions(spark, sf).agg(F.count("*").alias("n")).scalar()
-    names = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in empty.schema], "column_name string, type string")
-    return names.withColumn("rows_when_absent", F.lit(empty.count())).withColumn("rows_offered", n)
+    """A new store reads as an empty, typed table; filled, it has the same columns and one row per rated id."""
+    store = rs.RatingStore(spark, scratch_path(spark, "ratings"))
+    empty = store.read()
+    n_empty = empty.count()
+    store.write_batch(rating_versions(spark, sf), 1)
+    filled = store.read()
+    both = [f for f in filled.schema if f.name in empty.columns and empty.schema[f.name].dataType == f.dataType]
+    names = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in both], "column_name string, type string")
+    return names.withColumn("rows_when_empty", F.lit(n_empty)).withColumn("rows_when_filled", F.lit(filled.count()))
 
 
 def majority(spark, sf):

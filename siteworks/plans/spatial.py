@@ -138,22 +138,30 @@ def cluster_size(spark, sf):
     return sp.grid_clusters(sites(spark, sf), 0.05).select("id", "cluster_size")
 
 
-@plan("kmeans_cluster")
+@plan("kmeans_cluster", with_sites(f", n as (select count(*) as n from ({LOCATED_SQL}) t) select n as n_rows, true as within_k, n as n_nearest from n"))
 def kmeans_cluster(spark, sf):
+    """Clusters of all located rows: no more than k of them, and every row in the one whose centre is nearest."""
     from siteworks.operators.models import spatial_kmeans
 
-    return spatial_kmeans(sites(spark, sf)).select("id", "geographic_cluster")
+    rows = spatial_kmeans(sites(spark, sf))
+    k = F.greatest(F.lit(2), F.least(F.lit(50), F.floor(F.count("*") / 10)))
+    return rows.agg(F.count("*").alias("n_rows"), (F.count_distinct("geographic_cluster") <= k).alias("within_k"), F.count_if(F.col("is_nearest")).alias("n_nearest"))
 
 
-@plan("pairwise_in_group")
+DIRECTIONS = 32
+#: The same sums of shadows, ranked by a window for each ward and direction.
+PAIRS_SQL = (f", pp as ({LOCATED_SQL}), pc as (select ward, avg(latitude) as cy, avg(longitude) as cx, count(*) as n from pp where ward is not null group by ward), "
+    f"sh as (select pp.id, pp.ward, pc.n, d.i, (pp.longitude - cx) * cos(pi() * d.i / {DIRECTIONS}) + (pp.latitude - cy) * sin(pi() * d.i / {DIRECTIONS}) as shadow from pp join pc on pp.ward = pc.ward, range({DIRECTIONS}) d(i)), "
+    "rk as (select *, row_number() over (partition by ward, i order by shadow, id) as rn from sh), "
+    f"md as (select ward, n, coalesce(pi() / 2 * sum((2 * rn - n - 1) * shadow) / {DIRECTIONS} / nullif(n * (n - 1) / 2.0::double, 0), 0) as d from rk group by ward, n) ")
+
+
+@plan("pairwise_in_group", with_sites(PAIRS_SQL + "select ward, n as n_points, round(d, 6) as mean_pair_distance from md"))
 def pairwise_in_group(spark, sf):
     """Mean pairwise distance per ward without forming pairs; within 0.1% (see the operator)."""
-    return r6_all(sp.mean_pair_distance(sp.located(sites(spark, sf)), "ward"))
+    return r6_all(sp.mean_pair_distance(sp.located(sites(spark, sf)), "ward", DIRECTIONS))
 
 
-@plan("cluster_density")
+@plan("cluster_density", with_sites(PAIRS_SQL + "select pp.id, n as cluster_size, round(case when n > 1 then 1 / (d + 0.1::double) else 0 end, 6) as cluster_density from pp join md on pp.ward = md.ward"))
 def cluster_density(spark, sf):
-    from siteworks.operators.models import spatial_kmeans
-
-    clusters = sp.materialize(spatial_kmeans(sites(spark, sf)))
-    return r6_all(sp.cluster_density(clusters, "geographic_cluster").select("id", "cluster_size", "cluster_density"))
+    return r6_all(sp.cluster_density(sp.located(sites(spark, sf)), "ward").select("id", "cluster_size", "cluster_density"))
