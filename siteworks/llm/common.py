@@ -41,6 +41,13 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def discard(stored: DataFrame) -> None:
+    """Remove the files of a stored table that nothing reads any more."""
+    folders = {path.rsplit("/", 1)[0] for path in stored.inputFiles()}
+    for folder in folders:
+        drop_folder(stored.sparkSession, folder)
+
+
 def row_key() -> Column:
     """A key for a row by its content: equal rows share it, and equal results then hold for both."""
     return F.xxhash64("doc_id", "text")
@@ -163,6 +170,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         jump = lower.select(F.col("node").alias("next"), F.col("next").alias("far")).where("next <> far")
         stepped = lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("before"))
         after, seen = store_counted(stepped, f"{label}-roots", changed=F.count_if(F.col("root") != F.col("before")))
+        discard(roots)
         roots = after.select("node", "root")
         if not seen["changed"]:
             return roots
