@@ -74,14 +74,17 @@ def rate_org_type(funder: Column) -> Column:
     return _first_match(funder, FUNDER_WORDS, 5)
 
 
+# Texts that stand for a missing name, and the longest names of quality 1, 2 and 3.
+MISSING_NAMES = ["0", "nan"]
+NAME_LENGTHS = [1, 3, 10]
+
+
 def rate_name_quality(name: Column) -> Column:
     text = _text(name)
-    return (
-        F.when(text.isin("0", "nan") | (F.length(text) <= 1), 1)
-        .when(F.length(text) <= 3, 2)
-        .when(F.length(text) <= 10, 3)
-        .otherwise(4)
-    )
+    out = F.when(text.isin(*MISSING_NAMES), 1)
+    for quality, longest in enumerate(NAME_LENGTHS, start=1):
+        out = out.when(F.length(text) <= longest, quality)
+    return out.otherwise(len(NAME_LENGTHS) + 1)
 
 
 def rate_location(place: Column) -> Column:
@@ -111,16 +114,22 @@ def rate_language(*fields: Column) -> Column:
     )
 
 
+# Words that mark public and private organisations.
+PUBLIC_FUNDER_WORDS = ["government", "ministry", "district"]
+PUBLIC_INSTALLER_WORDS = ["government", "district", "council", "dwe", "rwe"]
+PRIVATE_FUNDER_WORDS = ["private", "company"]
+
+
 def rate_coordination(funder: Column, installer: Column) -> Column:
     f, i = F.lower(_text(funder)), F.lower(_text(installer))
-    missing = f.isin("0", "nan") | i.isin("0", "nan")
-    public_funder = _any(funder, ["government", "ministry", "district"])
-    public_installer = _any(installer, ["government", "district", "council", "dwe", "rwe"])
+    missing = f.isin(*MISSING_NAMES) | i.isin(*MISSING_NAMES)
+    public_funder = _any(funder, PUBLIC_FUNDER_WORDS)
+    public_installer = _any(installer, PUBLIC_INSTALLER_WORDS)
     return (
         F.when(missing, 5)
         .when(f == i, 1)
         .when(public_funder & public_installer, 2)
-        .when(_any(funder, ["private", "company"]) & public_installer, 4)
+        .when(_any(funder, PRIVATE_FUNDER_WORDS) & public_installer, 4)
         .otherwise(3)
     )
 

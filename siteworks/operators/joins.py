@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.session import materialize_counted
+from siteworks.session import materialize_sized
 
-# A side is broadcast only after it was stored and found to hold at most this many rows.
+# A side is broadcast only after it was stored and found to hold at most this many rows and bytes.
 BROADCAST_ROWS = 300_000
+BROADCAST_BYTES = 64 << 20
 
 
 def hinted(stored: DataFrame, rows: int, most: int | None = None) -> DataFrame:
@@ -24,7 +25,8 @@ def measured(side: DataFrame, most: int | None = None) -> DataFrame:
     Beyond the bound it stays an ordinary side: Spark shuffles both inputs and
     adaptive execution splits the keys that hold too many rows.
     """
-    return hinted(*materialize_counted(side), most)
+    stored, rows, size = materialize_sized(side)
+    return hinted(stored, rows, most) if size <= BROADCAST_BYTES else stored
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

@@ -138,6 +138,7 @@ def stratified_kfold(spark, sf):
     return splits.stratified_folds(sites(spark, sf).select("id", "status_group"), "id", "status_group", 5, 42)
 
 
+# Shares and seeds of the learning curve.
 SIZES, SEEDS = [0.01, 0.02, 0.05, 0.1, 0.2], list(range(10))
 
 

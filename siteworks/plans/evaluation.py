@@ -206,6 +206,7 @@ def improvement_vs_baseline(spark, sf):
     return r6_all(metrics.against_baseline(scores, "voter", "v_quantity"))
 
 
+# Gains above which a change is accepted, and the verdicts.
 GATES = [(0.01, "adopt"), (0.005, "moderate"), (0.002, "small"), (0.001, "weak")]
 
 

@@ -56,7 +56,7 @@ def held_rows(predictions):
 @plan("rf_predict", HELD_SQL)
 def rf_predict(spark, sf):
     names = [*ft.BASE, *ft.GEO, *ft.INTERACTIONS]
-    return held_rows(fitted(prepared(spark, sf, names, geo=True), names, models.random_forest()))
+    return held_rows(fitted(prepared(spark, sf, names, geo=True), names, models.random_forest(**models.FOREST_SETTINGS["base"])))
 
 
 @plan("rf_predict_train_only", HELD_SQL)
@@ -96,7 +96,7 @@ def rf_weighted(spark, sf):
     data = prepared(spark, sf, [*SMALL, "days_since_recorded"])
     ends = data.agg(F.struct(F.min("days_since_recorded").alias("lo"), F.max("days_since_recorded").alias("hi")).alias("s")).first().s
     weighted = data.withColumn("weight", fx.recency_weight(F.col("days_since_recorded"), F.lit(ends.lo), F.lit(ends.hi)))
-    return held_rows(fitted(weighted, SMALL, models.random_forest(seed=43, weight="weight")))
+    return held_rows(fitted(weighted, SMALL, models.random_forest(**models.FOREST_SETTINGS["tuned"], weight="weight")))
 
 
 @plan("rf_balanced", HELD_SQL)

@@ -58,3 +58,18 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")))
     return stored, seen.get["rows"]
+
+
+def materialize_sized(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """Stored rows, their number and about their bytes: texts as long as they are, 8 for a number, 16 for an item of a list."""
+    size = F.lit(0)
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            size = size + F.lit(16) * F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0))
+        size = size + F.lit(8)
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")))
+    return stored, seen.get["rows"], seen.get["bytes"]

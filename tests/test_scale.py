@@ -66,6 +66,32 @@ def test_sides_above_the_bound_are_not_broadcast(spark):
     assert joins.hinted(small, 50, 49) is small
 
 
+def test_few_rows_of_long_text_are_not_broadcast(spark, monkeypatch):
+    side = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    hint = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert hint(joins.measured(side))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 5000)
+    assert not hint(joins.measured(side))
+
+
+def test_ward_statistics_scan_their_table_twice_at_most(spark, monkeypatch):
+    """Once for the statistics, stored with what the median needs, and once for the rows."""
+    scans = []
+    keep = session_module.materialize
+
+    def watched(df):
+        scans.append(physical(df).count("FileScan"))
+        return keep(df)
+
+    for module in (groups, joins, session_module):
+        if hasattr(module, "materialize"):
+            monkeypatch.setattr(module, "materialize", watched)
+    rows = table(spark, SF, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("ward"), F.lit(1.0).alias("latitude"), F.lit("functional").alias("status_group"))
+    last = groups.add_ward_statistics(rows)
+    assert sum(scans) + physical(last).count("FileScan") <= 2
+
+
 @pytest.mark.parametrize("bound", [0, 10**6])
 def test_results_do_not_depend_on_broadcasting(spark, monkeypatch, bound):
     """The same numbers with every measured side shuffled instead of broadcast."""
