@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteworks.operators.joins import measured
+from siteworks.operators.ordering import running_totals
 
 # Half-width, as a share of the rows, of the band that is searched exactly.
 BAND = 0.0005
+# Rows of a band that one task may order.
+BAND_ROWS = 1_000_000
 SKETCH_ACCURACY = 10000
 
 
@@ -51,10 +54,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], keys:
     for p in probs.values():
         low, high = _ranks(p)
         needed = needed | ((high >= first_rank) & (low < F.col("upto")))
-    spans = spans.where(needed).select(*keys, "band", first_rank.alias("start"), "n")
-    distinct = banded.join(measured(spans), [*keys, "band"]).groupBy(*keys, "band", "v", "start", "n").agg(F.count("*").alias("times"))
-    by_value = Window.partitionBy(*keys, "band").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = distinct.withColumn("upto", F.col("start") + F.sum("times").over(by_value))
+    spans = measured(spans.where(needed).select(*keys, "band", first_rank.alias("start"), "n", "rows"))
+    largest = spans.agg(F.max("rows")).first()[0] or 0
+    distinct = banded.join(spans, [*keys, "band"]).groupBy(*keys, "band", "v", "start", "n").agg(F.count("*").alias("times"))
+    if largest <= BAND_ROWS:
+        by_value = Window.partitionBy(*keys, "band").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = distinct.withColumn("upto", F.col("start") + F.sum("times").over(by_value))
+    else:
+        # A band that is too long for one task is summed over range-partitioned slices.
+        summed = running_totals(distinct, [*keys, "band", "v"], {"overall": "times"})
+        before = summed.groupBy(*keys, "band").agg(F.min(F.col("overall") - F.col("times")).alias("before"))
+        ranked = summed.join(before, [*keys, "band"]).withColumn("upto", F.col("start") + F.col("overall") - F.col("before"))
     from_rank = F.col("upto") - F.col("times")
     ends = []
     for name, p in probs.items():

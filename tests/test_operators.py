@@ -315,3 +315,17 @@ def test_codes_come_without_a_join_by_id(spark):
     for name in ("interactions_fast", "interactions_infra", "interactions_risk", "feature_set_fast"):
         text = PLANS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("Join") and not any("Join" in line and "(id#" in line for line in text.split("\n")), name
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_quantiles_of_long_bands(spark, monkeypatch, most):
+    """The same numbers when a band is summed over slices instead of in one task."""
+    monkeypatch.setattr(quantiles, "BAND_ROWS", most)
+    gen = np.random.default_rng(5)
+    frame = pd.DataFrame({"k": gen.choice(["a", "b", "c"], 3000, p=[0.9, 0.09, 0.01]), "v": np.round(gen.normal(0, 50, 3000))})
+    df = spark.createDataFrame(frame)
+    got = {r.k: (r.low, r.mid) for r in quantiles.exact_quantiles(df, "v", {"low": 0.1, "mid": 0.5}, ["k"]).collect()}
+    for key, part in frame.groupby("k"):
+        assert got[key] == pytest.approx((part.v.quantile(0.1), part.v.quantile(0.5)))
+    whole = quantiles.exact_quantiles(df, "v", {"low": 0.1, "mid": 0.5}).first()
+    assert (whole.low, whole.mid) == pytest.approx((frame.v.quantile(0.1), frame.v.quantile(0.5)))
