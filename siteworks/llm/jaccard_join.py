@@ -254,7 +254,7 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     tried = store(near.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "tried")
     links = _verified(tried, sets, percent, "links")
     open_ = _open(near.select("key", "node", "n"), components(links, "near"))
-    sizes = open_.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("size"))
+    sizes = store(open_.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("size")), "group-sizes")
     ranked = open_.join(sizes, "root").select("key", "node", "root", "size", F.col("node").bitwiseXOR(F.col("key")).alias("draw"))
     chosen = ranked.groupBy("key").agg(F.max(F.struct("size", "root", "draw")).alias("most"))
     chosen = store(chosen.select("key", F.col("most.root").alias("into"), F.col("most.draw").bitwiseXOR(F.col("key")).alias("one")), "chosen")
