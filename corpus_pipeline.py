@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group whose shingle sets link."""
-    return keep_one_each(docs)
+    """The document with the smallest id of every group that links: sets of five-word shingles with 0.8 or more of their union in common."""
+    return keep_one_each(docs, shingle=5, percent=80)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

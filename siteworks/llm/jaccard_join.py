@@ -5,11 +5,14 @@
 document's prefix under it is all it has in that cell. Two sets of together ``s``
 shingles and Jaccard similarity ``t`` or more differ in at most
 ``d = s * (1 - t) / (1 + t)`` shingles, and each spoils one prefix at most. With
-``p = d + 2`` orders, linked documents share their whole prefix under two orders or
-more, so none is missed; and a whole prefix of about nine shingles is shared by far
+``p > d`` orders, linked documents share their whole prefix under ``p - d`` orders or
+more, so none is missed; and a whole prefix of several shingles is shared by far
 fewer others than one frequent shingle would be, whatever passage is common.
 
-``d`` is taken for a class of sizes; a set close below the next class takes part there too.
+``p`` is taken for a class of sizes; a set close below the next class takes part there too.
+A set may differ from those it links with in fewer shingles than ``p`` allows for, so of
+its ``p`` prefixes only the first ones are written, one more than may be spoiled: filled
+cells come before empty ones, as many sets have the same cell empty.
 
 *Copies.* Documents with equal sets are one node throughout. *Verification* counts
 the common shingles of a candidate pair exactly. Nodes that share a prefix are first
@@ -82,6 +85,12 @@ def size_classes(percent: int) -> list[int]:
     return bounds
 
 
+def cells_of(upper, percent: int):
+    """Cells of a size class: some more than sets of it may differ in, so that most sets fill more than they may differ in."""
+    differ = 2 * upper * (100 - percent) // (100 + percent)
+    return differ + 2 + differ // 16
+
+
 def _prefixes(size: int, percent: int):
     bounds = np.array(size_classes(percent))
 
@@ -104,24 +113,27 @@ def _prefixes(size: int, percent: int):
                 for step in (0, 1):
                     at = level + step
                     upper = bounds[at]
-                    cells = 2 * upper * (100 - percent) // (100 + percent) + 2
+                    cells = cells_of(upper, percent)
                     takes = (at > 0) & ((step == 0) | (100 * n > percent * bounds[level]))
                     rows = np.repeat(takes, n)
                     if not rows.any():
                         continue
+                    # The sets that these link with here differ from them in fewer shingles than two of the class may.
+                    needed = (n + np.minimum(100 * n // percent, upper)) * (100 - percent) // (100 + percent) + 1
                     cell = ((what >> np.uint64(32)) * np.repeat(cells, n).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
                     new = np.append(True, (who[1:] != who[:-1]) | (cell[1:] != cell[:-1]))
                     new = np.flatnonzero(new)
-                    mark = (at[np.searchsorted(begin, new, side="right") - 1].astype(np.uint64) << np.uint64(40)) + cell[new].astype(np.uint64)
+                    doc = np.searchsorted(begin, new, side="right") - 1
+                    filled = np.bincount(doc, minlength=len(n))
+                    mark = (at[doc].astype(np.uint64) << np.uint64(40)) + cell[new].astype(np.uint64)
                     key = _with_level(mix(np.add.reduceat(spread, new) ^ mix(mark)), mark)
-                    keep = rows[new]
+                    keep = rows[new] & (np.arange(len(new)) - (np.cumsum(filled) - filled)[doc] < needed[doc])
                     for d, k in zip(*_runs(who[new][keep], key[keep]), strict=True):
                         keys[d].extend(k)
-                    # A document with two empty cells or more may share nothing but empty ones.
-                    filled = np.bincount(np.searchsorted(begin, new, side="right") - 1, minlength=len(n))
-                    for j in np.flatnonzero(takes & (cells - filled > 1)):
+                    # Empty cells come last in every document, so few need any of them.
+                    for j in np.flatnonzero(takes & (needed > filled)):
                         mine = new[(new >= begin[j]) & (new < begin[j] + n[j])]
-                        empty = np.setdiff1d(np.arange(cells[j]), cell[mine]).astype(np.uint64)
+                        empty = np.setdiff1d(np.arange(cells[j]), cell[mine])[: needed[j] - filled[j]].astype(np.uint64)
                         mark = (np.uint64(at[j]) << np.uint64(40)) + empty
                         keys[who[begin[j]]].extend(_with_level(mix(mix(mark)), mark).view(np.int64).tolist())
             has = counts > 0

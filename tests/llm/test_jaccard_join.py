@@ -81,3 +81,26 @@ def test_empty_table(spark):
 def test_classes_meet_every_size():
     bounds = size_classes(90)
     assert bounds[0] == 9 and all(b > a / 0.9 for a, b in zip(bounds, bounds[1:], strict=False))
+
+
+def brute_at(texts, size, percent):
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} - {()})
+    root = list(range(len(texts)))
+    for i, left in enumerate(sets):
+        for j in range(i):
+            common = len(left & sets[j])
+            if left and root[i] != root[j] and 100 * common >= percent * (len(left) + len(sets[j]) - common):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return [(i, len(s), root[i]) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("size", "percent"), [(5, 80)])
+def test_other_thresholds_equal_all_pairs(spark, size, percent, monkeypatch):
+    monkeypatch.setattr("siteworks.llm.jaccard_join.BLOCK", 16)
+    texts = corpus(3)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in link_documents(rows, size, percent).collect()) == brute_at(texts, size, percent)

@@ -67,3 +67,14 @@ def test_pipeline_runs(spark):
     for r in got:
         filled[r.sequence_id] += r.length
     assert max(filled.values()) <= 4096 and sum(filled.values()) >= 0.9 * 4096 * (len(filled) - 1)
+
+
+def test_stage_drops_near_copies_from_four_fifths(spark):
+    """Two scattered words changed: five-word sets of 100, 94 and 93 words have 86/106, 80/100 and 79/99 in common."""
+    rows = []
+    for k, n in enumerate((100, 94, 93)):
+        words = [f"w{k}x{i}" for i in range(n)]
+        other = [*words[:30], "changed", *words[31:60], "too", *words[61:]]
+        rows += [(2 * k, " ".join(words), "s0"), (2 * k + 1, " ".join(other), "s1")]
+    once = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), SF)
+    assert {r.doc_id for r in once.collect()} == {0, 2, 4, 5}
