@@ -240,15 +240,8 @@ def _open(near: DataFrame, roots: DataFrame) -> DataFrame:
     return store(rows.join(store(split, "split-keys"), "key"), "open")
 
 
-def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
-
-    ``component_id`` is the smallest doc_id that links reach. Texts that are null, empty or
-    white space have no shingles and link with nothing; fewer words than ``shingle`` are
-    one shingle. Rows that share a doc_id are one document for its links; a row with a
-    null doc_id links, but no component is named after it: alone, its component is null.
-    Ties and repeated rows fall into one component. No rows give no rows.
-    """
+def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, row, node, n, root) for every row: equal roots are linked; without shingles, node and root are null."""
     keyed = docs.select("doc_id", row_key().alias("row"), "text")
     made = keyed.mapInArrow(_prefixes(shingle, percent), "doc_id long, row long, node long, n long, keys array<long>")
     made = store(made, "shingle-prefixes")
@@ -292,14 +285,33 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     rest = store(rest.union(blocks).distinct().join(tried.union(second), ["a", "b"], "left_anti"), "tried-last")
     roots = components(links.union(_verified(rest, sets, percent, "links-last")), "all")
 
-    grouped = made.select("doc_id", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return made.select("doc_id", "row", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest doc_id that links reach. Texts that are null, empty or
+    white space have no shingles and link with nothing; fewer words than ``shingle`` are
+    one shingle. Rows that share a doc_id are one document for its links; a row with a
+    null doc_id links, but no component is named after it: alone, its component is null.
+    Ties and repeated rows fall into one component. No rows give no rows.
+    """
+    grouped = _groups(docs, shingle, percent)
     named = grouped.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
     out = grouped.join(named, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
     return out
 
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of ``docs`` for each group of linked documents: the one with the smallest doc_id; rows without an id stay."""
-    kept = link_documents(docs, shingle, percent).where("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["keep"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` for each group of linked rows: one with the smallest doc_id, or without an id if none has one.
+
+    Rows are told apart by id and text, so unlike texts that share an id both stay, and repeated
+    rows are copies of each other. Rows without shingles link with nothing and all stay.
+    """
+    grouped = _groups(docs, shingle, percent).where("node is not null")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    kept = store(first.select(F.col("first.row").alias("kept_row")), "kept-rows")
+    linked = docs.withColumn("kept_row", row_key()).join(kept, "kept_row", "left_semi").dropDuplicates(["kept_row"])
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return linked.select(docs.columns).unionByName(docs.where(blank))

@@ -104,3 +104,11 @@ def test_other_thresholds_equal_all_pairs(spark, size, percent, monkeypatch):
     texts = corpus(3)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in link_documents(rows, size, percent).collect()) == brute_at(texts, size, percent)
+
+
+def test_one_row_stays_of_each_group(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, a), (5, a + " x"), (5, b), (6, b + " y"), (None, "no id here"), (None, "no id here"), (None, b + " z"), (8, ""), (8, ""), (None, None), (None, None)]
+    got = keep_one_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, a), (5, b), (None, "no id here"), (8, ""), (8, ""), (None, None), (None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
