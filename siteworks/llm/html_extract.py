@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ATTRS = r"""[^>"']*(?:"[^"]{0,4096}"[^>"']*|'[^']{0,4096}'[^>"']*)*"""
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(/?)([a-zA-Z][^\s/>]*)((?:{_ATTRS})(?=>|\Z)|[^>]*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)",
     re.S,
 )
+#: An attribute's name and what follows it: an opening quote, or a value without quotes.
+_NEXT_ATTR = re.compile(r"""[\s/]*(?:[^\s/>][^\s/>=]*\s*(?:=\s*(?:(["'])|[^\s>"'][^\s>]*)?)?)?""")
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,11 +82,31 @@ class Node:
         self.score = 0.0
 
 
+def _tag_end(html: str, at: int, unclosed: set[str]) -> int:
+    """Where the tag whose attributes begin at ``at`` has its ``>``, or the end of the page.
+
+    A quoted value goes to its closing quote, however far; if there is none, the tag ends at the next ``>``.
+    ``unclosed`` holds the quotes that the rest of the page is known not to have, so no stretch is searched twice.
+    """
+    while at < len(html) and html[at] != ">":
+        m = _NEXT_ATTR.match(html, at)
+        at = m.end()
+        if m[1]:
+            close = -1 if m[1] in unclosed else html.find(m[1], at)
+            if close < 0:
+                unclosed.add(m[1])
+                end = html.find(">", at)
+                return len(html) if end < 0 else end
+            at = close + 1
+    return at
+
+
 def parse(html: str) -> Node:
     """The element tree; text stays encoded."""
     root = node = Node("html", "", None)
     opened = {"html": 1}  # how many elements of a name are open: saves walks that would find nothing
     at = 0
+    unclosed: set[str] = set()
 
     def pop_to(stop: Node) -> None:
         nonlocal node
@@ -117,6 +138,9 @@ def parse(html: str) -> Node:
                 node.children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
+        end_of_tag = _tag_end(html, at, unclosed)
+        attrs = html[at:end_of_tag]
+        at = min(end_of_tag + 1, len(html))
         if m[1]:
             if tag == "br":
                 node.children.append(Node("br", "", node))
@@ -137,9 +161,9 @@ def parse(html: str) -> Node:
             pop_to(node)
         if opened.get("head") and (tag in BLOCK):
             close({"head"}, frozenset())
-        made = Node(tag, m[3], node)
+        made = Node(tag, attrs, node)
         node.children.append(made)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path", "use", "circle", "rect"):
+        if tag in VOID or attrs.endswith("/") and tag in ("svg", "path", "use", "circle", "rect"):
             continue
         if tag in RAW:
             end = RAW[tag].search(html, at)

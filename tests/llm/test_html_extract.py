@@ -80,3 +80,19 @@ def test_table_with_nulls(spark):
     rows = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 1), (1, "u", "<p>a", 1)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in extract_pages(rows).collect()) == [(0, "", "", 0), (1, "u", "", 0), (1, "u", "a", 1)]
     assert extract_pages(rows.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("quote", ['"', "'"])
+@pytest.mark.parametrize("size", [100, 5_000, 300_000])
+def test_long_attribute_values_are_whole(quote, size):
+    value = "<p>leaked, text, of, a, value</p>" * (size // 33 + 1)
+    ad = f"<div data-state={quote}{value}{quote} class=ad><p>{LONG[1]}</p></div>"
+    page = f"<article data-src = {quote}{value}{quote}>{para(0)}{ad}<img src={quote}{value}{quote}>{para(2)}</article>"
+    assert extract(page).split("\n") == [LONG[0], LONG[2]]
+
+
+def test_quotes_without_end():
+    assert extract(f"<article title='a>b' class=\"x>{para(0)}</article>".replace("<p>", "<p id=it's>")) == LONG[0]
+    assert extract("<p title='>x" * 100_000).split("\n") == ["x"] * 50_000  # every other tag stands in a value
+    assert extract('<p title=">x' + "<p title='>x" * 99_999).split("\n") == ["x"] * 50_001
+    assert extract('<p title=">x' * 3 + "<p>y") == "x\nx\ny"
