@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import ByteHash, chunks, components, grouped_rows, mix, row_key, slices, store, text_bytes
+from siteworks.llm.common import ByteHash, chunks, components, discard, grouped_rows, mix, row_key, shuffles_freed, slices, store, text_bytes
 
 SHINGLE = 3
 PERCENT = 90
@@ -164,16 +164,27 @@ def _runs(who: np.ndarray, values: np.ndarray) -> tuple[list[int], list[list[int
     return who[np.append(0, cut)].tolist(), [v.view(np.int64).tolist() for v in np.split(values, cut)]
 
 
-def _shingles(size: int, percent: int):
-    """The sets themselves, and for either size class a checksum of each cell of a finer split."""
-    bounds = size_classes(percent)
+def _shingles(size: int):
+    """The sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHash(3, _LOWER)
         for batch in slices(batches, 64):
-            sets, odd, fine = [], [], []
-            for text in text_bytes(batch.column(1)):
-                _, what = _set_of([0], [text], size, hasher)
+            sets = [_set_of([0], [text], size, hasher)[1].view(np.int64) for text in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+
+    return run
+
+
+def _fine(percent: int):
+    """For either size class of a set a checksum of each cell of a finer split."""
+    bounds = size_classes(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            odd, fine = [], []
+            for items in batch.column(1):
+                what = items.values.to_numpy().view(np.uint64)
                 level = bisect_left(bounds, len(what))
                 checks = []
                 for upper in bounds[level : level + 2]:
@@ -182,12 +193,11 @@ def _shingles(size: int, percent: int):
                     at = ((what & np.uint64(0xFFFFFFFF)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
                     np.add.at(check, at, mix(what).astype(np.uint16))
                     checks.append(check.tobytes())
-                sets.append(what.view(np.int64))
                 odd.append(level % 2)
                 fine.append(checks)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(odd, pa.int32()), *[pa.array([f[k] for f in fine], pa.binary()) for k in (0, 1)]],
-                names=["node", "items", "odd", "own", "above"],
+                [batch.column(0), pa.array(odd, pa.int32()), *[pa.array([f[k] for f in fine], pa.binary()) for k in (0, 1)]],
+                names=["node", "odd", "own", "above"],
             )
 
     return run
@@ -242,6 +252,11 @@ def _open(near: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, row, node, n, root) for every row: equal roots are linked; without shingles, node and root are null."""
+    with shuffles_freed(docs.sparkSession):
+        return _linked(docs, shingle, percent)
+
+
+def _linked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     keyed = docs.select("doc_id", row_key().alias("row"), "text")
     made = keyed.mapInArrow(_prefixes(shingle, percent), "doc_id long, row long, node long, n long, keys array<long>")
     made = store(made, "shingle-prefixes")
@@ -250,10 +265,13 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     shared = store(shared, "shared-keys")  # a plain side: Spark can split what a hot key joins
     near = store(keys.join(shared, "key").select("key", "node", "n", "least").distinct(), "shared-prefixes")
 
+    rows = store(made.select("doc_id", "row", "node", "n"), "nodes")
+    discard(made)
+
     # Sets of the nodes that share a prefix with another, from one document each.
-    wanted = made.join(near.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    texts = keyed.select("row", "text").join(wanted, "row").select("node", "text")
-    sets = store(texts.mapInArrow(_shingles(shingle, percent), "node long, items array<long>, odd int, own binary, above binary").dropDuplicates(["node"]), "shingle-sets")
+    wanted = rows.join(near.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    texts = keyed.select("row", "text").dropDuplicates(["row"]).join(wanted, "row").select("node", "text")
+    sets = store(texts.mapInArrow(_shingles(shingle), "node long, items array<long>"), "shingle-sets")
 
     # First against the smallest node of a prefix, then against one of its largest group.
     tried = store(near.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "tried")
@@ -280,12 +298,13 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("key", "node", "n", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     fine = F.when(F.col("key").bitwiseAND(1) == F.col("odd"), F.col("own")).otherwise(F.col("above"))
-    many = many.join(sets.select("node", "odd", "own", "above"), "node").select(*many.columns, fine.alias("fine"))
+    marks = sets.join(open_.where(F.col("open") > FEW).select("node").distinct(), "node", "left_semi").mapInArrow(_fine(percent), "node long, odd int, own binary, above binary")
+    many = many.join(store(marks, "fine-cells"), "node").select(*many.columns, fine.alias("fine"))
     blocks = many.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_alike(percent), "a long, b long")
     rest = store(rest.union(blocks).distinct().join(tried.union(second), ["a", "b"], "left_anti"), "tried-last")
     roots = components(links.union(_verified(rest, sets, percent, "links-last")), "all")
 
-    return made.select("doc_id", "row", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
