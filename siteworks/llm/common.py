@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +35,6 @@ def store_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFram
     return stored, seen.get
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside leave no shuffle files behind: stored tables are read again, their shuffles never."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import ByteHash, chunks, components, discard, grouped_rows, mix, row_key, shuffles_freed, slices, store, text_bytes
+from siteworks.llm.common import ByteHash, chunks, components, discard, grouped_rows, mix, row_key, slices, store, text_bytes
 
 SHINGLE = 3
 PERCENT = 90
@@ -252,11 +252,6 @@ def _open(near: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, row, node, n, root) for every row: equal roots are linked; without shingles, node and root are null."""
-    with shuffles_freed(docs.sparkSession):
-        return _linked(docs, shingle, percent)
-
-
-def _linked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     keyed = docs.select("doc_id", row_key().alias("row"), "text")
     made = keyed.mapInArrow(_prefixes(shingle, percent), "doc_id long, row long, node long, n long, keys array<long>")
     made = store(made, "shingle-prefixes")
