@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import discard, store, store_counted
+from siteworks.llm.common import crc32_sql, discard, store, store_counted
 
 FAN = 16
 #: Levels of runs in a block: 16^3 leaves, about 0.3 MB of digests.
@@ -347,13 +347,6 @@ def lower_ascii(text: Column) -> Column:
 SQL_LEVELS = 6
 
 
-def crc32_sql(text: str) -> str:
-    """DuckDB expression of the unsigned CRC-32 of a text's UTF-8 bytes: bit by bit, from the lowest of each byte."""
-    bits = f"flatten(list_transform(range(0, octet_length(encode({text}))), lambda i: list_transform(range(0, 8), lambda j: (('0x' || substr(hex(encode({text})), 2 * i::int + 1, 2))::int >> j::int) & 1)))"
-    step = "xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))"
-    return f"xor(4294967295, list_reduce(list_transform(list_prepend(4294967295, {bits}), lambda x: x::bigint), lambda crc, bit: {step}))"
-
-
 def manifest_sql() -> str:
     """The same rows in DuckDB's SQL: a table per level, and the siblings of every leaf joined level by level."""
     field = lambda c: f"case when {c} is null then '-' else octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar end"

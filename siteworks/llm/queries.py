@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteworks.llm import ann, chat, embedding_dedup, html_extract, jaccard_join, merkle, mixing, packing, suffix_dedup, toxicity, warc
+from siteworks.llm import ann, chat, embedding_dedup, html_extract, jaccard_join, merkle, mixing, packing, spelling, suffix_dedup, toxicity, warc
 from siteworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle.manifest_proofs(docs, received=merkle.lower_ascii(F.col("text")), tampered=changed)
+
+
+@query("op12_spelling_variants", spelling.groups_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
