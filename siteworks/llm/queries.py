@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteworks.llm import ann, chat, embedding_dedup, html_extract, jaccard_join, merkle, mixing, packing, spelling, suffix_dedup, toxicity, warc
+from siteworks.llm import ann, chat, embedding_dedup, html_extract, jaccard_join, merkle, mixing, packing, quality, spelling, suffix_dedup, toxicity, warc
 from siteworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants", spelling.groups_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_quality_cascade", quality.quality_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
