@@ -15,9 +15,9 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -124,42 +124,77 @@ def score(model: PipelineModel, df: DataFrame, label: str = LABEL) -> DataFrame:
     return scored.agg(accuracy_of(F.col(label), F.col("prediction_label")).alias("score"), F.count("*").alias("rows"))
 
 
-def evaluate_sets(
-    split: DataFrame, feature_sets: Mapping[str, Sequence[str]], estimator, min_rows: int = 0, label: str = LABEL
-) -> DataFrame:
+class ExperimentTable:
+    """Rows of many fits: features assembled once, stored once, never copied.
+
+    What a fit or a score sees of them is a condition on the stored columns (a fold, a split, the size and seed of a sample), and the
+    features it uses are a slice of the one vector. So a hundred cells of an experiment read one table.
+    """
+
+    def __init__(self, df: DataFrame, features: Sequence[str], label: str = LABEL):
+        self.features = list(features)
+        indexer = label_indexer(label).fit(df)
+        rows = assembler(features).transform(indexer.transform(df))
+        self.labels = list(indexer.labels)
+        self.rows = training_rows(rows.drop(*features))
+
+    def fit(self, seen: Column, names: Sequence[str], estimator) -> PipelineModel:
+        """A model of the rows where ``seen`` holds."""
+        slicer = VectorSlicer(inputCol="features", outputCol="chosen", indices=[self.features.index(n) for n in names])
+        stages: list = [slicer]
+        given = estimator.copy()
+        if given.hasParam("featuresCol") and given.getOrDefault("featuresCol") == "scaled":
+            stages.append(StandardScaler(inputCol="chosen", outputCol="scaled", withMean=True, withStd=True))
+        else:
+            given = given.setFeaturesCol("chosen")
+        return Pipeline(stages=[*stages, given]).fit(self.rows.where(seen))
+
+    def scores(self, model: PipelineModel, **parts: Column) -> dict[str, tuple[int, float | None, float | None]]:
+        """For each named part of the rows: how many, the share the model gets right, and the share of the most frequent class; one job."""
+        scored = model.transform(self.rows)
+        right = (F.col("prediction") == F.col("label_index")).cast("double")
+        aggs = []
+        for name, part in parts.items():
+            aggs += [F.count_if(part).alias(f"{name}_n"), F.avg(F.when(part, right)).alias(f"{name}_right")]
+            aggs += [F.count_if(part & (F.col("label_index") == i)).alias(f"{name}_{i}") for i in range(len(self.labels))]
+        got = scored.agg(*aggs).first()
+        most = lambda name: max(got[f"{name}_{i}"] for i in range(len(self.labels))) / got[f"{name}_n"] if got[f"{name}_n"] else None
+        return {name: (got[f"{name}_n"], got[f"{name}_right"], most(name)) for name in parts}
+
+
+def evaluate_sets(table: ExperimentTable, feature_sets: Mapping[str, Sequence[str]], estimator, train: Column, held: Column, min_rows: int = 0) -> DataFrame:
     """Fit and score one model per feature set on the same split.
 
-    ``split`` must be stored; each fit is a distributed job over its columns. Sets
-    whose training rows are fewer than ``min_rows`` are not fitted; ``outcome`` says so.
+    Sets whose training rows are fewer than ``min_rows`` are not fitted; ``outcome`` says so.
+    ``train_majority`` is the score of a model that always answers the most frequent class.
     """
-    spark = split.sparkSession
-    train, held = split.where("split = 'train'"), split.where("split = 'validation'")
-    available = train.count()
+    spark = table.rows.sparkSession
+    available = table.rows.where(train).count()
 
     def one(item: tuple[str, Sequence[str]]) -> tuple:
         name, features = item
         if available < min_rows:
-            return (name, len(features), "too few rows", None, None, 0.0)
+            return (name, len(features), "too few rows", None, None, None, None, 0.0)
         started = time.time()
-        model = fit_model(train, features, estimator.copy(), label)
-        train_score = score(model, train, label).first().score
-        held_score = score(model, held, label).first().score
-        return (name, len(features), "fitted", train_score, held_score, time.time() - started)
+        got = table.scores(table.fit(train, features, estimator), train=train, held=held)
+        return (name, len(features), "fitted", got["train"][1], got["held"][1], got["train"][2], got["held"][0], time.time() - started)
 
     return spark.createDataFrame(
         in_parallel(one, list(feature_sets.items())),
-        "config string, n_features int, outcome string, train_score double, val_score double, seconds double",
+        "config string, n_features int, outcome string, train_score double, val_score double, train_majority double, n_held bigint, seconds double",
     ).withColumn("gap", F.col("train_score") - F.col("val_score"))
 
 
-def cross_validate(folded: DataFrame, features: Sequence[str], estimator, folds: int, label: str = LABEL) -> DataFrame:
-    """One score per held-out fold."""
+def cross_validate(table: ExperimentTable, features: Callable[[int], Sequence[str]], estimator, folds: int, fold: str = "fold") -> DataFrame:
+    """One score per held-out fold; ``features(f)`` names the columns that may be used while fold ``f`` is held out."""
 
-    def one(fold: int) -> tuple[int, float]:
-        model = fit_model(folded.where(F.col("fold") != fold), features, estimator.copy(), label)
-        return fold, score(model, folded.where(F.col("fold") == fold), label).first().score
+    def one(f: int) -> tuple:
+        held = F.col(fold) == f
+        got = table.scores(table.fit(~held, features(f), estimator), train=~held, held=held)
+        return f, got["held"][0], got["held"][1], got["held"][2], got["train"][1], got["train"][2]
 
-    return folded.sparkSession.createDataFrame(in_parallel(one, range(folds)), "fold int, score double")
+    kind = "fold int, n_rows bigint, score double, majority double, train_score double, train_majority double"
+    return table.rows.sparkSession.createDataFrame(in_parallel(one, range(folds)), kind)
 
 
 def in_parallel(run: Callable, items: Iterable, threads: int = 4) -> list:
@@ -168,15 +203,17 @@ def in_parallel(run: Callable, items: Iterable, threads: int = 4) -> list:
         return list(pool.map(inheritable_thread_target(run), items))
 
 
-def spatial_kmeans(df: DataFrame, most: int = 50, seed: int = 42) -> DataFrame:
-    """``id, geographic_cluster`` from k-means on coordinates, k = min(most, n / 10), with the cluster's centre.
+def spatial_kmeans(df: DataFrame, most: int = 50, seed: int = 42, starts: int = 10) -> DataFrame:
+    """``id, latitude, longitude, geographic_cluster, is_nearest`` from k-means on coordinates, k = min(most, n / 10).
 
-    ``most`` clusters at any size is the recorded rule; every located row gets one.
+    ``most`` clusters at any size is the recorded rule, and so is the best of ten starts (least squared distance);
+    every located row gets a cluster.
     """
-    rows = located(df).select("id", "latitude", "longitude")
+    rows = materialize(located(df).select("id", "latitude", "longitude"))
     k = max(2, min(most, rows.count() // 10))
-    points = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(rows)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="geographic_cluster").fit(points)
+    points = materialize(VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(rows))
+    fits = in_parallel(lambda n: KMeans(k=k, seed=seed + n, featuresCol="features", predictionCol="geographic_cluster").fit(points), range(starts))
+    model = min(fits, key=lambda fit: fit.summary.trainingCost)
     centres = F.array(*[F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(c, ("centre_lat", "centre_lon"))]) for c in model.clusterCenters()])
     rows = model.transform(points).select("id", "latitude", "longitude", "geographic_cluster")
     away = lambda c: (F.col("latitude") - c["centre_lat"]) ** 2 + (F.col("longitude") - c["centre_lon"]) ** 2

@@ -1,13 +1,17 @@
 """MLlib fits and experiment tables."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from siteworks.functions import columns as fx
 from siteworks.operators import features as ft
 from siteworks.operators import groups, models, splits, voting
-from siteworks.operators.joins import measured
+from siteworks.operators import out_of_fold as oof
+from siteworks.operators.joins import map_back, measured
+from siteworks.plans.derived import HAVERSINE_SQL
 from siteworks.plans.encoding import SEEDS, SIZES, folds_sql, samples_sql, split_sql
-from siteworks.plans.registry import plan
+from siteworks.plans.registry import plan, r6_all
 from siteworks.session import materialize, scratch_path
 from siteworks.sources.sites import sites, with_sites
 from siteworks.sources.tables import read_csv_typed, write_csv
@@ -38,19 +42,41 @@ def prepared(spark, sf, names, geo=False, train_only=False):
 
 
 def fitted(data, names, estimator):
+    """Predictions for all rows, with their split."""
     model = models.fit_model(data.where("split = 'train'"), names, estimator)
-    return models.predict(model, data.where("split = 'validation'"), KEEP)
+    return models.predict(model, data, [*KEEP, "split"])
+
+
+#: What can be said of predictions without the model: every held-out row has one, it is a class, and the model knows more than which class is most frequent.
+HELD_SQL = with_sites(split_sql(0.2, 42) + "select status_group, count(*) as n_rows, count(distinct id) as n_ids, count(*) as n_in_classes, "
+    "round(cast(max(count(*)) over () as double) / sum(count(*)) over (), 6) as majority_share, true as beats_majority from sp where split = 'validation' group by status_group")
+
+#: Held-out rows from which their score says something: with fewer, chance may put any model below the most frequent class.
+ENOUGH = 100
 
 
-#: What can be said of predictions without the model: every held-out row has one, and it is a class.
-HELD_SQL = with_sites(split_sql(0.2, 42) + "select status_group, count(*) as n_rows, count(distinct id) as n_ids, count(*) as n_in_classes from sp where split = 'validation' group by status_group")
+def beats(score, majority, n=None):
+    """Whether a score is above that of the most frequent class; ``n`` rows below ``ENOUGH`` say nothing."""
+    above = F.coalesce(score > majority, F.lit(False))
+    return above if n is None else above | (n < ENOUGH)
 
 
-def held_rows(predictions):
-    """Rows, ids and predicted classes of the held-out part, per true class."""
+def held_rows(predictions, knows=None):
+    """Rows, ids and predicted classes of the held-out part, per true class.
+
+    ``beats_majority``: on the training rows, and on the held-out ones if they are enough, more
+    predictions are right than if the most frequent class were always answered. ``knows`` replaces that test.
+    """
+    rows = materialize(predictions.withColumn("right", (F.col("prediction_label") == F.col("status_group")).cast("int")))
+    classes = rows.groupBy("split", "status_group").agg(F.count("*").alias("n"), F.sum("right").alias("right"))
+    parts = classes.groupBy("split").agg(F.sum("n").alias("n"), (F.sum("right") / F.sum("n")).alias("score"), (F.max("n") / F.sum("n")).alias("majority"))
+    one = lambda split, c: F.max(F.when(F.col("split") == split, F.col(c)))
+    better = beats(one("train", "score"), one("train", "majority")) & beats(one("validation", "score"), one("validation", "majority"), one("validation", "n"))
+    summary = parts.agg(F.struct(F.round(one("validation", "majority"), 6).alias("majority"), better.alias("better")).alias("s")).scalar()
     known = F.col("prediction_label").isin(*voting.CLASSES)
-    return predictions.groupBy("status_group").agg(
+    held = rows.where("split = 'validation'").groupBy("status_group").agg(
         F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.count_if(known).alias("n_in_classes"))
+    return held.withColumns({"majority_share": summary["majority"], "beats_majority": summary["better"] if knows is None else F.lit(knows)})
 
 
 @plan("rf_predict", HELD_SQL)
@@ -73,12 +99,27 @@ def gbt_ovr_predict(spark, sf):
 
 @plan("logreg_predict", HELD_SQL)
 def logreg_predict(spark, sf):
-    return held_rows(fitted(prepared(spark, sf, ft.BASE), ft.BASE, models.logistic_regression()))
+    """Category codes are not in any order a straight line could use, so scores say little: the test is that the training rows' mean log
+    likelihood is above what the class shares alone give, and that mean probabilities equal the class shares, as they do at the optimum."""
+    data = prepared(spark, sf, ft.BASE)
+    train = data.where("split = 'train'")
+    model = models.fit_model(train, ft.BASE, models.logistic_regression())
+    shares = models.predict_probabilities(model, train, KEEP)
+    own = F.element_at(F.array("p_0", "p_1", "p_2"), F.array_position(F.array(*[F.lit(c) for c in sorted(voting.CLASSES)]), F.col("status_group")).cast("int"))
+    n = lambda c: F.count_if(F.col("status_group") == c) / F.count("*")
+    got = shares.agg(
+        F.avg(F.log(own)).alias("likelihood"),
+        *[n(c).alias(f"n_{i}") for i, c in enumerate(sorted(voting.CLASSES))],
+        *[F.avg(f"p_{i}").alias(f"m_{i}") for i in range(3)],
+    ).first()
+    entropy = sum(got[f"n_{i}"] * math.log(got[f"n_{i}"]) for i in range(3) if got[f"n_{i}"])
+    knows = got.likelihood > entropy + 1e-6 and all(abs(got[f"n_{i}"] - got[f"m_{i}"]) < 1e-3 for i in range(3))
+    return held_rows(models.predict(model, data, [*KEEP, "split"]), knows)
 
 
 @plan("mlp_predict", HELD_SQL)
 def mlp_predict(spark, sf):
-    return held_rows(fitted(prepared(spark, sf, SMALL), SMALL, models.neural_net(len(SMALL))))
+    return held_rows(fitted(prepared(spark, sf, ft.BASE), ft.BASE, models.neural_net(len(ft.BASE))))
 
 
 def extra_trees(trees=150):
@@ -108,7 +149,7 @@ def rf_balanced(spark, sf):
     total = train.count()
     weights = counts.withColumn("weight", F.lit(float(total)) / (F.lit(3) * F.col("n_class")))
     model = models.fit_model(train.join(weights, "status_group"), SMALL, models.random_forest(weight="weight"))
-    return held_rows(models.predict(model, data.where("split = 'validation'"), KEEP))
+    return held_rows(models.predict(model, data, [*KEEP, "split"]))
 
 
 # --- ensembles of fitted models
@@ -209,13 +250,71 @@ def rf_importance_by_family(spark, sf):
 
 # --- experiments: every cell is fitted, and SQL knows the rows that it was fitted and scored on
 
-@plan("rf_cv", with_sites(folds_sql(5, 42) + "select fold, count(*) as n_rows, true as is_score from fo group by fold"))
+FOLDS = 5
+#: Features that depend on labels or neighbours: one column for each fold that may be held out.
+BY_FOLD = [*ft.GEO, "ward_age_interact", "neighbor_time_interact"]
+PLAIN = [*ft.BASE, "quantity_quality_interact"]
+
+
+def fold_lists(spark, sf):
+    """Rows with their fold and, as lists by held-out fold, the statistics of wards and neighbours outside it."""
+    folded = materialize(splits.stratified_folds(sites(spark, sf), "id", "status_group", FOLDS, 42))
+    wards = oof.out_of_fold_ward_statistics(folded, "fold", FOLDS)
+    rates = oof.out_of_fold_neighbor_rate(folded, "fold", FOLDS)
+    return map_back(wards, rates, "id", {"neighbor_functional_ratio": F.array_repeat(F.lit(0.5), FOLDS)})
+
+
+def by_fold(lists, columns):
+    """A row for each row and held-out fold."""
+    each = lists.select("id", F.posexplode(F.arrays_zip(*columns)).alias("fold", "v"))
+    return r6_all(each.select("id", "fold", *[F.col(f"v.{c}").alias(c) for c in columns]))
+
+
+def per_fold(body):
+    """SQL: the same text for the rows outside each fold, as ``kn``, united."""
+    return " union all ".join("(" + body.replace("{f}", str(f)) + ")" for f in range(FOLDS))
+
+
+@plan("out_of_fold_wards", with_sites(folds_sql(FOLDS, 42) + ", sf as (select s.*, fo.fold from sites s join fo on fo.id = s.id) " + per_fold(
+    "with kn as (select * from sf where fold <> {f}), w as (select ward, count(latitude) as n, avg(case when status_group = 'functional' then 1.0::double else 0.0::double end) as rate from kn where ward is not null group by ward), "
+    "m as (select median(n) as middle from w) select s.id, {f} as fold, round(coalesce(cast(w.n as double), middle), 6) as ward_site_count, round(coalesce(w.rate, 0.5), 6) as ward_functional_ratio "
+    "from sf s left join w on s.ward = w.ward, m")))
+def out_of_fold_wards(spark, sf):
+    """Ward statistics of the rows outside each fold, from one aggregation."""
+    folded = materialize(splits.stratified_folds(sites(spark, sf), "id", "status_group", FOLDS, 42))
+    return by_fold(oof.out_of_fold_ward_statistics(folded, "fold", FOLDS), ["ward_site_count", "ward_functional_ratio"])
+
+
+@plan("out_of_fold_neighbors", with_sites(folds_sql(FOLDS, 42) + ", sf as (select s.*, fo.fold from sites s join fo on fo.id = s.id), kq as (select * from sf where latitude <> 0 and longitude <> 0), " + (
+    f"pr as (select a.id, b.fold, b.status_group, round({HAVERSINE_SQL.format(a='a', b='b')}, 9) as d, b.id as nbr_id from kq a join kq b on a.id <> b.id), "
+    "c as (select *, row_number() over (partition by id order by d, nbr_id) as rn from pr), near as (select * from c where rn <= 60), ") + "r as (" + per_fold(
+    "select id, {f} as fold, avg(case when status_group = 'functional' then 1.0::double else 0.0::double end) as rate from "
+    "(select *, row_number() over (partition by id order by d, nbr_id) as rk from near where fold <> {f}) t where rk <= 10 group by id") + ") "
+    "select s.id, z.f as fold, round(coalesce(r.rate, 0.5), 6) as neighbor_functional_ratio from sites s cross join (select unnest([0, 1, 2, 3, 4]) as f) z left join r on r.id = s.id and r.fold = z.f"))
+def out_of_fold_neighbors(spark, sf):
+    """Share of functional rows among the ten nearest outside each fold, from one search."""
+    folded = materialize(splits.stratified_folds(sites(spark, sf), "id", "status_group", FOLDS, 42))
+    rates = oof.out_of_fold_neighbor_rate(folded, "fold", FOLDS)
+    lists = map_back(folded.select("id"), rates, "id", {"neighbor_functional_ratio": F.array_repeat(F.lit(0.5), FOLDS)})
+    return by_fold(lists, ["neighbor_functional_ratio"])
+
+
+@plan("rf_cv", with_sites(folds_sql(FOLDS, 42) + ", fc as (select fold, status_group, count(*) as n from fo group by fold, status_group) "
+    "select fold, cast(sum(n) as bigint) as n_rows, round(cast(max(n) as double) / sum(n), 6) as majority_share, true as beats_majority from fc group by fold"))
 def rf_cv(spark, sf):
-    data = prepared(spark, sf, SMALL).drop("split")
-    folded = materialize(splits.stratified_folds(data, "id", "status_group", 5, 42))
-    scores = models.cross_validate(folded, SMALL, models.random_forest(), 5)
-    sizes = folded.groupBy("fold").agg(F.count("*").alias("n_rows"))
-    return sizes.join(scores, "fold").select("fold", "n_rows", F.col("score").between(0, 1).alias("is_score"))
+    """The full feature list; no statistic of wards or neighbours sees the fold that is held out."""
+    rows = ft.add_codes(ft.add_columns(fold_lists(spark, sf)))
+    rows = rows.withColumn("quantity_quality_interact", F.col("quantity_encoded") * F.col("water_quality_encoded"))
+    spread = {}
+    for f in range(FOLDS):
+        own = {c: F.col(c)[f] for c in ft.GEO}
+        own |= {"ward_age_interact": own["ward_functional_ratio"] * F.col("asset_age"), "neighbor_time_interact": own["neighbor_functional_ratio"] * F.col("days_since_recorded")}
+        spread |= {f"{c}_{f}": own[c] for c in BY_FOLD}
+    names = [*PLAIN, *spread]
+    table = models.ExperimentTable(models.feature_frame(rows.withColumns(spread), names, [*KEEP, "fold"]), names)
+    scores = models.cross_validate(table, lambda f: [*PLAIN, *[f"{c}_{f}" for c in BY_FOLD]], models.random_forest(), FOLDS)
+    better = beats(F.col("train_score"), F.col("train_majority")) & beats(F.col("score"), F.col("majority"), F.col("n_rows"))
+    return scores.select("fold", "n_rows", F.round("majority", 6).alias("majority_share"), better.alias("beats_majority"))
 
 
 SETS = {
@@ -229,18 +328,32 @@ SETS = {
 def sets_sql(sets, least=0):
     listed = " union all ".join(f"select '{n}' as config, {len(f)} as n_features" for n, f in sets.items())
     enough = f"(select count(*) from sp where split = 'train') >= {least}"
-    return with_sites(split_sql(0.2, 42) + f"select config, n_features, case when {enough} then 'fitted' else 'too few rows' end as outcome, case when {enough} then true end as is_gap from ({listed}) c")
+    majority = "(select round(cast(max(n) as double) / sum(n), 6) from (select count(*) as n from sp where split = 'train' group by status_group) t)"
+    return with_sites(split_sql(0.2, 42) + f"select config, n_features, case when {enough} then 'fitted' else 'too few rows' end as outcome, case when {enough} then true end as is_gap, "
+        f"case when {enough} then {majority} end as majority_share, case when {enough} then true end as beats_majority from ({listed}) c")
 
 
 def outcomes(scores):
     gap = F.abs(F.col("train_score") - F.col("val_score") - F.col("gap")) < 1e-12
-    return scores.select("config", "n_features", "outcome", (gap & F.col("val_score").between(0, 1) & F.col("train_score").between(0, 1)).alias("is_gap"))
+    fitted_one = F.col("outcome") == "fitted"
+    return scores.select(
+        "config", "n_features", "outcome", (gap & F.col("val_score").between(0, 1) & F.col("train_score").between(0, 1)).alias("is_gap"),
+        F.round("train_majority", 6).alias("majority_share"), F.when(fitted_one, beats(F.col("train_score"), F.col("train_majority"))).alias("beats_majority"))
+
+
+def on_split(spark, sf, names, geo=False):
+    """All rows of an experiment on the 80/20 split, and the conditions that select its two parts."""
+    df = sites(spark, sf)
+    full = ft.full_features(df) if geo else ft.add_codes(ft.add_columns(df))
+    table = models.ExperimentTable(models.feature_frame(full, names, KEEP).join(split_of(df), "id"), names)
+    return table, F.col("split") == "train", F.col("split") == "validation"
 
 
 @plan("ablation_grid", sets_sql(SETS))
 def ablation_grid(spark, sf):
     """Feature families on and off, on one split."""
-    return outcomes(models.evaluate_sets(prepared(spark, sf, SETS["all"], geo=True), SETS, models.random_forest()))
+    table, train, held = on_split(spark, sf, SETS["all"], geo=True)
+    return outcomes(models.evaluate_sets(table, SETS, models.random_forest(), train, held))
 
 
 #: The recorded grid.
@@ -248,53 +361,68 @@ GRID_TREES, GRID_SEEDS = [50, 100, 200, 300], [42, 43, 456, 789]
 
 
 @plan("param_grid", with_sites(split_sql(0.2, 42) + f", g as (select n_trees, unnest({GRID_SEEDS}) as seed from (select unnest({GRID_TREES}) as n_trees) t) "
-    "select n_trees, seed, (select count(*) from sp where split = 'validation') as n_rows, true as is_score from g"))
+    "select n_trees, seed, (select count(*) from sp where split = 'validation') as n_rows, (select round(cast(max(n) as double) / sum(n), 6) from (select count(*) as n from sp where split = 'validation' group by status_group) t) as majority_share, "
+    "true as beats_majority from g"))
 def param_grid(spark, sf):
-    data = prepared(spark, sf, SMALL)
-    train, held = data.where("split = 'train'"), data.where("split = 'validation'")
-    cells = [(trees, seed) for trees in GRID_TREES for seed in GRID_SEEDS]
+    """The recorded grid on the full feature list; every cell reads the same stored table."""
+    names = [*ft.BASE, *ft.GEO, *ft.INTERACTIONS]
+    table, train, held = on_split(spark, sf, names, geo=True)
 
     def cell(at):
-        got = models.score(models.fit_model(train, SMALL, models.random_forest(at[0], seed=at[1])), held).first()
-        return (*at, got.rows, got.score)
+        got = table.scores(table.fit(train, names, models.random_forest(at[0], seed=at[1])), train=train, held=held)
+        return (*at, *got["train"][1:], *got["held"])
 
-    rows = spark.createDataFrame(models.in_parallel(cell, cells), "n_trees int, seed int, n_rows bigint, score double")
-    return rows.select("n_trees", "seed", "n_rows", F.col("score").between(0, 1).alias("is_score"))
+    cells = models.in_parallel(cell, [(trees, seed) for trees in GRID_TREES for seed in GRID_SEEDS])
+    rows = spark.createDataFrame(cells, "n_trees int, seed int, train_score double, train_majority double, n_rows bigint, score double, majority double")
+    better = beats(F.col("train_score"), F.col("train_majority")) & beats(F.col("score"), F.col("majority"), F.col("n_rows"))
+    return rows.select("n_trees", "seed", "n_rows", F.round("majority", 6).alias("majority_share"), better.alias("beats_majority"))
 
 
+#: The recorded forests of these two experiments; MLlib's trees are at most 30 deep.
+SINGLE_SETTINGS = {"trees": 300, "seed": 456}
+CURVE_SETTINGS = {"trees": 100, "depth": 30}
 SINGLE = {"base": SMALL, **{name: [*SMALL, name] for name in ft.RATED}}
 
 
 @plan("single_feature_eval", sets_sql(SINGLE, 1000))
 def single_feature_eval(spark, sf):
     """Each rating alone beside the base list; with fewer than 1,000 training rows nothing is fitted, and the row says so."""
-    return outcomes(models.evaluate_sets(prepared(spark, sf, [*SMALL, *ft.RATED]), SINGLE, models.random_forest(), min_rows=1000))
+    table, train, held = on_split(spark, sf, [*SMALL, *ft.RATED])
+    return outcomes(models.evaluate_sets(table, SINGLE, models.random_forest(**SINGLE_SETTINGS), train, held, min_rows=1000))
 
 
 @plan("learning_curve", with_sites(samples_sql() + f", z as (select size, unnest({SEEDS}) as seed from (select unnest([{', '.join(f'{x}::double' for x in SIZES)}]) as size) t), "
     "o as (select seed, (select count(*) from sites) - count(*) as n_held from ls group by seed) "
-    "select z.size, z.seed, (select count(*) from ls where ls.seed = z.seed and ls.size <= z.size) as n_train, o.n_held, true as is_score from z join o on o.seed = z.seed"))
+    "select z.size, z.seed, (select count(*) from ls where ls.seed = z.seed and ls.size <= z.size) as n_train, o.n_held, true as beats_majority from z join o on o.seed = z.seed"))
 def learning_curve(spark, sf):
-    """Plain and enriched forests on growing sub-samples, scored on the rows outside all of a seed's samples."""
-    data = prepared(spark, sf, [*SMALL, *ft.RATED]).drop("split")
-    sampled = splits.learning_curve_samples(data, "id", "status_group", SIZES, SEEDS)
+    """Plain and enriched forests on growing sub-samples, scored on the rows outside all of a seed's samples.
+
+    A cell's sample is a condition on one stored table: no sample is copied. A sample without one of the classes is not fitted.
+    """
+    names = [*SMALL, *ft.RATED]
+    full = ft.add_codes(ft.add_columns(sites(spark, sf)))
+    sampled = splits.learning_curve_samples(full.select(*KEEP), "id", "status_group", SIZES, SEEDS)
     by_seed = sampled.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("seed", "size"))).alias("from_size"))
-    data = materialize(data.join(by_seed, "id", "left"))
+    table = models.ExperimentTable(models.feature_frame(full, names, KEEP).join(by_seed, "id", "left"), names)
+    counts = sampled.groupBy("seed", "size", "status_group").count().collect()  # at most seeds x sizes x classes rows
 
     def cell(at):
         size, seed = at
         first = F.col("from_size")[seed]
-        train, held = materialize(data.where(first <= size)), data.where(first.isNull())
-        n = train.count()
-        if train.select("status_group").distinct().count() < len(voting.CLASSES):  # a sample without one of the classes is not fitted
-            return (size, seed, n, held.count(), None, None)
-        got = [models.score(models.fit_model(train, names, models.random_forest(20, 5, seed)), held).first() for names in (SMALL, [*SMALL, *ft.RATED])]
-        return (size, seed, n, got[0].rows, got[0].score, got[1].score)
+        train, held = F.coalesce(first <= size, F.lit(False)), first.isNull()
+        inside = [r for r in counts if r["seed"] == seed and r["size"] <= size]
+        if len({r["status_group"] for r in inside}) < len(voting.CLASSES):
+            return (size, seed, sum(r["count"] for r in inside), None, None, None, None)
+        got = [table.scores(table.fit(train, chosen, models.random_forest(**CURVE_SETTINGS, seed=seed)), train=train, held=held) for chosen in (SMALL, names)]
+        return (size, seed, got[0]["train"][0], got[0]["held"][0], got[0]["train"][2], got[0]["train"][1], got[1]["train"][1])
 
     cells = models.in_parallel(cell, [(size, seed) for size in SIZES for seed in SEEDS])
-    rows = spark.createDataFrame(cells, "size double, seed int, n_train bigint, n_held bigint, base_score double, rich_score double")
-    scored = F.coalesce(F.col("base_score").between(0, 1) & F.col("rich_score").between(0, 1), F.lit(True))
-    return rows.select("size", "seed", "n_train", "n_held", scored.alias("is_score"))
+    rows = spark.createDataFrame(cells, "size double, seed int, n_train bigint, n_held bigint, majority double, base_score double, rich_score double")
+    outside = table.rows.select(F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("of"), "from_size").where(F.col("from_size")[F.col("of")].isNull()).groupBy("of").agg(F.count("*").alias("outside"))
+    better = F.coalesce((F.col("base_score") > F.col("majority")) & (F.col("rich_score") > F.col("majority")), F.lit(True))
+    # Every fitted cell's own count of held-out rows must agree with the table's.
+    agree = F.coalesce(F.col("n_held") == F.col("outside"), F.lit(True))
+    return rows.join(outside, F.col("seed") == F.col("of")).select("size", "seed", "n_train", F.col("outside").alias("n_held"), (better & agree).alias("beats_majority"))
 
 
 @plan("score_new_rows", with_sites("select count(*) as n_rows, count(distinct id) as n_ids, count(*) as n_in_classes from sites where construction_year = 0"))

@@ -165,3 +165,27 @@ def pairwise_in_group(spark, sf):
 @plan("cluster_density", with_sites(PAIRS_SQL + "select pp.id, n as cluster_size, round(case when n > 1 then 1 / (d + 0.1::double) else 0 end, 6) as cluster_density from pp join md on pp.ward = md.ward"))
 def cluster_density(spark, sf):
     return r6_all(sp.cluster_density(sp.located(sites(spark, sf)), "ward").select("id", "cluster_size", "cluster_density"))
+
+
+@plan("cluster_density_geographic", with_sites(f", n as (select count(*) as n from ({LOCATED_SQL}) t) select n as n_rows, n as sum_of_sizes, n as n_equal from n"))
+def cluster_density_geographic(spark, sf):
+    """Size and density per k-means cluster of the coordinates; SQL on the stored labels ranks the shadows of every row and agrees on all rows."""
+    from siteworks.operators.models import spatial_kmeans
+
+    rows = sp.materialize(spatial_kmeans(sites(spark, sf)).select("id", "latitude", "longitude", "geographic_cluster"))
+    density = sp.cluster_density(rows, "geographic_cluster")
+    same = spark.sql(
+        f"""
+        with pc as (select geographic_cluster as g, avg(latitude) as cy, avg(longitude) as cx, count(*) as n from {{rows}} group by 1),
+        sh as (select id, g, n, i, (longitude - cx) * cos(pi() * i / {DIRECTIONS}) + (latitude - cy) * sin(pi() * i / {DIRECTIONS}) as shadow
+               from {{rows}} join pc on geographic_cluster = g lateral view explode(sequence(0, {DIRECTIONS - 1})) d as i),
+        rk as (select *, row_number() over (partition by g, i order by shadow, id) as rn from sh),
+        md as (select g, n, coalesce(pi() / 2 * sum((2 * rn - n - 1) * shadow) / {DIRECTIONS} / nullif(n * (n - 1) / 2.0D, 0), 0) as d from rk group by g, n)
+        select g, n, if(n > 1, 1 / (d + 0.1D), 0) as want from md
+        """,
+        rows=rows,
+    )
+    near = (F.abs(F.col("cluster_density") - F.col("want")) < 1e-6) & (F.col("cluster_size") == F.col("n"))
+    sizes = density.groupBy("geographic_cluster").agg(F.max("cluster_size").alias("size")).agg(F.sum("size")).scalar()
+    both = density.join(same, density["geographic_cluster"] == same["g"])
+    return both.agg(F.count("*").alias("n_rows"), F.any_value(sizes).alias("sum_of_sizes"), F.count_if(near).alias("n_equal"))

@@ -104,3 +104,40 @@ def test_few_queries_meet_few_leaves_however_dense_the_reference(spark, monkeypa
         reference = assets(lat, lon)
         assert found(spark, asked, 10, reference) == brute(asked, 10, reference)
     assert met[1] <= max(40, 1.5 * met[0])
+
+
+def test_pair_sums_of_crowded_and_tied_values(spark):
+    """Clumps far apart, ties and weights: buckets of equal width would hold nearly everything."""
+    import random
+
+    rng = random.Random(9)
+    groups = {
+        "spread": [(rng.uniform(-5, 5), 1) for _ in range(900)],
+        "clump": [(1e6, 1), (-1e6, 2)] + [(rng.gauss(0, 1e-3), rng.randint(1, 3)) for _ in range(2500)],
+        "tied": [(float(rng.randint(0, 3)), rng.randint(1, 5)) for _ in range(300)],
+        "one": [(2.5, 7)],
+        "lone": [(1.0, 1)],
+    }
+    rows = [(k, v, w) for k, values in groups.items() for v, w in values]
+    got = {r.g: r.pair_sum for r in sp.pair_sums(spark.createDataFrame(rows, "g string, v0 double, times int").repartition(3), ["g"], "v0", "times").collect()}
+    for k, values in groups.items():
+        want, seen, total = 0.0, 0, 0.0
+        for v, w in sorted(values):
+            want += w * (v * seen - total)
+            seen, total = seen + w, total + w * v
+        assert math.isclose(got[k], want, rel_tol=1e-9, abs_tol=1e-9), k
+
+
+def test_density_per_group_equals_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.uniform(-1, 1) if i % 5 else 0.5, rng.uniform(30, 31) if i % 5 else 30.5, rng.choice("ab")) for i in range(200)]
+    rows += [(900, 1.0, 30.0, "lone"), (901, 1.0, 30.0, None), (902, 2.0, 30.0, "twin"), (903, 2.0, 30.0, "twin")]
+    got = {r.id: (r.cluster_size, r.cluster_density) for r in sp.cluster_density(spark.createDataFrame(rows, "id long, latitude double, longitude double, g string"), "g").collect()}
+    assert 901 not in got and got[900] == (1, 0.0) and got[902] == (2, 10.0)
+    for g in "ab":
+        own = [r for r in rows if r[3] == g]
+        pairs = [math.dist(a[1:3], b[1:3]) for n, a in enumerate(own) for b in own[:n]]
+        want = 1 / (sum(pairs) / len(pairs) + 0.1)
+        assert all(got[r[0]][0] == len(own) and math.isclose(got[r[0]][1], want, rel_tol=1e-3) for r in own)
