@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from siteworks.functions import columns as fx
-from siteworks.operators import groups, joins
+from siteworks.operators import groups, id_sets, joins
 from siteworks.plans.derived import PAIRS_SQL
 from siteworks.plans.registry import plan, r6, r6_all
 from siteworks.sources.sites import sites, with_sites
@@ -158,3 +158,35 @@ def id_intersect(spark, sf):
 def unseen_values(spark, sf):
     df = sites(spark, sf)
     return df.where("construction_year = 0").select("ward").subtract(df.where("construction_year > 2013").select("ward"))
+
+
+@plan("distinct_keys_bitmap", "select distinct o_custkey from orders")
+def distinct_keys_bitmap(spark, sf):
+    """Distinct keys as bitmaps: a small row for 32,768 of them is shuffled."""
+    return id_sets.ids_of(id_sets.bitmaps(table(spark, sf, "orders"), "o_custkey"), "o_custkey")
+
+
+@plan("id_difference_bitmap", "select doc_id from documents except select doc_id from labels")
+def id_difference_bitmap(spark, sf):
+    done = id_sets.bitmaps(table(spark, sf, "labels"), "doc_id")
+    return id_sets.difference(id_sets.bitmaps(table(spark, sf, "documents"), "doc_id"), done, "doc_id")
+
+
+@plan("id_union_bitmap", with_sites("select id from sites where funder is null union select id from sites where scheme_name is null or installer is null"))
+def id_union_bitmap(spark, sf):
+    df = sites(spark, sf)
+    first, second = (id_sets.bitmaps(df.where(w), "id") for w in ("funder is null", "scheme_name is null or installer is null"))
+    return id_sets.ids_of(id_sets.merged(first, second), "id")
+
+
+@plan("id_overlap_bitmap", """select (select count(distinct doc_id) from documents) as n_left, (select count(distinct doc_id) from labels) as n_right,
+  (select count(*) from (select doc_id from documents intersect select doc_id from labels) t) as n_both""")
+def id_overlap_bitmap(spark, sf):
+    return id_sets.overlap(*(id_sets.bitmaps(table(spark, sf, t), "doc_id") for t in ("documents", "labels")))
+
+
+@plan("resume_ids_bitmap", "select c_custkey from customer except select o_custkey from orders")
+def resume_ids_bitmap(spark, sf):
+    """Customers without an order yet, as a work list."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return id_sets.missing_ids(table(spark, sf, "customer"), orders, "c_custkey")
