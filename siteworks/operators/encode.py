@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.operators.joins import hinted, measured
+from siteworks.operators.joins import BROADCAST_BYTES, hinted, measured
 from siteworks.operators.ordering import ordered_positions
 from siteworks.session import materialize
 
@@ -44,14 +44,17 @@ def apply_dictionary(
 ) -> DataFrame:
     """Add code columns ``{source: target}``; values not in the dictionary get ``unseen``."""
     stored = materialize(dictionary.where(F.col("column_name").isin(list(columns))))
-    sizes = {r.column_name: r["count"] for r in stored.groupBy("column_name").count().collect()}
+    # One row per column: values and the bytes of their texts, with eight for the code and eight for the length.
+    width = F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + 16).alias("bytes")
+    sizes = {r.column_name: (r["n"], r["bytes"]) for r in stored.groupBy("column_name").agg(F.count("*").alias("n"), width).collect()}
     out = df
     for source, target in columns.items():
         codes = stored.where(F.col("column_name") == source).select(
             F.col("value").alias(source), F.col("code").alias(target)
         )
-        # Only a counted, small dictionary is broadcast; a larger one is an ordinary side.
-        out = out.join(hinted(codes, sizes.get(source, 0)), source, "left")
+        # Only a dictionary that was found small, in rows and bytes, is broadcast; a larger one is an ordinary side.
+        rows, size = sizes.get(source, (0, 0))
+        out = out.join(hinted(codes, rows) if size <= BROADCAST_BYTES else codes, source, "left")
         if unseen is not None:
             out = out.withColumn(target, F.coalesce(target, F.lit(unseen)))
     return out

@@ -2,6 +2,7 @@
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteworks.functions import columns as fx
@@ -9,7 +10,7 @@ from siteworks.operators import features as ft
 from siteworks.operators import groups, models, splits, voting
 from siteworks.operators import out_of_fold as oof
 from siteworks.operators.joins import map_back, measured
-from siteworks.plans.derived import HAVERSINE_SQL
+from siteworks.plans.derived import BINS_SQL, HAVERSINE_SQL, PAIRS_SQL, YEARS_SQL
 from siteworks.plans.encoding import SEEDS, SIZES, folds_sql, samples_sql, split_sql
 from siteworks.plans.registry import plan, r6_all
 from siteworks.session import materialize, scratch_path
@@ -226,6 +227,27 @@ def forest_importances(spark, sf):
     return models.importances(models.fit_model(data.where("split = 'train'"), ft.BASE, models.random_forest()), ft.BASE)
 
 
+#: Three columns that a forest can use and one that is the same in every row: its share is nothing.
+KNOWN_SHARES = ["quantity_encoded", "water_quality_encoded", "ward_encoded", "constant"]
+
+
+@plan("fitted_importance_export", with_sites("select unnest([1, 2, 3, 4]) as place, true as is_sorted, true as is_share, 1.0::double as total, true as constant_is_last from (select count(*) as n from sites) t where n > 0"))
+def fitted_importance_export(spark, sf):
+    """Shares of a fitted forest, written as CSV in descending order and read back by position."""
+    names = KNOWN_SHARES[:3]
+    data = prepared(spark, sf, names).withColumn("constant", F.lit(1.0))
+    model = models.fit_model(data.where("split = 'train'"), KNOWN_SHARES, models.random_forest())
+    path = scratch_path(spark, "fitted-importance")
+    write_csv(models.importances(model, KNOWN_SHARES).orderBy(F.desc("importance"), "feature").coalesce(1), path)
+    rows = read_csv_typed(spark, path, "feature string, importance double").withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))
+    rows = materialize(rows)
+    total = rows.agg(F.round(F.sum("importance"), 6)).scalar()
+    # As many rows as a model has features.
+    before = F.coalesce(F.lag("importance").over(Window.orderBy("place")), F.lit(1.0))
+    last = (F.col("place") < 4) | ((F.col("feature") == "constant") & (F.col("importance") == 0))
+    return rows.select("place", (F.col("importance") <= before).alias("is_sorted"), F.col("importance").between(0, 1).alias("is_share"), total.alias("total"), last.alias("constant_is_last"))
+
+
 @plan("rf_importances", with_sites(f"select feature, true as is_share, 1.0::double as total, (select count(*) from sites) > 0 as has_rows from {FEATURES_SQL} f"))
 def rf_importances(spark, sf):
     """Every feature with its share of the fitted forest; the shares add up to one."""
@@ -446,13 +468,41 @@ def stage_timing(spark, sf):
     return models.timed(stages)
 
 
-STEPS = [("original", 25), ("interactions", 28), ("temporal", 32), ("text", 41), ("full", 43)]
+#: Columns that each stage adds to the 25 given ones, in order, with the SQL of each.
+GROWTH = {
+    "interactions": {
+        "ward_centroid_distance": "sqrt((s.latitude - c.lat) * (s.latitude - c.lat) + (s.longitude - c.lon) * (s.longitude - c.lon))",
+        "coordination": "cast(p.n as double) / t.top",
+        "elevation_people": "gps_height * population",
+    },
+    "temporal": {
+        "season": "quarter(date_recorded)",
+        "dry_season": "cast(month(date_recorded) between 6 and 9 as int)",
+        "years_in_service": YEARS_SQL,
+        "age_category": f"(select length({BINS_SQL}) from (select {YEARS_SQL} as y))",
+    },
+    "text": {f"{c}_{what}": sql.format(c=f"coalesce({c}, 'nan')") for c in ("scheme_name", "installer", "funder") for what, sql in {
+        "words": "len(string_split(trim({c}), ' '))", "chars": "length({c})", "digits": "cast(regexp_matches({c}, '[0-9]') as int)"}.items()},
+    "full": {"very_old": "cast(2013 - nullif(construction_year, 0) > 40 as int)", "future": "cast(2013 - nullif(construction_year, 0) < 0 as int)"},
+}
+
+
+def growth_sql():
+    """Every added column over all rows: known values and their sum (of lengths, for text)."""
+    parts, width = ["select 'original' as stage, 25 as n_columns, '' as feature, count(*) as n_known, 0.0::double as total from sites"], 25
+    for stage, columns in GROWTH.items():
+        width += len(columns)
+        parts += [f"select '{stage}', {width}, '{c}', count({c}), round(coalesce(sum(cast({c} as double)), 0), 4) from wide" for c in columns]
+    joined = ", ".join(f"{GROWTH['interactions'][c]} as {c}" for c in ("ward_centroid_distance", "coordination"))
+    own = ", ".join(f"{sql} as {c}" for columns in GROWTH.values() for c, sql in columns.items() if c not in joined)
+    return with_sites(PAIRS_SQL + ", c as (select ward, avg(latitude) as lat, avg(longitude) as lon from sites group by ward), "
+        f"far as (select s.*, {joined} from sites s left join c on s.ward = c.ward left join p on s.installer = p.installer and s.funder = p.funder, t), "
+        f"wide as (select ward_centroid_distance, coordination, {own} from far) " + " union all ".join(parts))
 
 
-@plan("feature_growth", with_sites("select t.*, cast((select count(*) from sites) as bigint) as n_rows from (" + " union all ".join(
-    f"select '{n}' as stage, {c} as n_columns, {c - STEPS[0][1]} as n_added" for n, c in STEPS) + ") t"))
+@plan("feature_growth", growth_sql())
 def feature_growth(spark, sf):
-    """Width of the table after each feature family, and the rows it keeps."""
+    """Width of the table after each feature family; each column that a stage adds with its known values and their sum over all rows."""
     from siteworks.functions import text
 
     df = sites(spark, sf)
@@ -479,10 +529,20 @@ def feature_growth(spark, sf):
         age = fx.age_at_reference(fx.zero_to_null(F.col("construction_year")))
         return t.withColumns({"very_old": (age > 40).cast("int"), "future": (age < 0).cast("int")})
 
-    rows = []
-    current = df
-    for stage, add in [("original", None), ("interactions", interactions), ("temporal", temporal), ("text", texts), ("full", anomalies)]:
-        current = current if add is None else current.transform(add)
-        rows.append((stage, len(current.columns), len(current.columns) - len(df.columns)))
-    n = current.agg(F.count("*").alias("n")).scalar()
-    return spark.createDataFrame(rows, "stage string, n_columns int, n_added int").withColumn("n_rows", n)
+    current, added = df, [("original", len(df.columns), "", F.lit(1))]
+    for stage, add in [("interactions", interactions), ("temporal", temporal), ("text", texts), ("full", anomalies)]:
+        before = set(current.columns)
+        current = current.transform(add)
+        kinds = dict(current.dtypes)
+        for c in current.columns:
+            if c not in before:
+                added.append((stage, len(current.columns), c, F.length(c) if kinds[c] == "string" else F.col(c)))
+    # One pass over the widest table; each of its columns is evaluated.
+    entries = F.array(*[
+        F.struct(
+            F.lit(stage).alias("stage"), F.lit(width).alias("n_columns"), F.lit(name).alias("feature"), F.count(c).alias("n_known"),
+            (F.coalesce(F.round(F.sum(c.cast("double")), 4), F.lit(0.0)) if name else F.lit(0.0)).alias("total"),
+        )
+        for stage, width, name, c in added
+    ])
+    return current.agg(entries.alias("e")).select(F.inline("e"))
