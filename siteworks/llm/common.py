@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside remove their shuffle files when they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and outlives a lost executor."""
+    """Write to the shared folder and read back: cuts the lineage and outlives a lost executor.
+
+    The table is what later steps read, so the shuffles that made it leave nothing behind.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +65,14 @@ def discard(stored: DataFrame) -> None:
         drop_folder(stored.sparkSession, folder)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not use."""
+    used = {c.lower() for c in df.columns}
+    while base in used:
+        base += "_"
+    return base
+
+
 def row_key() -> Column:
     """A key for a row by its content: equal rows share it, and equal results then hold for both."""
     return F.xxhash64("doc_id", "text")
@@ -180,4 +205,5 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         discard(roots)
         roots = after.select("node", "root")
         if not seen["changed"]:
+            discard(both)
             return roots
