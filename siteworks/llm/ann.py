@@ -4,9 +4,13 @@ Each tree halves the vectors along a random direction, level by level; the direc
 are drawn from a seed, and where each node splits is the median of a bounded sample.
 All rows go down all trees by those splits. A query searches the whole forest through one
 priority queue: the node, of any tree, whose worst split so far lies nearest comes
-next, until the given number of leaves is reached. In each leaf that a query reaches, all
+next, until a number of leaves is reached. In each leaf that a query reaches, all
 rows are compared exactly; the best few of each task are merged.
 
+*Reach.* How many leaves a query reads is measured, at every size of table: queries taken from the sample search the forest, and the
+reach is the one at which they find ``recall`` of their nearest sampled rows. Neighbours in the whole table
+are nearer than in the sample, so this asks for no less than they need.
+
 Leaves have ``leaf_rows`` rows or fewer: a tree gets deeper as the table grows; a small table is one leaf. Below the sample's
 reach a level splits at the median of the whole sample along its direction. Rows with
 the same vector can't be told apart by any split, so only as many of them as an answer
@@ -18,6 +22,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,10 @@ from siteworks.llm.embedding_dedup import _unit
 
 NEIGHBOURS = 5
 TREES = 4
-#: A tree has 2 ** ``SHALLOW`` leaves once they hold ``LEAST_ROWS`` rows, and more once they would hold over ``LEAF_ROWS``.
-SHALLOW = 6
-LEAST_ROWS = 128
-LEAF_ROWS = 4096
-#: Leaves that a query reads, as a share of the leaves of one tree: embeddings without structure need most of a tree.
-SEARCH_SHARE = 1.2
+LEAF_ROWS = 1024
+#: Share of the sample's nearest rows that the reach is to find, and queries that it is measured with.
+RECALL = 0.97
+MEASURED = 256
 #: Vectors that the splits are fitted on, at most about.
 SAMPLE_ROWS = 20_000
 #: A node with fewer sampled vectors does not have a median of its own.
@@ -85,21 +88,36 @@ class Forest:
                 out[:, t] = 2 * out[:, t] + (spread[:, level] > (split[out[:, t]] if len(split) > 1 else split[0]))
         return out
 
-    def search(self, unit: np.ndarray, reach: int) -> list[tuple[int, int]]:
-        """The ``reach`` leaves (tree, leaf) that come first in the shared queue."""
+    def search(self, unit: np.ndarray) -> Iterator[tuple[int, int]]:
+        """All leaves (tree, leaf) in the order of the shared queue."""
         spread = self.directions @ unit
         queue = [(0.0, t, 0, 0) for t in range(self.trees)]
-        found: list[tuple[int, int]] = []
-        while queue and len(found) < reach:
+        while queue:
             worst, t, level, node = heapq.heappop(queue)
             if level == self.depth:
-                found.append((t, node))
+                yield t, node
                 continue
             beyond = spread[t, level] - self.split(t, level, node)
             side = beyond > 0
             heapq.heappush(queue, (worst, t, level + 1, 2 * node + side))
             heapq.heappush(queue, (max(worst, abs(beyond)), t, level + 1, 2 * node + (not side)))
-        return found
+
+    def measured_reach(self, sample: np.ndarray, neighbours: int, recall: float) -> int:
+        """Leaves to read so that rows of the sample find ``recall`` of their ``neighbours`` nearest others in it."""
+        if not self.depth or len(sample) < 2:
+            return 1
+        leaves, ranks = self.leaves(sample), []
+        for q in range(0, len(sample), -(-len(sample) // MEASURED)):
+            near = sample @ sample[q]
+            near[q] = -np.inf
+            wanted = set(np.argpartition(-near, min(neighbours, len(near) - 1))[:neighbours].tolist()) - {q}
+            for rank, (t, leaf) in enumerate(self.search(sample[q]), 1):
+                held = {k for k in wanted if leaves[k, t] == leaf}
+                ranks += [rank] * len(held)
+                wanted -= held
+                if not wanted:
+                    break
+        return int(np.quantile(ranks, recall, method="higher"))
 
 
 def _route(forest: Forest, reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -121,7 +139,7 @@ def _route(forest: Forest, reach: int) -> Callable[[Iterator[pa.RecordBatch]], I
                         place.append((t, leaves[n, t]))
                         asks.append(False)
                 if queries[k]:
-                    for where in forest.search(unit[n], reach):
+                    for where in islice(forest.search(unit[n]), reach):
                         index.append(k)
                         place.append(where)
                         asks.append(True)
@@ -205,14 +223,14 @@ def _nearest(neighbours: int):
 
 
 def search_vectors(
-    vectors: DataFrame, asked: Column, neighbours: int = NEIGHBOURS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, share: float = SEARCH_SHARE
+    vectors: DataFrame, asked: Column, neighbours: int = NEIGHBOURS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, recall: float = RECALL
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows found for those of ``vectors`` (vec_id, embedding) that ``asked`` selects.
 
     Nearness is the cosine of the given vectors in double precision; ties go to the smaller id, and a row is
     no candidate of its own. Null ids, and vectors that are null, empty, zero or hold null or
     non-finite components, take no part, nor do vectors of another width than most. Rows that share an id are one
-    if their vectors are equal; otherwise the nearer of them counts. No rows give no rows.
+    if their vectors are equal; otherwise the nearer of them counts. Other columns are not read. No rows give no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(asked, F.lit(False)).alias("asks"))
     finite = F.forall("vector", lambda c: c.isNotNull() & (F.abs(c) < float("inf"))) & F.exists("vector", lambda c: c != 0)
@@ -223,15 +241,15 @@ def search_vectors(
     kept = first.select("vec_id", "vector", F.lit(False).alias("asks"), F.lit(True).alias("stays"))
     both = rows.where("asks").select("vec_id", "vector", "asks", F.lit(False).alias("stays")).union(kept)
     stored, seen = store_counted(both, "vectors", rows=F.count_if(F.col("stays")), width=F.mode(F.size("vector")))
-    per_leaf = lambda size: math.log2(max(1, seen["rows"]) / size)
-    depth = max(0, min(SHALLOW, math.floor(per_leaf(LEAST_ROWS))), math.ceil(per_leaf(leaf_rows)))
+    depth = max(0, math.ceil(math.log2(max(1, seen["rows"]) / leaf_rows)))
 
     part = min(1.0, SAMPLE_ROWS / max(1, seen["rows"]))
     chosen = stored.where("stays").where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 20)) < math.ceil(part * (1 << 20)))
     _, sample = _unit([r["vector"] for r in chosen.select("vector").collect()])
     width = seen["width"] or 1
-    forest = Forest(np.array([r for r in sample if len(r) == width]).reshape(-1, width), depth, trees)
-    reach = math.ceil(share * (1 << depth))
+    sample = np.array([r for r in sample if len(r) == width]).reshape(-1, width)
+    forest = Forest(sample, depth, trees)
+    reach = forest.measured_reach(sample, neighbours, recall)
     routed = stored.mapInArrow(_route(forest, reach), "tree int, leaf long, asks boolean, vec_id long, vector array<double>")
     grouped = routed.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "asks")
     found = grouped.mapInArrow(_nearest(neighbours), "query_id long, vec_id long, score double")
