@@ -206,7 +206,7 @@ def write_warc(spark: SparkSession, arc: str, path: str, least: int = LEAST_BYTE
     rank = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "record_id")
     large = heads.where(F.col("size") >= least)
     firsts = large.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first.record_id")
-    firsts = firsts.withColumnRenamed("record_id", "first")
+    firsts = store(firsts.withColumnRenamed("record_id", "first"), "arc-firsts")
     again = large.join(firsts, "digest").where("record_id <> first").select("record_id", F.col("first").alias("refers"))
     records = read_arc(spark, arc).join(again, "record_id", "left")
 
@@ -277,10 +277,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     named = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full")
     )
-    joined = records.join(named, "refers", "left")
-    return joined.select(
-        "page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "record_id", "url", "date"
-    )
+    # Only revisits name a record: responses stay where they are.
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date"]
+    again = records.where("refers is not null").drop("payload_bytes").join(named, "refers", "left").withColumnRenamed("full", "payload_bytes")
+    return again.select(*names).union(records.where("refers is null").withColumn("refers_to", F.lit(None).cast("bigint")).select(*names))
 
 
 def archive_pages(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
