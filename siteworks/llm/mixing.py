@@ -2,7 +2,7 @@
 
 Targets fill up like water: each source takes its weight's share, but never more than
 ``cap`` times its size; what is over goes to the others by weight. A source's documents
-stand in an order given by a digest of their ids and are read over and over until the
+stand in an order given by a digest of their ids and texts and are read over and over until the
 target is reached: all of them in every full pass, those at the front in the last.
 
 *Curriculum.* A source's weight changes over training time ``t`` in 0..1 as a straight
@@ -33,6 +33,11 @@ BUCKET_ROWS = 1024
 DIGITS = 8
 
 
+def _digest() -> Column:
+    """Where a row stands among those of its source: by its id and text, so that rows without an id, or with a shared one, are spread too."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def _place(c: str) -> Column:
     return F.conv(F.substring(c, 1, DIGITS), 16, 10).cast("bigint")
 
@@ -69,14 +74,20 @@ def due_at(share: Column, slope: Column) -> Column:
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken, position), sorted by position, for every row of ``docs`` (doc_id, text, source).
 
+    Other columns are not read, whatever their names; texts of any length are counted whole.
+
     ``size`` counts words; ``taken`` is how many of them the mix takes, repeats counted; ``position`` is the
     training time of a document's first word, null if nothing is taken. Null and empty texts have
     size 0 and are never taken; a null source is a source of its own, the last. Rows that
-    share a doc_id are separate documents, in any order among themselves when their sizes
-    are equal. No rows give no rows.
+    share a doc_id are separate documents; equal rows stand in any order among themselves. No rows give no rows.
     """
+    return _planned(docs, weights, cap).drop("digest").orderBy("position", "doc_id")
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], cap: int) -> DataFrame:
+    """The same in any order, with ``digest``."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    made = docs.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("digest"))
+    made = docs.select("doc_id", "source", size.alias("size"), _digest().alias("digest"))
     rows, seen = store_counted(made, "sizes", rows=F.count(F.lit(1)))
     buckets = seen["rows"] // BUCKET_ROWS + 1
     rows = rows.withColumn("bucket", F.floor(_place("digest") * buckets / 16**DIGITS).cast("bigint"))
@@ -97,29 +108,35 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), last - ahead))
     due = due_at(F.least(ahead / F.col("target"), F.lit(1.0)), F.col("slope"))
     out = placed.select(
-        "doc_id", "size", F.col("r.source").alias("source"), "source_size", "target", taken.cast("bigint").alias("taken"), due.alias("due")
+        "doc_id", "size", F.col("r.source").alias("source"), "source_size", "target", taken.cast("bigint").alias("taken"), due.alias("due"), "digest"
     )
     position = F.when(F.col("taken") > 0, F.col("due"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "taken", position.alias("position")).orderBy("position", "doc_id")
+    return out.select("doc_id", "size", "source", "source_size", "target", "taken", position.alias("position"), "digest")
 
 
 def take_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed corpus: a row for each pass over a document, with its columns; the last pass may hold its first words only.
 
-    Documents of which nothing is taken go. Rows that share a doc_id take what the first of them takes.
+    Documents of which nothing is taken go; a text that is cut ends with its last word taken. ``n_chars``, where there is one, is counted anew.
+    Rows that share id, text and source are numbered, and each takes what the mix gives the row of that number. Extra columns are returned as they
+    are, whatever their names. Null and empty texts are never taken. No rows give no rows.
     """
-    plan = mix_sources(docs, weights, cap).select(F.col("doc_id").alias("mix_id"), "size", "taken")
-    plan = plan.groupBy("mix_id", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
+    same = ["digest", "source"]
+    number = lambda by: F.row_number().over(Window.partitionBy(*same).orderBy(by))
+    plan = _planned(docs, weights, cap).select(*same, "size", "taken")
+    plan = plan.withColumn("nth", number(F.desc("taken"))).where("taken > 0")
+    plan = plan.select(F.col("digest").alias("of"), F.col("source").alias("in"), F.col("nth").alias("place"), "size", "taken")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", "source", _digest().alias("digest"))
+    rows = rows.withColumn("nth", number(F.col("digest")))
     passes = F.expr("transform(sequence(1, int(ceil(taken / size))), k -> least(size, taken - (k - 1) * size))")
-    sized = docs.withColumn("mix_size", F.regexp_count("text", F.lit(WORD)).cast("bigint"))
-    joined = sized.join(plan, sized["doc_id"].eqNullSafe(plan["mix_id"]) & (sized["mix_size"] == plan["size"]))
-    each = joined.withColumn("mix_words", F.explode(passes))
+    joined = rows.join(plan, (F.col("digest") == F.col("of")) & F.col("source").eqNullSafe(F.col("in")) & (F.col("nth") == F.col("place")))
+    each = joined.select("doc", "text", "size", F.explode(passes).alias("words"))
     # What follows the words taken is the last part of a split into one part more (two if the text starts with space).
-    rest = F.expr(rf"element_at(split(text, r'{SPACE}', int(mix_words) + if(text rlike r'^{SPACE}', 2, 1)), -1)")
-    cut = F.substring("text", F.lit(1), F.length("text") - F.length(rest))
-    text = F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(F.col("text"))
-    columns = [text.alias(c) if c == "text" else F.length(text).cast("bigint").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return each.select(*columns)
+    rest = F.expr(rf"element_at(split(text, r'{SPACE}', int(words) + if(text rlike r'^{SPACE}', 2, 1)), -1)")
+    cut = F.regexp_replace(F.substring("text", F.lit(1), F.length("text") - F.length(rest)), rf"{SPACE}$", "")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    return each.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sql(weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> str:
@@ -129,7 +146,7 @@ def mix_sql(weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> str:
     return f"""
     with d as (
       select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
-             md5(coalesce(doc_id::varchar, '')) as digest from documents),
+             md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as digest from documents),
     g as (select source, sum(size)::bigint as source_size from d group by source),
     n as (select *, row_number() over (order by source nulls last) - 1 as turn from g),
     w as (select source, source_size, {cycle}::double as weight, {slopes}::double as slope from n),

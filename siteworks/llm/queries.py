@@ -27,7 +27,9 @@ def query(name: str, sql: str | None = None):
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = suffix_dedup.kept_text()
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, text.alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
 @query("op2_arc_to_warc", warc.ARCHIVE_SQL)

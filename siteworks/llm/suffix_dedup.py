@@ -226,10 +226,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     place of the corpus goes, in all places, judged on the input. A null text is empty;
     texts shorter than ``length`` are kept whole; a row that stands twice repeats
     itself and loses all of a text of ``length`` bytes or more. Columns of ``docs`` with
-    these names are replaced. No rows give no rows.
+    these names are replaced, all others kept whatever their names. No rows give no rows.
     """
     made = ["kept", "spans", "n_bytes", "n_removed", "n_spans"]
-    keyed = docs.drop(*made).withColumn("row", row_key())
+    own = [c for c in docs.columns if c not in made]
+    keyed = docs.select(F.struct(*own).alias("doc"), "text", row_key().alias("row"))
     spans = repeated_spans(keyed.select("row", "text"), length, window, period)
     joined = keyed.join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
@@ -242,10 +243,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         lambda acc: F.concat(acc["b"], part(acc["at"], size)),
     )
     return joined.select(
-        *[c for c in keyed.columns if c != "row"],
+        *[F.col("doc")[c].alias(c) for c in own],
         F.when(F.size("spans") == 0, raw).otherwise(rest).alias("kept"),
         "spans",
         size.alias("n_bytes"),
         F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
     )
+
+
+def kept_text() -> Column:
+    """What ``remove_repeats`` left, as text. A cut may fall inside a character; what is left of it is no text and goes too."""
+    valid = F.make_valid_utf8(F.col("kept").cast("string"))
+    kept = F.when(F.contains("text", F.lit("\uFFFD")), valid).otherwise(F.replace(valid, F.lit("\uFFFD"), F.lit("")))
+    return F.when(F.size("spans") > 0, kept).otherwise(F.col("text"))
+
+
+def drop_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars, ...) with texts cut by ``remove_repeats`` and ``n_chars`` counted anew; all other columns as they are.
+
+    Texts that lose nothing stay as they are, null ones null. Repeated rows lose texts of ``length`` bytes or more, in all copies. No rows give no rows.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text")
+    done = remove_repeats(packed, length)
+    new = {"text": kept_text(), "n_chars": F.length(kept_text()).cast("bigint")}
+    return done.select(*[new.get(c, F.col("whole")[c]).alias(c) for c in docs.columns])

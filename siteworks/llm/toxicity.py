@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import slices, store
+from siteworks.llm.common import free_name, slices, store
 
 #: Labelled documents that are learned from, at most about: chosen by a hash of the id.
 TRAIN_ROWS = 20_000
@@ -249,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[fl
     return lexicon, fit_curve(features, np.array([r["toxic"] for r in rows], dtype=float))
 
 
-def _score(lexicon: dict[str, float], curve: list[float], column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(lexicon: dict[str, float], curve: list[float], column: int, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
         for batch in slices(batches):
@@ -258,23 +258,24 @@ def _score(lexicon: dict[str, float], curve: list[float], column: int) -> Callab
                 z = curve[0] + sum(w * f for w, f in zip(curve[1:], scorer(text or ""), strict=True))
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
             columns = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``toxicity``, 0 to 1; a column of that name is replaced.
+def score_documents(docs: DataFrame, labels: DataFrame, name: str = "toxicity") -> DataFrame:
+    """``docs`` (doc_id, text, ...) with a score, 0 to 1, in the column ``name``; a column of that name is replaced.
 
     Null and empty texts score as a text without any matched clause. With no labelled document, or only one
     label, the score is the label's share. Rows that stand twice score alike; a null doc_id is scored too.
     """
     lexicon, curve = train(docs, labels)
-    docs = docs.drop("toxicity")
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in [*docs.dtypes, ("toxicity", "double")])
-    return docs.mapInArrow(_score(lexicon, curve, docs.columns.index("text")), schema)
+    docs = docs.drop(name)
+    schema = ", ".join(f"`{column}` {kind}" for column, kind in [*docs.dtypes, (name, "double")])
+    return docs.mapInArrow(_score(lexicon, curve, docs.columns.index("text"), name), schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold."""
-    return score_documents(docs, labels).where(F.col("toxicity") < threshold).select(*docs.columns)
+    """The rows of ``docs`` that score below the threshold, with all their columns, whatever their names; see ``score_documents``."""
+    score = free_name(docs, "toxicity")
+    return score_documents(docs, labels, score).where(F.col(score) < threshold).select(*docs.columns)
