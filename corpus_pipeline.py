@@ -7,13 +7,12 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siteworks.llm.common import store, table
 from siteworks.llm.jaccard_join import keep_one_each
 from siteworks.llm.mixing import take_mix
 from siteworks.llm.packing import pack_documents
-from siteworks.llm.suffix_dedup import remove_repeats
+from siteworks.llm.suffix_dedup import drop_passages
 from siteworks.llm.toxicity import keep_clean
 
 
@@ -29,12 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 400 bytes or more that stand anywhere else too; a cut character goes whole."""
-    done = remove_repeats(docs)
-    # A cut may fall inside a character; what is left of it is no text.
-    valid = F.make_valid_utf8(F.col("kept").cast("string"))
-    kept = F.when(F.contains("text", F.lit("\uFFFD")), valid).otherwise(F.replace(valid, F.lit("\uFFFD"), F.lit("")))
-    text = F.when(F.size("spans") > 0, kept).otherwise(F.col("text"))
-    return done.select(*[text.alias(c) if c == "text" else F.length(text).cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return drop_passages(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
