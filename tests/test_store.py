@@ -102,3 +102,65 @@ def test_new_checkpoint_is_another_writer(spark, tmp_path):
         (landing / f"{run}.json").write_text(json.dumps(dict(zip(names, (i, *[value] * len(RATINGS), 1, 1.0)))))
         stream_upserts(spark, str(landing), str(tmp_path / "store"), str(tmp_path / f"state{run}"), 1, compact_every=1)
     assert set(state(RatingStore(spark, str(tmp_path / "store")).read())) == {1, 2}
+
+
+def test_buckets_split_and_old_files_go(spark, tmp_path):
+    """Forty small versions: the current rows are right at every step, and files do not add up."""
+    from siteworks.sources import rating_store as module
+
+    store = RatingStore(spark, str(tmp_path / "store"), bucket_rows=8)
+    want = {}
+    for version in range(1, 20):
+        items = [(i, version % 5 + 1, version, 1) for i in range(1 + 7 * (version % 3), 140, 1 + version % 4)] if version < 4 else [(version, 2, version, 1), (1000 + version, 3, version, 1)]
+        store.write_batch(rows(spark, *items).coalesce(1), version)
+        want |= {i: (float(v), b) for i, v, b, _ in items}
+        store.compact()
+        if version in (1, 3, 16, 17, 19):
+            assert state(store.read()) == want
+    kept = store._state()
+    assert kept["version"] == 19 and max(len(b) for b in kept["buckets"]) > module.FIRST_BITS and sum(kept["rows"].values()) == len(want)
+    assert len(store._versions()) <= module.FULL_EVERY and len(store._names("batches/main")) <= module.KEEP
+    live = {p.split("/")[1] for p in kept["buckets"].values()}
+    assert len(set(store._names("base")) - live) <= module.KEEP
+    store.write_batch(rows(spark, (4, 5, 50, 1)), 1)  # the number of a batch that is folded and gone
+    assert state(store.read()) == want | {4: (5.0, 50)}
+
+
+def test_calls_follow_what_is_not_folded(spark, tmp_path):
+    """A thousand batches were written once; a read looks at those not yet folded only."""
+    store = RatingStore(spark, str(tmp_path / "store"), keep=0)
+    (tmp_path / "store" / "batches" / "main").mkdir(parents=True)
+    store.write_batch(rows(spark, (1, 1, 1, 1)).coalesce(1), 1)
+    first = tmp_path / "store" / "batches" / "main" / "000000000001-0001"
+    import shutil
+
+    for k in range(2, 1001):
+        shutil.copytree(first, first.with_name(f"{k:012d}-0001"))
+    store.compact()
+    assert state(store.read()) == {1: (1.0, 1)} and store._names("batches/main") == []
+    store.write_batch(rows(spark, (2, 2, 2001, 1)).coalesce(1), 2001)
+    calls = []
+    inner = store._names
+    store._names = lambda name: calls.append(name) or inner(name)
+    store.read()
+    assert len(calls) <= 4 and len(store._unfolded(store._state())) == 1
+
+
+def test_a_second_compaction_of_the_same_version_fails(spark, store):
+    store.write_batch(rows(spark, (1, 1, 1, 1)), 1)
+    store.compact()
+    with pytest.raises(RuntimeError):
+        store._publish("000000000001", "{}")
+    with pytest.raises(RuntimeError):
+        store._publish("000000000001-full", "{}")
+    assert state(store.read()) == {1: (1.0, 1)}
+
+
+def test_attempts_are_numbers(spark, store, tmp_path):
+    store.write_batch(rows(spark, (1, 1, 1, 1)), 1)
+    one = store._folder("batches/main/000000000001-0001")[0].toString()
+    import shutil
+
+    shutil.copytree(one, one[:-4] + "9999")
+    store.write_batch(rows(spark, (1, 2, 1, 1)), 1)
+    assert store._unfolded(store._state()) == ["batches/main/000000000001-10000"] and state(store.read()) == {1: (2.0, 1)}
