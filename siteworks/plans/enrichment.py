@@ -342,3 +342,15 @@ def stream_upsert(spark, sf):
     rating_versions(spark, sf).repartition(3, "rating_location_type", "id").write.json(landing)
     stream_upserts(spark, landing, f"{root}/store", f"{root}/state", files_per_trigger=2)
     return RatingStore(spark, f"{root}/store").read()
+
+
+@plan("stream_latest", with_sites(STORED_SQL + "select * from st"))
+def stream_latest(spark, sf):
+    """The same files through a stream that remembers the latest version of every id and passes on changes only."""
+    from siteworks.streaming.rating_state import stream_latest as run
+
+    root = scratch_path(spark, "stream-latest")
+    landing = f"{root}/landing"
+    rating_versions(spark, sf).repartition(3, "rating_location_type", "id").write.json(landing)
+    run(spark, landing, f"{root}/store", f"{root}/state", files_per_trigger=2)
+    return RatingStore(spark, f"{root}/store").read()

@@ -175,11 +175,12 @@ class RatingStore:
         touched = sorted(more)
         parts = self._split(touched, {b: state["rows"].get(b, 0) + n for b, n in more.items()})
         old = [b for b in touched if b in state["buckets"]]
-        merged = latest_per_id(self._rows([state["buckets"][b] for b in old]).unionByName(added), "id", ["batch_completed", "timestamp"])
-        base = f"base/{version:012d}-{uuid.uuid4().hex}"
-        merged.withColumn("bucket", self._bucket(parts)).write.partitionBy("bucket").parquet(f"{self.path}/{base}")
-        written = self.spark.read.schema(T.StructType([*RATING_SCHEMA, T.StructField("bucket", T.StringType())])).parquet(f"{self.path}/{base}")
-        counts = {r["bucket"]: r["count"] for r in written.groupBy("bucket").count().collect()}
+        base, counts = f"base/{version:012d}-{uuid.uuid4().hex}", {}
+        if touched:  # else all batches are empty, and only their names are folded
+            merged = latest_per_id(self._rows([state["buckets"][b] for b in old]).unionByName(added), "id", ["batch_completed", "timestamp"])
+            merged.withColumn("bucket", self._bucket(parts)).write.partitionBy("bucket").parquet(f"{self.path}/{base}")
+            written = self.spark.read.schema(T.StructType([*RATING_SCHEMA, T.StructField("bucket", T.StringType())])).parquet(f"{self.path}/{base}")
+            counts = {r["bucket"]: r["count"] for r in written.groupBy("bucket").count().collect()}
         made = {b: f"{base}/bucket={b}" for b in counts}
         folded = {path: version for path in fresh}
         text = {"version": version, "full": False, "replaced": old, "buckets": made, "rows": counts, "folded": folded, "obsolete": [*fresh, *(state["buckets"][b] for b in old)]}

@@ -156,6 +156,17 @@ def test_a_second_compaction_of_the_same_version_fails(spark, store):
     assert state(store.read()) == {1: (1.0, 1)}
 
 
+def test_empty_batches_are_folded_too(spark, store):
+    store.write_batch(rows(spark, (0, 1, 1, 1)), 1)
+    store.compact()
+    assert state(store.read()) == {} and store._unfolded(store._state()) == []
+    store.write_batch(rows(spark, (7, 1, 1, 1)), 2)
+    store.compact()
+    store.write_batch(rows(spark, (0, 1, 1, 1)), 3)
+    store.compact()
+    assert state(store.read()) == {7: (1.0, 1)}
+
+
 def test_attempts_are_numbers(spark, store, tmp_path):
     store.write_batch(rows(spark, (1, 1, 1, 1)), 1)
     one = store._folder("batches/main/000000000001-0001")[0].toString()
