@@ -354,3 +354,16 @@ def stream_latest(spark, sf):
     rating_versions(spark, sf).repartition(3, "rating_location_type", "id").write.json(landing)
     run(spark, landing, f"{root}/store", f"{root}/state", files_per_trigger=2)
     return RatingStore(spark, f"{root}/store").read()
+
+
+@plan("enrich_logged", with_sites(f"select id, cast({QUALITY_SQL} as int) as installer_quality from sites"))
+def enrich_logged(spark, sf):
+    """Batches of five, a third of them asked before and gathered, the rest now; every asset gets its reply."""
+    from siteworks.operators import replies
+
+    log = scratch_path(spark, "replies")
+    batched = enrich.assign_batches(sites(spark, sf).select("id"), 5).join(sites(spark, sf).select("id", "installer"), "id").select("id", "installer", "batch")
+    ask = lambda rows: replies.enrich_logged(rows, length_scorer, "id bigint, installer_quality int", ["id", "installer"], log)
+    ask(batched.where("batch % 3 = 0")).write.format("noop").mode("overwrite").save()
+    replies.fold_replies(spark, log)
+    return ask(batched)
