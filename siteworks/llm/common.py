@@ -22,16 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that a Python worker holds at once, and Spark on its side of the pipe.
+BATCH_BYTES = 8 << 20
+
+
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside remove their shuffle files when they end."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def _bounded(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside remove their shuffle files when they end, and pass small batches to Python workers."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
@@ -40,7 +46,7 @@ def store(df: DataFrame, label: str) -> DataFrame:
     The table is what later steps read, so the shuffles that made it leave nothing behind.
     """
     path = scratch_path(df.sparkSession, label)
-    with _shuffles_freed(df.sparkSession):
+    with _bounded(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -49,6 +49,8 @@ FINER = 4
 #: Prefixes with more open nodes than this are compared in blocks of ``BLOCK`` nodes instead of joined.
 FEW = 8
 BLOCK = 512
+#: Bytes of cells in a block, about: nodes with many cells are compared in smaller blocks.
+BLOCK_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -227,7 +229,11 @@ def _alike(percent: int):
 
         def pairs(part: pa.Table) -> pa.RecordBatch:
             node, n, root, block = (part[c].to_numpy() for c in ("node", "n", "root", "block"))
-            fine = np.frombuffer(b"".join(part["fine"].to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+            # The cells as they lie in the Arrow buffer, without a copy for each node.
+            cells = part["fine"].combine_chunks()
+            width = len(cells[0].as_buffer())
+            fine = np.frombuffer(cells.buffers()[2], dtype=np.uint8)[cells.offset * width : (cells.offset + len(node)) * width].reshape(len(node), width)
+            step = max(1, BLOCK_BYTES // width)
             across = part["i"][0].as_py() != part["j"][0].as_py()
             left, right = [], []
             for r in range(len(node) - 1):
@@ -237,7 +243,7 @@ def _alike(percent: int):
                     may &= block[rest] != block[r]
                 of = np.flatnonzero(may) + r + 1
                 if len(of):
-                    differ = (fine[of] != fine[r]).sum(axis=1)
+                    differ = np.concatenate([np.count_nonzero(fine[of[at : at + step]] != fine[r], axis=1) for at in range(0, len(of), step)])
                     of = of[differ <= (n[of] + n[r]) * (100 - percent) // (100 + percent)]
                     left.append(np.minimum(node[of], node[r]))
                     right.append(np.maximum(node[of], node[r]))
@@ -351,12 +357,14 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     a, b = (few.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root")]) for side in "ab")
     alike = (F.col("root_a") < F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     rest = a.join(b, "key").where(alike).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    many = open_.where(F.col("open") > FEW).withColumn("blocks", F.ceil(F.col("open") / BLOCK).cast("int"))
+    fine = F.when(F.col("key").bitwiseAND(1) == F.col("level") % 2, F.col("own")).otherwise(F.col("above"))
+    many = open_.where(F.col("open") > FEW).join(sets.select("node", "level", "own", "above"), "node").select(*open_.columns, fine.alias("fine"))
+    # All nodes of a key have as many cells.
+    per_block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.octet_length("fine"))))
+    many = many.withColumn("blocks", F.ceil(F.col("open") / per_block).cast("int"))
     many = many.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("key", "node", "n", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    fine = F.when(F.col("key").bitwiseAND(1) == F.col("level") % 2, F.col("own")).otherwise(F.col("above"))
-    many = many.join(sets.select("node", "level", "own", "above"), "node").select(*many.columns, fine.alias("fine"))
+    many = many.select("key", "node", "n", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "fine")
     blocks = many.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_alike(percent), "a long, b long")
     rest = store(rest.union(blocks).distinct().join(tried.union(second), ["a", "b"], "left_anti"), "tried-last")
     for done in (open_, tried, second):
