@@ -26,12 +26,12 @@ def test_equals_sql(spark, name):
     for t in ("documents", "pages", "conversations"):
         db.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = QUERIES[name](spark, SF)
-    rows = sorted(tuple(normal(r[c]) for c in sorted(got.columns)) for r in got.collect())
+    rows = sorted((tuple(normal(r[c]) for c in sorted(got.columns)) for r in got.collect()), key=str)
     want = db.execute(ORACLES[name])
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
     place = sorted(range(len(names)), key=lambda i: names[i])
-    assert rows == sorted(tuple(normal(r[i]) for i in place) for r in want.fetchall())
+    assert rows == sorted((tuple(normal(r[i]) for i in place) for r in want.fetchall()), key=str)
 
 
 def documents(spark, rows):
