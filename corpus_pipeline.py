@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes or more that stand anywhere else too; a cut character goes whole."""
+    """Texts without the passages of over 50 words (204 bytes or more) that stand anywhere else too; a cut character goes whole."""
     return drop_passages(docs)
 
 

@@ -36,6 +36,9 @@ from siteworks.llm.common import ByteHash, chunks, mix, row_key, signed, slices,
 LENGTH = 400
 WINDOW = 257
 PERIOD = 57
+#: A passage in words: more than 50 of them, which are 204 bytes if words have three letters, and the sizes to search such strings with.
+PASSAGE_WORDS = 50
+PASSAGE = {"length": 204, "window": 141, "period": 29}
 #: Positions are packed as start * 2^20 + (suffixes - 1) * 2^10 + distance of the gram.
 PACK = 1 << 10
 
@@ -219,7 +222,7 @@ def _merged(found: DataFrame) -> DataFrame:
     return merged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, period: int = PERIOD, words: int = 0) -> DataFrame:
     """``docs`` (doc_id, text, ...) with columns ``kept`` (binary), ``spans``, ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     Every byte inside a string of ``length`` bytes that also starts at any other
@@ -227,6 +230,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     texts shorter than ``length`` are kept whole; a row that stands twice repeats
     itself and loses all of a text of ``length`` bytes or more. Columns of ``docs`` with
     these names are replaced, all others kept whatever their names. No rows give no rows.
+    With ``words``, only spans of more words than that go.
     """
     made = ["kept", "spans", "n_bytes", "n_removed", "n_spans"]
     own = [c for c in docs.columns if c not in made]
@@ -235,6 +239,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     joined = keyed.join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     part = lambda start, end: F.substring(raw, (start + 1).cast("int"), (end - start).cast("int"))
+    if words:
+        many = F.filter("spans", lambda s: F.regexp_count(part(s["start"], s["end"]).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")) > words)
+        joined = joined.withColumn("spans", many)
     size = F.octet_length(raw).cast("bigint")
     rest = F.aggregate(
         "spans",
@@ -259,12 +266,13 @@ def kept_text() -> Column:
     return F.when(F.size("spans") > 0, kept).otherwise(F.col("text"))
 
 
-def drop_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars, ...) with texts cut by ``remove_repeats`` and ``n_chars`` counted anew; all other columns as they are.
+def drop_passages(docs: DataFrame, words: int = PASSAGE_WORDS, length: int = PASSAGE["length"], window: int = PASSAGE["window"], period: int = PASSAGE["period"]) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars, ...) without passages of more than ``words`` words that stand anywhere else too; ``n_chars`` is counted anew.
 
-    Texts that lose nothing stay as they are, null ones null. Repeated rows lose texts of ``length`` bytes or more, in all copies. No rows give no rows.
+    A passage is what strings of ``length`` bytes cover that start at other places too; shorter runs of words, such as phrases, stay. All other
+    columns are as they are. Texts that lose nothing stay as they are, null ones null. Repeated rows lose such texts in all copies. No rows give no rows.
     """
     packed = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text")
-    done = remove_repeats(packed, length)
+    done = remove_repeats(packed, length, window, period, words)
     new = {"text": kept_text(), "n_chars": F.length(kept_text()).cast("bigint")}
     return done.select(*[new.get(c, F.col("whole")[c]).alias(c) for c in docs.columns])

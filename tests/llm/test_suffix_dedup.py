@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from siteworks.llm.suffix_dedup import difference_cover, remove_repeats
+from siteworks.llm.suffix_dedup import difference_cover, drop_passages, remove_repeats
 
 SCHEMA = "doc_id long, text string, source string, kept string"
 
@@ -61,3 +61,19 @@ def test_long_text_is_cut_into_parts_without_loss(spark):
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+def test_passages_of_over_fifty_words_go_and_phrases_stay(spark):
+    """51 short words are far below 400 bytes; 40 long ones are no passage, though they are above the bytes searched for."""
+    rng = random.Random(8)
+    prose = lambda n, size=5: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, size))) for _ in range(n))
+    passage, phrase = prose(51), prose(40, 9)
+    assert len(passage) < 400 and 204 < len(phrase) < 400
+    texts = [f"{prose(30)} {part} {prose(30)}" for part in (passage, passage, phrase, phrase, prose(80))] + [f"{passage} {prose(9)}", None, ""]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = [r.text for r in drop_passages(docs.repartition(3)).orderBy("doc_id").collect()]
+    assert got[2:5] == texts[2:5] and got[6:] == [None, ""]
+    for i in (0, 1, 5):
+        before, after = texts[i].split(passage)
+        # A letter or blank beside the passage may be the same in two texts by chance, and goes with it.
+        assert got[i].startswith(before[:-4]) and got[i].endswith(after[4:]) and len(before + after) - 8 <= len(got[i]) <= len(before + after)
