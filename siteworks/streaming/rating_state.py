@@ -2,9 +2,13 @@
 
 ``stream_upserts`` writes every version that lands and leaves it to readers to find the latest. Here the
 stream itself knows the latest version of each id, so a version that is older than one seen before, or a replay of it, goes
-no further: what is written is what changed. The state lives in Spark's state store, by id, and restarts
+no further: what is written is what changed. The state lives in Spark's state store and restarts
 with the checkpoint. Ids that were not heard of for ``keep_days`` are forgotten; if an old version of
 one arrives after that it is passed on, and the store, which compares versions too, keeps the newer.
+
+A call of Python for each id would cost a frame for each. Ids are dealt into ``GROUPS`` groups by their hash, and a call
+follows all ids of a group: each has its own version and its own time in the group's state. A checkpoint
+of a stream that kept state by id cannot go on; it starts over with a new one and the same store.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from siteworks.sources.rating_store import RATING_SCHEMA, RatingStore
 
 KEEP_DAYS = 30
+#: Groups of ids that share a row of state; fixed, as a checkpoint is of this number.
+GROUPS = 1 << 11
 ORDER = ["batch_completed", "timestamp"]
 #: Versions are compared by batch and time, then as a whole, as the store does.
 COMPARED = [*ORDER, *[f.name for f in RATING_SCHEMA if f.name not in ("id", *ORDER)]]
@@ -39,22 +45,39 @@ def newest(versions: Iterator[tuple], known: tuple | None) -> tuple | None:
     return None if best is known else best
 
 
+def _versions(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, tuple]]:
+    """Ids and their versions as plain values, a frame at a time."""
+    whole = COMPARED.index("batch_completed")
+    for frame in frames:
+        part = frame[["id", *COMPARED]]
+        for i, *version in part.astype(object).where(part.notna(), None).itertuples(index=False, name=None):
+            if version[whole] is not None:  # next to a null, pandas makes it a float
+                version[whole] = int(version[whole])
+            yield int(i), tuple(version)
+
+
 def _follow(keep_ms: int):
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentProcessingTimeMs()
+        held = {i: tuple(version) for i, version in zip(*state.get[:2], strict=True)} if state.exists else {}
+        heard = dict(zip(state.get[0], state.get[2], strict=True)) if state.exists else {}
+        changed = {}
+        for i, version in () if state.hasTimedOut else _versions(frames):
+            found = newest(iter([version]), held.get(i))
+            if found is not None:
+                held[i] = changed[i] = found
+            heard[i] = now
+        if changed:
+            rows = pd.DataFrame([[i, *version] for i, version in changed.items()], columns=["id", *COMPARED])
+            kinds = {"bigint": "int64", "int": "Int32", "double": "float64"}
+            yield rows.astype({f.name: kinds[f.dataType.simpleString()] for f in RATING_SCHEMA})[RATING_SCHEMA.names]
+        # Each id has its own time; the group's is that of the id that was heard of longest ago.
+        kept = [i for i in held if heard[i] + keep_ms >= now]
+        if not kept:
             state.remove()
             return
-        known = state.get if state.exists else None
-        plain = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
-        versions = (tuple(plain(v) for v in row) for frame in frames for row in frame[COMPARED].itertuples(index=False))
-        found = newest(versions, known)
-        if found is not None:
-            state.update(found)
-            changed = pd.DataFrame([[key[0], *found]], columns=["id", *COMPARED])
-            yield changed.astype({"id": "int64", "batch_completed": "Int32"})[RATING_SCHEMA.names]
-        elif known is not None:
-            state.update(known)
-        state.setTimeoutDuration(keep_ms)
+        state.update((kept, [held[i] for i in kept], [heard[i] for i in kept]))
+        state.setTimeoutDuration(max(1, min(heard[i] for i in kept) + keep_ms - now))
 
     return follow
 
@@ -62,12 +85,13 @@ def _follow(keep_ms: int):
 def latest_changes(versions: DataFrame, keep_days: float = KEEP_DAYS) -> DataFrame:
     """The versions of a stream (RATING_SCHEMA) that are newer than all seen before of their id; at most one per id and trigger.
 
-    Null ids, and id 0, which marks a fall-back row, go. Rows of an id meet in one task, a frame at a time: what is held is one version.
+    Null ids, and id 0, which marks a fall-back row, go. Rows of a group meet in one task, a frame at a time: what is held is one version per id of the group.
     """
     known = versions.where(F.col("id").isNotNull() & (F.col("id") != 0)).select(*RATING_SCHEMA.names)
     kinds = {f.name: f.dataType.simpleString() for f in RATING_SCHEMA}
-    kept = ", ".join(f"{c} {kinds[c]}" for c in COMPARED)
-    return known.groupBy("id").applyInPandasWithState(
+    version = ", ".join(f"{c}: {kinds[c]}" for c in COMPARED)
+    kept = f"ids array<bigint>, versions array<struct<{version}>>, heard array<bigint>"
+    return known.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(GROUPS))).groupBy("part").applyInPandasWithState(
         _follow(int(keep_days * 86_400_000)), RATING_SCHEMA, kept, "update", GroupStateTimeout.ProcessingTimeTimeout
     )
 

@@ -3,9 +3,11 @@
 import json
 import random
 
+import pandas as pd
+
 from siteworks.functions.ratings import RATINGS
 from siteworks.sources.rating_store import RATING_SCHEMA, RatingStore, latest_per_id
-from siteworks.streaming.rating_state import newest, stream_latest
+from siteworks.streaming.rating_state import _follow, newest, stream_latest
 
 NAMES = RATING_SCHEMA.names
 
@@ -57,3 +59,39 @@ def test_newest_breaks_ties_as_a_whole():
     assert newest(iter([(1, None, 2.0), (1, 0.0, 1.0)]), None) == (1, 0.0, 1.0)
     assert newest(iter([(1, 0.0, 1.0), (None, 9.0, 9.0)]), (1, 0.0, 1.0)) is None
     assert newest(iter([(1, 0.0, 3.0)]), (1, 0.0, 1.0)) == (1, 0.0, 3.0)
+
+
+class Held:
+    """The state of a group, as Spark hands it over."""
+
+    def __init__(self, value=None, now=0, timed_out=False):
+        self.value, self.now, self.hasTimedOut, self.wait = value, now, timed_out, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, wait):  # noqa: N802
+        self.wait = wait
+
+
+def test_one_call_follows_many_ids_and_forgets_each_by_itself():
+    follow, state = _follow(100), Held(now=1000)
+    frame = lambda ids, batch: pd.DataFrame([row(i, 1.0, batch, 1.0) for i in ids], columns=NAMES)
+    ids_of = lambda frames: sorted(i for out in frames for i in out["id"])
+    assert ids_of(follow((7,), iter([frame(range(1, 500), 5), frame(range(1, 900), 4)]), state)) == list(range(1, 900))
+    assert sorted(state.value[0]) == list(range(1, 900)) and state.wait == 100
+    state.now = 1060
+    assert ids_of(follow((7,), iter([frame([3], 4), frame([4, None], 6).dropna(subset="id")]), state)) == [4]
+    state.now, state.hasTimedOut = 1120, True
+    assert ids_of(follow((7,), iter([]), state)) == [] and sorted(state.value[0]) == [3, 4] and state.wait == 40
+    state.now = 1200
+    assert ids_of(follow((7,), iter([]), state)) == [] and not state.exists
