@@ -1,9 +1,11 @@
 """A log of replies, so that no batch is paid for twice.
 
 A model call costs money, a Spark task may run again. Each batch of rows is known by a digest of its content; its reply is
-written under that digest the moment it is there, by the task that asked. A job that starts again, a retried
-task or another table with the same rows finds it there. ``fold_replies`` gathers the single files into Parquet, which later jobs join
-instead of opening a file per batch.
+written with that digest the moment it is there, by the task that asked. A job that starts again, a retried
+task or another table with the same rows finds it there. ``fold_replies`` gathers the files into Parquet, which later jobs join.
+
+A file per batch would make as many files as batches. Batches whose digests start alike are asked one after the other by one task, which first
+reads what the log has of them and then adds a line per reply to one file: files grow with runs, not with batches.
 """
 
 from __future__ import annotations
@@ -27,29 +29,58 @@ def _files(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _name(digest: str) -> str:
-    return f"new/{digest[:2]}/{digest}.json"
+#: Digits of a digest that name its group, whose replies one task adds to one file.
+GROUP_DIGITS = 3
+#: File systems that show what is written before the file is closed; others get a file per reply.
+APPENDING = ("local", "hdfs")
+
+
+def _logged(files: fs.FileSystem, root: str, group: str) -> dict[str, str]:
+    """Replies of a group by digest, from files with a line per reply or, as they once were, a file per reply."""
+    known = {}
+    for info in files.get_file_info(fs.FileSelector(f"{root}/new/{group[:2]}", allow_not_found=True)):
+        if not info.base_name.startswith(group) or not info.base_name.endswith((".json", ".jsonl")):
+            continue
+        with files.open_input_stream(info.path) as held:
+            text = held.read().decode(errors="replace")
+        if info.base_name.endswith(".json"):
+            known[info.base_name[:-5]] = text
+            continue
+        for line in text.split("\n")[:-1]:  # what a lost task left unfinished has no end of line
+            told = json.loads(line)
+            known[told["digest"]] = told["reply"]
+    return known
 
 
 def _ask(scorer: Callable[[pd.DataFrame], pd.DataFrame], log: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = _files(log)
-        for frame in frames:
-            replies = []
-            for digest, content in zip(frame["digest"], frame["content"], strict=True):
-                path = f"{root}/{_name(digest)}"
-                if files.get_file_info(path).type == fs.FileType.File:
-                    with files.open_input_stream(path) as held:
-                        replies.append(held.read().decode())
-                    continue
-                reply = scorer(pd.DataFrame(json.loads(content))).to_json(orient="records")
-                files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                beside = f"{path}.{uuid.uuid4().hex}"
-                with files.open_output_stream(beside) as out:
-                    out.write(reply.encode())
-                files.move(beside, path)
-                replies.append(reply)
-            yield pd.DataFrame({"digest": frame["digest"], "reply": replies})
+        group, known, out = None, {}, None
+        try:
+            for frame in frames:
+                replies = []
+                for digest, content in zip(frame["digest"], frame["content"], strict=True):
+                    if digest[:GROUP_DIGITS] != group:
+                        group = digest[:GROUP_DIGITS]
+                        known = _logged(files, root, group)
+                        if out is not None:
+                            out.close()
+                            out = None
+                    if digest not in known:
+                        known[digest] = scorer(pd.DataFrame(json.loads(content))).to_json(orient="records")
+                        if out is None:
+                            files.create_dir(f"{root}/new/{group[:2]}", recursive=True)
+                            out = files.open_output_stream(f"{root}/new/{group[:2]}/{group}-{uuid.uuid4().hex}.jsonl")
+                        out.write(json.dumps({"digest": digest, "reply": known[digest]}).encode() + b"\n")
+                        out.flush()
+                        if files.type_name not in APPENDING:
+                            out.close()
+                            out = None
+                    replies.append(known[digest])
+                yield pd.DataFrame({"digest": frame["digest"], "reply": replies})
+        finally:
+            if out is not None:
+                out.close()
 
     return run
 
@@ -85,9 +116,11 @@ def enrich_logged(
     known = folded_replies(spark, log).dropDuplicates(["digest"])
     told = asked.join(known, "digest").select("digest", "reply")
     open_ = asked.join(known, "digest", "left_anti")
-    # One task per batch would start a worker for each; the session's partitions share them out.
+    # One task per batch would start a worker for each; the session's partitions share the groups out. By the digest itself they would be
+    # partitioned as the join leaves them, and adaptive execution merges those: few bytes, but each row is a call.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    new = open_.repartition(parts, "digest").mapInPandas(_ask(scorer, log), "digest string, reply string")
+    shared = open_.repartition(parts, F.substring("digest", 1, GROUP_DIGITS)).sortWithinPartitions("digest")
+    new = shared.mapInPandas(_ask(scorer, log), "digest string, reply string")
     return told.unionByName(new).select(F.inline(F.from_json("reply", f"array<struct<{', '.join(_fields(schema))}>>")))
 
 
@@ -97,11 +130,17 @@ def _fields(schema: str) -> list[str]:
 
 
 def fold_replies(spark: SparkSession, log: str) -> None:
-    """Gather single replies into Parquet, then remove their files. Not while a job writes to the log."""
+    """Gather the files of replies into Parquet, then remove them. Not while a job writes to the log."""
     if not path_exists(spark, f"{log}/new"):
         return
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(f"{log}/new")
-    digest = F.regexp_extract("path", r"([0-9a-f]{64})\.json$", 1)
-    files.select(digest.alias("digest"), F.col("content").cast("string").alias("reply")).write.mode("append").parquet(f"{log}/folded")
+    # Files with a line per reply, and a file per reply, as they once were; a line that a lost task left unfinished is none.
+    lines = spark.read.option("pathGlobFilter", "*.{json,jsonl}").option("recursiveFileLookup", "true").option("lineSep", "\n").text(f"{log}/new")
+    named = F.regexp_extract(F.input_file_name(), r"([0-9a-f]{64})\.json$", 1)
+    told = F.from_json("value", "digest string, reply string")
+    single = lines.select(named.alias("named"), "value", told.alias("told")).select(
+        F.when(F.col("named") != "", F.col("named")).otherwise(F.col("told.digest")).alias("digest"),
+        F.when(F.col("named") != "", F.col("value")).otherwise(F.col("told.reply")).alias("reply"),
+    )
+    single.where("digest is not null and reply is not null").write.mode("append").parquet(f"{log}/folded")
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/new")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -57,3 +57,27 @@ def test_nothing_to_ask(spark, batched, tmp_path):
     log = str(tmp_path / "log")
     assert replies.enrich_logged(batched.limit(0), counting(tmp_path), SCHEMA, ["id", "name"], log).collect() == []
     replies.fold_replies(spark, log)
+
+
+def test_files_grow_with_groups_not_batches(spark, tmp_path):
+    """Thousands of batches leave at most a file per group, are asked by all tasks, and an unfinished line or an older file per batch is no loss."""
+    calls, log = tmp_path / "calls", tmp_path / "log"
+    calls.mkdir()
+    many = spark.createDataFrame([(i, "x" * (i % 5), i) for i in range(9000)], "id long, name string, batch int")
+    quiet = lambda frame: pd.DataFrame({"id": frame["id"], "n": frame["name"].str.len()})
+    ask = lambda scorer: replies.enrich_logged(many, scorer, SCHEMA, ["id", "name"], str(log))
+    first = ask(quiet)
+    assert first.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert first.count() == 9000
+    made = [f for f in (log / "new").rglob("*") if f.is_file() and not f.name.startswith(".")]
+    assert 0 < len(made) <= 16**replies.GROUP_DIGITS
+    last = made[0].read_text().splitlines()[-1]
+    lost, reply = replies.json.loads(last).values()
+    made[0].write_text(made[0].read_text()[: -len(last) // 2])
+    lone = replies.json.loads(made[1].read_text().splitlines()[-1])
+    made[1].write_text("".join(f"{line}\n" for line in made[1].read_text().splitlines()[:-1]))
+    (made[1].parent / f"{lone['digest']}.json").write_text(lone["reply"])
+    assert ask(counting(calls)).count() == 9000 and len(list(calls.iterdir())) == 1
+    replies.fold_replies(spark, str(log))
+    folded = {r.digest: r.reply for r in replies.folded_replies(spark, str(log)).collect()}
+    assert len(folded) == 9000 and folded[lost] == reply and folded[lone["digest"]] == lone["reply"]
