@@ -30,8 +30,9 @@ FINEST_LEVEL = 40
 SLACK_KM = 1e-6
 # Neighbour lists are wide rows, so fewer of them may be broadcast.
 LIST_BROADCAST_ROWS = 50_000
-# Each point costs some hundred distances, so a task need not hold many.
+# Each point costs some hundred distances, so a task need not hold many, and must not hold too many.
 POINTS_PER_TASK = 300
+MOST_POINTS_PER_TASK = 2_000
 
 
 def located(df: DataFrame) -> DataFrame:
@@ -39,13 +40,13 @@ def located(df: DataFrame) -> DataFrame:
 
 
 def _spread(df: DataFrame, key: str, points: int) -> DataFrame:
-    """Hash by key into the session's shuffle partitions, fewer if there are few points.
+    """Hash by key into the session's shuffle partitions, fewer if there are few points and more if there are many.
 
     The joins and windows on the key need this exchange anyway; naming the number
-    keeps few but costly rows from being merged into one task.
+    keeps few but costly rows from being merged into one task, and what a task sorts from growing with the table.
     """
     most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(1, min(most, points // POINTS_PER_TASK)), key)
+    return df.repartition(max(1, min(most, points // POINTS_PER_TASK), -(-points // MOST_POINTS_PER_TASK)), key)
 
 
 def _spots(df: DataFrame, keep: int) -> DataFrame:
@@ -110,8 +111,9 @@ def _leaves(spots: DataFrame) -> tuple[DataFrame, list[int], int]:
 
 
 def _boxes(points: DataFrame) -> DataFrame:
+    """Leaf cells with the ids that their spots hold, as many as count, and a tight box."""
     return points.groupBy("level", "cy", "cx").agg(
-        F.count("*").alias("size"),
+        F.sum(F.size("ids")).alias("size"),
         F.min("latitude").alias("s"),
         F.max("latitude").alias("t"),
         F.min("longitude").alias("w"),
@@ -120,7 +122,7 @@ def _boxes(points: DataFrame) -> DataFrame:
 
 
 def _tree(points: DataFrame, levels: list[int]) -> DataFrame:
-    """All non-root cells: level, name, parent's name, number of points, tight box.
+    """All non-root cells: level, name, parent's name, number of ids, tight box.
 
     Every leaf adds itself to each of its ancestors, so one aggregation over the
     leaves builds all levels.
@@ -260,18 +262,32 @@ def nearest_neighbors(queries: DataFrame, k: int, reference: DataFrame | None =
         query_leaves = asked.select(place.alias("q"), *spots)
     pairs = _leaf_pairs(query_leaves, tree, levels, need, n_asked)
     asked = _spread(asked.select(place.alias("q"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), "q", n_asked)
-    # At most ``need`` ids per spot, so the spots bound the rows.
-    known = points.select(leaf.alias("node"), "latitude", "longitude", F.explode("ids").alias("nbr_id"))
+    # A spot is one row, whatever ids it holds; its first id stands alone, as most spots have no other and the rows below are many.
+    known = points.select(leaf.alias("node"), "latitude", "longitude", F.col("ids")[0].alias("first"), F.when(F.size("ids") > 1, F.slice("ids", 2, need)).alias("rest"))
     spot = ["q", "lat", "lon"]
     reached = asked.join(pairs, "q").withColumns({"ps": F.col("lat"), "pt": F.col("lat"), "pw": F.col("lon"), "pe": F.col("lon")})
     # The same bound once more, for the point itself: it drops most of its leaf's pairs.
-    reached = _prune(reached.drop("reach"), need, "p", spot)
+    reached = _prune(reached.drop("reach"), need, "p", spot).select(*spot, "node")
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
-    nearest = Window.partitionBy(*spot).orderBy(F.round("dist_km", 9), "nbr_id")
+    met = reached.join(hinted(known, n_known * need), "node").select(*spot, "first", "rest", distance.alias("dist_km"))
+    if n_asked > MOST_POINTS_PER_TASK * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        met = _spread(met, "q", n_asked)  # the join may have shuffled by node; what a task sorts next must not grow with the table
+    # Spots come first, each a row: one with ``need`` nearer spots, or ``need`` ids at nearer spots, cannot count.
+    by_step = Window.partitionBy(*spot).orderBy("step")
+    alone = F.col("rest").isNull()
+    held = F.when(alone, 1).otherwise(F.size("rest") + 1)
+    ids = F.when(alone, F.array("first")).otherwise(F.concat(F.array("first"), "rest"))
+    upto, here = (F.sum(held).over(w) for w in (by_step, Window.partitionBy(*spot, "step")))
+    spots = (
+        met.withColumn("step", F.round("dist_km", 9))
+        .withColumn("nth", F.rank().over(by_step))
+        .where(F.col("nth") <= need)
+        .withColumn("nearer", upto - here)
+        .where(F.col("nearer") < need)
+    )
+    nearest = Window.partitionBy(*spot).orderBy("step", "nbr_id")
     ranked = (
-        reached.select(*spot, "node")
-        .join(hinted(known, n_known * need), "node")
-        .select(*spot, "nbr_id", distance.alias("dist_km"))
+        spots.select(*spot, "step", "dist_km", F.explode(ids).alias("nbr_id"))
         .withColumn("rank", F.row_number().over(nearest))
         .where(F.col("rank") <= need)
     )

@@ -141,3 +141,20 @@ def test_density_per_group_equals_pairs(spark):
         pairs = [math.dist(a[1:3], b[1:3]) for n, a in enumerate(own) for b in own[:n]]
         want = 1 / (sum(pairs) / len(pairs) + 0.1)
         assert all(got[r[0]][0] == len(own) and math.isclose(got[r[0]][1], want, rel_tol=1e-3) for r in own)
+
+
+def test_ids_of_one_spot_stay_one_row_until_spots_are_ranked(spark):
+    """Towns of many ids per spot: a leaf counts ids, spots beyond enough of them go before ids are listed, ties go by id across spots."""
+    i = np.arange(400)
+    towns = assets(1.0 + (i * 37) % 400 % 8, 30.0 + (i * 37) % 400 % 5)
+    points, _, n = sp._leaves(sp._spots(spark.createDataFrame(towns), 11))
+    assert n == 40 and sum(r["size"] for r in sp._boxes(points).collect()) == 400
+    assert found(spark, towns, 25) == sorted(brute(towns, 25))
+
+
+def test_tasks_grow_in_number_with_the_points(spark):
+    """What a task sorts is bounded by points, not by the session's shuffle partitions."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(10).withColumnRenamed("id", "q")
+    assert sp._spread(df, "q", 0).rdd.getNumPartitions() == 1
+    assert sp._spread(df, "q", parts * sp.MOST_POINTS_PER_TASK * 3).rdd.getNumPartitions() == parts * 3
