@@ -26,10 +26,12 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    text = suffix_dedup.kept_text()
+    done = suffix_dedup.remove_repeats_and_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = suffix_dedup.kept_text("rest")
     digest = F.sha2("kept", 256).alias("kept_sha256")
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, text.alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars"))
+    passages = [F.size("passages").cast("bigint").alias("n_passages"), suffix_dedup.covered("passages").alias("n_passage_bytes")]
+    chars = F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, text.alias("text"), chars, *passages)
 
 
 @query("op2_arc_to_warc", warc.ARCHIVE_SQL)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteworks.llm.common import ByteHash, chunks, mix, row_key, signed, slices, store, text_bytes
+from siteworks.llm.common import ByteHash, chunks, discard, mix, row_key, signed, slices, store, text_bytes
 
 LENGTH = 400
 WINDOW = 257
@@ -111,14 +111,17 @@ def _stretches(length: int, window: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _shared(rows: DataFrame, bucket: str, member: str) -> DataFrame:
-    """Rows of buckets that weigh more than one; ``mixed`` where their members differ.
+def _shared(rows: DataFrame, bucket: str, member: str, label: str) -> DataFrame:
+    """Rows of buckets that weigh more than one, stored; ``mixed`` where their members differ.
 
-    The totals are stored, so that the join has two plain shuffles as sides and Spark can split a hot bucket.
+    The totals are stored before, so that the join has two plain shuffles as sides and Spark can split a hot bucket.
     """
     total = rows.groupBy(bucket).agg(F.sum("weight").alias("total"), F.min(member).alias("m0"), F.max(member).alias("m1"))
     kept = total.where("total > 1").select(bucket, (F.col("m0") != F.col("m1")).alias("mixed"))
-    return rows.join(store(kept, f"{bucket}-totals"), bucket)
+    totals = store(kept, f"{bucket}-totals")
+    shared = store(rows.join(totals, bucket), label)
+    discard(totals)
+    return shared
 
 
 def _blocks(length: int, period: int) -> Column:
@@ -149,10 +152,11 @@ def _piece(start: Column, size: Column | int) -> Column:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
     """(row, spans): the byte ranges of every row that lie in a string of ``length`` bytes which starts anywhere else too.
 
-    ``docs`` has ``row`` and ``text``; ``spans`` are sorted, apart from one another, structs (start, end).
+    ``docs`` has ``row`` and ``text`` (or its bytes); ``spans`` are sorted, apart from one another, structs (start, end). The result
+    is stored; what it was made from is removed as soon as nothing reads it any more.
     """
     made = docs.select("row", "text").mapInArrow(_stretches(length, window), "row long, place long, bucket long, whole long")
-    rows = store(_shared(made.withColumn("weight", F.lit(1)), "bucket", "whole"), "stretches")
+    rows = _shared(made.withColumn("weight", F.lit(1)), "bucket", "whole", "stretches")
     span = [
         "row",
         F.shiftright("place", 20).alias("start"),
@@ -164,6 +168,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         mixed.groupBy("bucket", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("row", "place")).alias("one")), "stretch-kinds"
     )
     copied = mixed.join(kinds.where("weight > 1").select("bucket", "whole"), ["bucket", "whole"]).select(*span)
+    long_ties = store(settled.union(copied), "long-ties")
+    discard(rows)
 
     # One text for each kind of stretch in a mixed bucket.
     asked = kinds.select(
@@ -180,6 +186,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         ),
         "stretch-texts",
     )
+    discard(kinds)
     depth = length - period + 1
     b = texts.select("row", "start", "off", "bucket", "weight", "bytes", F.explode(_blocks(length, period)).alias("b"))
     ranked = b.select(
@@ -189,12 +196,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         F.xxhash64("bucket", "b.p", _piece(F.col("b.p") + F.col("off"), depth)).alias("rank"),
         F.xxhash64(F.lit(1), "b.s", _piece(F.col("b.s") + F.col("off"), F.col("b.e") - F.col("b.s") + length)).alias("block"),
     )
-    blocks = store(_shared(ranked, "rank", "block"), "cover-ranks")
+    blocks = _shared(ranked, "rank", "block", "cover-ranks")
     own = blocks.where("weight = 1")
     at = ["row", (F.col("start") + F.col("s")).alias("start"), (F.col("start") + F.col("e") + length).alias("end")]
     even = own.where("not mixed").select(*at)
     tied = blocks.where("mixed").groupBy("rank", "block").agg(F.sum("weight").alias("ties"))
-    judged = store(blocks.where("mixed").join(store(tied, "block-ties"), ["rank", "block"]), "cover-ties")
+    ties = store(tied, "block-ties")
+    judged = store(blocks.where("mixed").join(ties, ["rank", "block"]), "cover-ties")
+    discard(ties)
     equal = judged.where("weight = 1 and ties > 1").select(*at)
 
     # What is left of a block: each suffix by its rank and the bytes before and after the ranked string.
@@ -206,11 +215,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         F.xxhash64(F.lit(2), _piece(F.col("i"), length)).alias("tail"),
     )
     suffixes = store(suffixes, "suffixes")
+    discard(texts)
     same = suffixes.groupBy("head", "tail").agg(F.sum("weight").alias("ties")).where("ties > 1")
-    ends = suffixes.where("weight = 1").join(store(same, "suffix-ties"), ["head", "tail"]).select("row", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    tails = store(same, "suffix-ties")
+    ends = suffixes.where("weight = 1").join(tails, ["head", "tail"]).select("row", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
 
-    found = settled.union(copied).union(even).union(equal).union(ends)
-    return _merged(found)
+    spans = store(_merged(long_ties.union(even).union(equal).union(ends)), "spans")
+    for stored in (long_ties, blocks, judged, suffixes, tails):
+        discard(stored)
+    return spans
+
+
+def spans_within(docs: DataFrame, wide: DataFrame, length: int, window: int, period: int) -> DataFrame:
+    """``repeated_spans`` of ``docs`` from ``wide``, those of a smaller length: only their bytes are searched.
+
+    All shorter strings in a repeated string repeat too, so it lies in one wide span, in all its places.
+    """
+    long = F.explode(F.filter("spans", lambda s: s["end"] - s["start"] >= length)).alias("s")
+    cut = F.substring(F.col("text").cast("binary"), (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int"))
+    parts = docs.join(wide.select("row", long), "row").select(
+        F.xxhash64("row", "s.start").alias("row"), F.col("row").alias("of"), F.col("s.start").alias("begin"), cut.alias("text")
+    )
+    parts = store(parts, "span-texts")
+    found = repeated_spans(parts.select("row", "text"), length, window, period)
+    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("begin")).alias("start"), (s["end"] + F.col("begin")).alias("end")))
+    placed = found.join(parts.select("row", "of", "begin").distinct(), "row").select(F.col("of").alias("row"), moved.alias("spans"))
+    spans = store(placed.groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+    discard(parts)
+    discard(found)
+    return spans
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -232,38 +265,91 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     these names are replaced, all others kept whatever their names. No rows give no rows.
     With ``words``, only spans of more words than that go.
     """
-    made = ["kept", "spans", "n_bytes", "n_removed", "n_spans"]
-    own = [c for c in docs.columns if c not in made]
-    keyed = docs.select(F.struct(*own).alias("doc"), "text", row_key().alias("row"))
-    spans = repeated_spans(keyed.select("row", "text"), length, window, period)
-    joined = keyed.join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    part = lambda start, end: F.substring(raw, (start + 1).cast("int"), (end - start).cast("int"))
+    keyed = _keyed(docs, SPANS)
+    joined = keyed.join(repeated_spans(keyed.select("row", "text"), length, window, period), "row", "left")
+    joined = joined.withColumn("spans", _some("spans"))
     if words:
-        many = F.filter("spans", lambda s: F.regexp_count(part(s["start"], s["end"]).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")) > words)
-        joined = joined.withColumn("spans", many)
-    size = F.octet_length(raw).cast("bigint")
+        joined = joined.withColumn("spans", _of_words("spans", words))
+    return joined.select("doc.*", *_cut())
+
+
+def remove_repeats_and_passages(
+    docs: DataFrame, length: int = LENGTH, window: int = WINDOW, period: int = PERIOD, words: int = PASSAGE_WORDS, passage: dict[str, int] = PASSAGE
+) -> DataFrame:
+    """The same as ``remove_repeats`` with columns ``passages`` and ``rest`` in addition.
+
+    ``passages`` are the spans of more than ``words`` words that strings of ``passage["length"]`` bytes cover which start at other
+    places too; ``rest`` is what is left of the text without ``spans`` and ``passages``. ``length`` must not be smaller.
+    """
+    keyed = _keyed(docs, [*SPANS, "passages", "rest"])
+    texts = keyed.select("row", "text")
+    wide = repeated_spans(texts, **passage)
+    spans = spans_within(texts, wide, length, window, period)
+    both = wide.withColumnRenamed("spans", "passages").join(spans, "row", "left")
+    joined = keyed.join(both, "row", "left").withColumn("spans", _some("spans")).withColumn("passages", _some("passages"))
+    joined = joined.withColumn("passages", _of_words("passages", words))
+    inside = lambda s: F.exists("passages", lambda p: (p["start"] <= s["start"]) & (s["end"] <= p["end"]))
+    gone = F.array_sort(F.concat("passages", F.filter("spans", lambda s: ~inside(s))))
+    return joined.withColumn("gone", gone).select("doc.*", *_cut(), "passages", _rest("gone").alias("rest"))
+
+
+SPANS = ["kept", "spans", "n_bytes", "n_removed", "n_spans"]
+
+
+def _keyed(docs: DataFrame, made: list[str]) -> DataFrame:
+    own = [c for c in docs.columns if c not in made]
+    return docs.select(F.struct(*own).alias("doc"), "text", row_key().alias("row"))
+
+
+def _some(spans: str) -> Column:
+    return F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
+
+def _raw() -> Column:
+    return F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+
+
+def _part(start: Column, end: Column) -> Column:
+    return F.substring(_raw(), (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def _of_words(spans: str, words: int) -> Column:
+    """The spans of more than ``words`` words."""
+    return F.filter(spans, lambda s: F.regexp_count(_part(s["start"], s["end"]).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")) > words)
+
+
+def _rest(spans: str) -> Column:
+    """The bytes of the text outside its spans."""
+    size = F.octet_length(_raw()).cast("bigint")
     rest = F.aggregate(
-        "spans",
+        spans,
         F.struct(F.lit("").cast("binary").alias("b"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, s: F.struct(F.concat(acc["b"], part(acc["at"], s["start"])).alias("b"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["b"], part(acc["at"], size)),
+        lambda acc, s: F.struct(F.concat(acc["b"], _part(acc["at"], s["start"])).alias("b"), s["end"].alias("at")),
+        lambda acc: F.concat(acc["b"], _part(acc["at"], size)),
     )
-    return joined.select(
-        *[F.col("doc")[c].alias(c) for c in own],
-        F.when(F.size("spans") == 0, raw).otherwise(rest).alias("kept"),
-        "spans",
-        size.alias("n_bytes"),
-        F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+    return F.when(F.size(spans) == 0, _raw()).otherwise(rest)
+
+
+def covered(spans: str) -> Column:
+    """Bytes that the spans cover."""
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+
+
+def _cut() -> list[Column]:
+    return [
+        _rest("spans").alias("kept"),
+        F.col("spans"),
+        F.octet_length(_raw()).cast("bigint").alias("n_bytes"),
+        covered("spans").alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
-    )
+    ]
 
 
-def kept_text() -> Column:
-    """What ``remove_repeats`` left, as text. A cut may fall inside a character; what is left of it is no text and goes too."""
-    valid = F.make_valid_utf8(F.col("kept").cast("string"))
-    kept = F.when(F.contains("text", F.lit("\uFFFD")), valid).otherwise(F.replace(valid, F.lit("\uFFFD"), F.lit("")))
-    return F.when(F.size("spans") > 0, kept).otherwise(F.col("text"))
+def kept_text(kept: str = "kept") -> Column:
+    """What ``remove_repeats`` left (or a column like it), as text. A cut may fall inside a character; what is left of it is no text and goes too."""
+    valid = F.make_valid_utf8(F.col(kept).cast("string"))
+    part = F.when(F.contains("text", F.lit("\uFFFD")), valid).otherwise(F.replace(valid, F.lit("\uFFFD"), F.lit("")))
+    return F.when(F.octet_length(kept) < F.col("n_bytes"), part).otherwise(F.col("text"))
 
 
 def drop_passages(docs: DataFrame, words: int = PASSAGE_WORDS, length: int = PASSAGE["length"], window: int = PASSAGE["window"], period: int = PASSAGE["period"]) -> DataFrame:

@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 
-from siteworks.llm.suffix_dedup import difference_cover, drop_passages, remove_repeats
+from siteworks.llm.queries import QUERIES
+from siteworks.llm.suffix_dedup import difference_cover, drop_passages, remove_repeats, remove_repeats_and_passages
 
 SCHEMA = "doc_id long, text string, source string, kept string"
 
@@ -36,8 +37,7 @@ def test_every_difference_is_covered():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+def mixed_texts(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -48,9 +48,47 @@ def test_equals_brute_force(spark, seed):
         rng.shuffle(parts)
         texts.append(" ".join(parts))
     texts += [texts[8]] * 3 + [texts[9][5:]] + [texts[10][:-7] + "tail"] + [texts[11][:40] + "#" + texts[11][40:]]
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(spark, seed):
+    texts = mixed_texts(seed)
     assert result(spark, texts, length=40, window=17, period=13) == brute(texts, 40)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_search_inside_shorter_strings_equals_brute_force(spark, seed):
+    """With all runs of strings of 20 bytes as passages, what is left is what the search for 20 bytes leaves."""
+    texts = mixed_texts(seed)
+    texts += texts[20:23]
+    rows = spark.createDataFrame([(min(i, 40), t, "s", "clash") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = remove_repeats_and_passages(rows, 40, 17, 13, words=0, passage={"length": 20, "window": 9, "period": 7}).collect()
+    seen = lambda r: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), sum(p.end - p.start for p in r.passages), bytes(r.rest))
+    want = [(*long, short[1], short[3]) for long, short in zip(brute(texts, 40), brute(texts, 20), strict=True)]
+    assert Counter(map(seen, got)) == Counter(want)
+    few = remove_repeats_and_passages(rows, 40, 17, 13, words=10**6, passage={"length": 20, "window": 9, "period": 7}).collect()
+    assert all(not r.passages and r.rest == r.kept for r in few)
+
+
+def test_query_tells_passages_of_over_fifty_words(spark, tmp_path):
+    """Shorter than 400 bytes: they stay in the contract's columns, and are counted and cut in those that follow. Phrases stay in all."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 6))) for _ in range(n))
+    passage, phrase, long = prose(55), prose(30), prose(120)
+    assert len(passage) < 400 < len(long)
+    texts = [f"{prose(60)} | {part} | {prose(60)}" for part in (passage, passage, phrase, phrase, long, long, prose(55))] + [None, ""]
+    path = str(tmp_path)
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op1_suffix_dedup"](spark, path).collect()}
+    assert {i for i, r in got.items() if r.n_removed} == {4, 5}
+    assert {i for i, r in got.items() if r.n_passages} == {0, 1, 4, 5} and all(r.n_passages <= 1 for r in got.values())
+    for i, r in got.items():
+        assert r.n_chars == len(r.text or "") == len(texts[i] or "") - r.n_passage_bytes
+        assert i not in (0, 1) or (passage not in r.text and abs(r.n_passage_bytes - len(passage)) <= 12)
+        assert r.n_passages or r.text == texts[i]
+
+
 def test_long_text_is_cut_into_parts_without_loss(spark):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
