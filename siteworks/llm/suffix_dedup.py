@@ -20,6 +20,9 @@ what may repeat, and no bucket has to fit into one task:
 
 Ranks are two 64-bit hashes of the bytes, so equal ranks mean equal strings but for a
 chance of 2^-128 a pair. A bucket as hot as a third of all rows only adds to counts.
+
+Where shorter strings are wanted as well, they are searched first, and the longer ones
+inside the runs they cover: a long repeat lies in one of those in all its places.
 """
 
 from __future__ import annotations
